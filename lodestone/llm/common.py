@@ -5,10 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,24 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package's code, once for each Spark context, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestone_code", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    with zipfile.ZipFile(path := f"{tempfile.mkdtemp()}/lodestone.zip", "w") as file:
+        for source in sorted((root / "lodestone").rglob("*.py")):
+            file.write(source, source.relative_to(root))
+    context.addPyFile(path)
+    context._lodestone_code = True
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def forest(pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for every node that is not a root, of the graph with these links; a root is its tree's least node."""
     nodes, index = np.unique(np.concatenate(pairs), return_inverse=True)
@@ -110,6 +131,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     on the executors and each round is written to the shared folder. Null nodes, loops and repeated links are
     ignored; no links give no rows.
     """
+    ship(links.sparkSession)
     state = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInPandas(_contract, "u long, v long")
     state, mark = materialize(state), None
     for _ in range(rounds):
