@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from lodestone.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from lodestone.llm.fingerprints import op9_fingerprints
 from lodestone.llm.mixing import OP10_SQL, op10_mix_sources
 from lodestone.llm.packing import op7_pack_sequences
 from lodestone.llm.token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_exact_dedup, op7_pack_sequences, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op6_exact_dedup, op7_pack_sequences, op9_fingerprints, op10_mix_sources)}
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op10_mix_sources": OP10_SQL}
