@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialize, squeeze, table
 
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose keys occur more than once. The counts are combined before they are shuffled."""
-    return rows.join(rows.groupBy(*keys).count().where("count > 1").select(*keys), [*keys], "left_semi")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize=squeeze, prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -35,8 +30,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.select("_id", "_n", F.length("_norm").alias("_len"), prefix, (F.sha2("_norm", 256) if digest else F.lit(None).cast("string")).alias("_sha"))
 
     rows = materialize(narrowed(base, digest_all))
-    same_length = _shared(rows, "_len")
-    keys = same_length.groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix")
+    by_prefix = rows.groupBy("_len", "_prefix").agg(F.count("*").alias("_c"))
+    lengths = by_prefix.groupBy("_len").agg(F.sum("_c").alias("_of_length")).where("_of_length > 1").select("_len")
+    keys = by_prefix.join(lengths, "_len", "left_semi").where("_c > 1").select("_len", "_prefix")
     single = rows.join(keys, ["_len", "_prefix"], "left_anti")
     rest = rows.join(keys, ["_len", "_prefix"], "left_semi")
     if not digest_all:
