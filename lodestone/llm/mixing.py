@@ -51,7 +51,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     the rest of its target goes to documents in order of their Efraimidis-Spirakis keys -ln(u) / quality, where u
     is a hash of the id, up to the prefix sum nearest the rest. To split large sources, keys fall into bins: totals by
     (source, bin) are combined before the shuffle and prefix-summed, bins below the rest are taken whole, and only
-    documents of the one bin in which the rest ends are sorted. No document is taken more than ceil(most) times.
+    documents of the one bin in which the rest ends are sorted. Documents are dealt by (source, bin), never by source. No document is taken more than ceil(most) times.
 
     quality: a positive weight column, by default letter_share of text. Null sizes and texts count 0 and go with
     complete epochs; null sources are a source; rows that repeat an id share its key and are ordered by size; no
@@ -70,16 +70,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 
     up_to = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     binned = rows.groupBy("_source", "_bin").agg(F.sum("_n").alias("_b")).withColumn("_end", F.sum("_b").over(up_to))
-    edge = binned.join(targets, F.col("_source").eqNullSafe(F.col("_s"))).where("_end >= _rest").groupBy("_s").agg(F.min(F.struct("_bin", (F.col("_end") - F.col("_b")).alias("before"))).alias("_edge"))
-    plan = targets.join(edge.select(F.col("_s").alias("_e"), "_edge"), F.col("_s").eqNullSafe(F.col("_e")), "left")
-    plan = plan.select("_s", "_size", "_target", "_epochs", "_rest", F.coalesce(F.col("_edge._bin"), F.lit(bins + 1)).alias("_at"), F.coalesce(F.col("_edge.before"), F.lit(0)).alias("_before"))
-    rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
+    binned = binned.join(targets, F.col("_source").eqNullSafe(F.col("_s")))
+    binned = binned.select("_s", F.col("_bin").alias("_k"), "_size", "_target", "_epochs", "_rest", (F.col("_end") - F.col("_b")).alias("_before"), (F.col("_end") <= F.col("_rest")).alias("_whole"))
+    rows = rows.join(binned, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_k")))
 
+    ends = ~F.col("_whole") & (F.col("_before") < F.col("_rest"))
     by_key = Window.partitionBy("_source", "_bin").orderBy("_key", F.col("_id").isNull(), "_id", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = rows.where("_bin = _at").withColumn("_sum", F.col("_before") + F.sum("_n").over(by_key))
+    cut = rows.where(ends).withColumn("_sum", F.col("_before") + F.sum("_n").over(by_key))
     nearest = (F.col("_sum") - F.col("_rest")) <= (F.col("_rest") - (F.col("_sum") - F.col("_n")))
-    whole = rows.where("_bin <> _at").withColumn("_more", (F.col("_bin") < F.col("_at")).cast("long"))
-    both = ends.withColumn("_more", nearest.cast("long")).drop("_sum").unionByName(whole)
+    both = cut.withColumn("_more", nearest.cast("long")).drop("_sum").unionByName(rows.where(~ends).withColumn("_more", F.col("_whole").cast("long")))
     copies = F.col("_epochs") + F.when(F.col("_rest") > 0, F.col("_more")).otherwise(0)
     return both.select(F.col("_id").alias(id_col), F.col("_n").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_n")).alias("taken"))
 
