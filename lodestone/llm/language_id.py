@@ -72,24 +72,40 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = _encoders(dictionaries, level)
         for batch in batches:
-            langs, scores, rejected = [], [], []
-            for text in batch.column(1):
-                letters = letters_only(text.as_py() or "")
-                if not letters.strip() or not encoders:
-                    lang, gain = UNKNOWN, -1.0
-                else:
-                    data = letters.encode()
-                    sizes = sorted((len(e.compress(data)), k, name) for k, (name, e) in enumerate(encoders))
-                    lang = sizes[0][2]
-                    gain = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else float("inf")
-                langs.append(lang)
-                scores.append(0.0 if gain < 0 else 1.0 if gain == float("inf") else gain / (gain + 2 * margin))
-                rejected.append(gain < margin)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+            found = [_predict(text.as_py() or "", encoders, margin) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(found)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
+def _predict(text: str, encoders: list[tuple[str, object]], margin: float) -> tuple[str, float, bool]:
+    letters = letters_only(text)
+    if not letters.strip() or not encoders:
+        return UNKNOWN, 0.0, True
+    data = letters.encode()
+    sizes = sorted((len(e.compress(data)), k, name) for k, (name, e) in enumerate(encoders))
+    if len(sizes) == 1:
+        return sizes[0][2], 1.0, False
+    gain = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+    return sizes[0][2], gain / (gain + 2 * margin), gain < margin
+
+
+def _columns(found: list[tuple[str, float, bool]]) -> list[pa.Array]:
+    return [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs, with all their columns, that identify() doesn't reject; no shuffle is needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = _encoders(dictionaries, level)
+        for batch in batches:
+            keep = [not _predict(text.as_py() or "", encoders, margin)[2] for text in batch.column("text")]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows that aren't held out, and predicts all rows."""
     docs = table(spark, sf_dir, "documents")
