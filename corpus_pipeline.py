@@ -7,27 +7,54 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, table
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.language_id import accepted, held_out, learn
+from lodestone.llm.mixing import mix_sources
+from lodestone.llm.near_dedup import near_groups
+from lodestone.llm.packing import pack
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among kept's, and rows without doc_id."""
+    """The rows of docs whose doc_id is among kept's. Rows that repeat a doc_id stay or go together."""
     ids = kept.select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear stay; those without a letter or with a narrow margin go."""
+    return accepted(docs, learn(docs.where(~held_out(F.col("doc_id")))))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of documents that are equal but for white space the longest stays, then the one with the smallest doc_id."""
     return _keep(docs, exact_dedup(docs).where("kept"))
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 or more on five-word shingles join, the one with the smallest doc_id stays."""
+    return _keep(docs, near_groups(docs, words=5, percent=80).where("kept"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none, one or two rows."""
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces, packed into sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pieces)]
 
-#: SQL can't express a stage that compresses, hashes by MinHash or tokenises.
+#: SQL can't express stages that compress, hash by MinHash or tokenise; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the last one's rows, packed pieces."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
