@@ -14,7 +14,8 @@ from lodestone.operators.graph import expand, found_entities, match_surfaces, ne
 from lodestone.operators.history import last_messages, transcript
 from lodestone.operators.search import gate, hits_for_ids, top_k
 from lodestone.operators.verification import needs_entailment, verified, verify
-from lodestone.sources.services import generate
+from lodestone.session import materialize
+from lodestone.sources.services import embed, generate
 
 Model = tuple[str, Callable[[str], str]]
 TOP_K, THRESHOLD, EXTRA_CHUNKS = 4, 0.60, 3
@@ -24,7 +25,7 @@ def rewritten(questions: DataFrame, models: Sequence[Model]) -> DataFrame:
     """questions (qid, question, history) with search_query; only those that may depend on their history cost a call."""
     asks = (F.size("history") > 0) & needs_rewrite(F.col("question"))
     prompt = F.format_string(C.REWRITE_PROMPT, transcript(last_messages(F.col("history"))), F.col("question"))
-    done = generate(questions.where(asks).withColumn("prompt", prompt), models)
+    done = materialize(generate(questions.where(asks).withColumn("prompt", prompt), models))
     done = done.withColumn("search_query", accepted_rewrite(F.col("question"), F.col("response"))).select(*questions.columns, "search_query")
     return done.unionByName(questions.where(F.coalesce(~asks, F.lit(True))).withColumn("search_query", F.col("question")))
 
@@ -52,24 +53,25 @@ def retrieve(questions: DataFrame, chunks: DataFrame, graph: dict[str, DataFrame
     return gated.withColumn("notes", F.array().cast("array<string>")) if notes is None else gated.join(notes, "qid", "left")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, models: Sequence[Model], graph: dict[str, DataFrame] | None = None, threshold: float = THRESHOLD, entailment: str = "auto", verifier: Sequence[Model] | None = None) -> DataFrame:
-    """An answer for each question (qid, question, history, embedding): text, citations, refused, flags and how it came about.
+def ask(questions: DataFrame, chunks: DataFrame, embedder: Callable[[list[str]], list[Sequence[float]]], models: Sequence[Model], graph: dict[str, DataFrame] | None = None, threshold: float = THRESHOLD, entailment: str = "auto", verifier: Sequence[Model] | None = None) -> DataFrame:
+    """An answer for each question (qid, question, history): text, citations, refused, flags and how it came about.
 
     Refusals, by the gate or in the model's own words, have no citations and no flags. Only answers that fail a cheap check
-    are sent to the verifier in mode auto; what it finds unsupported is said under the answer.
+    are sent to the verifier in mode auto; what it finds unsupported is said under the answer. What calls have returned is
+    written to the shared folder before it is used, so that no call is made twice for a plan that reads it twice.
     """
     none = F.array().cast("array<string>")
-    asked = questions if "search_query" in questions.columns else rewritten(questions, models)
-    ready = retrieve(asked, chunks, graph, threshold=threshold)
+    asked = materialize(embed(rewritten(questions, models), embedder, "search_query"))
+    ready = materialize(retrieve(asked, chunks, graph, threshold=threshold))
     prompt = C.user_message(F.col("question"), F.col("hits"), F.coalesce("notes", none))
-    made = generate(ready.where("not refused").withColumn("prompt", prompt), models)
+    made = materialize(generate(ready.where("not refused").withColumn("prompt", prompt), models))
     made = made.withColumn("answer", F.when(F.trim("response") == "", C.REFUSAL_MESSAGE).otherwise(F.trim("response")))
     lexicon = None if graph is None else surfaces(graph["entities"])
     checked = verify(made.withColumn("contents", F.transform("hits", lambda h: h["content"])), lexicon)
-    checked = checked.withColumn("self_refused", C.is_refusal(F.col("text")))
+    checked = materialize(checked.withColumn("self_refused", C.is_refusal(F.col("text"))))
     runs = ~F.col("self_refused") & needs_entailment(entailment)
     todo = checked.where(runs).withColumn("prompt", F.format_string(C.ENTAILMENT_PROMPT, C.context_block(F.col("hits")), F.col("text")))
-    judged = generate(todo.drop("response", "model_used", "llm_ms"), verifier or models).select("qid", entailment_claims(F.col("response")).alias("unsupported"))
+    judged = materialize(generate(todo.drop("response", "model_used", "llm_ms"), verifier or models).select("qid", entailment_claims(F.col("response")).alias("unsupported")))
     checked = checked.join(judged.withColumn("entailment_ran", F.lit(True)), "qid", "left")
     own = F.col("self_refused")
     answered = checked.select(
