@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -16,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.session import checkpoint_dir, materialize, ship
+
+__all__ = ["checkpoint_dir", "components", "discard", "map_arrow", "materialize", "n_words", "release", "ship", "squeeze", "table"]
+
 #: White space and words of all contracts, as Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,33 +35,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: spark.checkpoint.dir, or the folder the session already has.
-
-    Where neither is set, a local session gets a temporary folder and a cluster the warehouse, which executors share.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    context = spark.sparkContext
-    if found := context.getCheckpointDir():
-        return found
-    local = context.master.split("[")[0] == "local"
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch")
-    return context.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again.
-
-    This cuts the lineage, so a lost executor costs no recomputation of earlier stages, and lets Spark drop
-    their shuffle files: it does so once the driver has collected the objects that refer to them.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by materialize() that no later step reads, and lets Spark drop finished shuffles."""
     for df in tables:
@@ -79,19 +52,6 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package's code, once for each Spark context, so that it needn't be installed there."""
-    context = spark.sparkContext
-    if getattr(context, "_lodestone_code", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    with zipfile.ZipFile(path := f"{tempfile.mkdtemp()}/lodestone.zip", "w") as file:
-        for source in sorted((root / "lodestone").rglob("*.py")):
-            file.write(source, source.relative_to(root))
-    context.addPyFile(path)
-    context._lodestone_code = True
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -124,27 +84,46 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"u": u, "v": v})
 
 
+#: Links that one task contracts, about; fewer make a graph that a single task settles.
+LINKS_PER_TASK = 500_000
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (u, v long): a row (node, root) for each node but the root, its component's least node.
 
-    Each partition first shrinks to a spanning forest, then large-star and small-star steps alternate until
-    nothing changes. Every step is an aggregation and an equi-join, whose skewed keys Spark can split; links stay
-    on the executors and each round is written to the shared folder. Null nodes, loops and repeated links are
-    ignored; no links give no rows.
+    Links are dealt to as many tasks as their number asks for, LINKS_PER_TASK each, and each shrinks its own to a spanning
+    forest. If that took one task, all is done. Else large-star and small-star steps alternate with this until nothing
+    changes. Every step is an aggregation and an equi-join, whose skewed keys Spark can split; links stay on the
+    executors, a task's memory is bounded, and each round is written to the shared folder. Null nodes, loops and repeated
+    links are ignored; no links give no rows.
     """
     ship(links.sparkSession)
-    state = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInPandas(_contract, "u long, v long")
-    state, mark = materialize(state), None
-    for _ in range(rounds):
+
+    def contracted(rows: DataFrame) -> tuple[DataFrame, int]:
+        given = materialize(rows)
+        tasks = max(1, -(-given.count() // LINKS_PER_TASK))
+        out = materialize(given.coalesce(tasks).mapInPandas(_contract, "u long, v long"))
+        discard(given)
+        return out, tasks
+
+    state, tasks = contracted(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"))
+    mark = None
+    for _ in range(rounds if tasks > 1 else 0):
         now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now["n"] == 0 or (now["n"], now["h"]) == mark:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if (now["n"], now["h"]) == mark:
+            break
         mark = (now["n"], now["h"])
         both = state.union(state.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        old, state = state, materialize(small.mapInPandas(_contract, "u long, v long").distinct())
+        old = state
+        state, tasks = contracted(small)
         discard(old)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if tasks == 1:
+            break
+    else:
+        if tasks > 1:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))

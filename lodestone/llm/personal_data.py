@@ -16,7 +16,7 @@ from lodestone.llm.sequence_tagger import KINDS, UNUSED, decode, symbols, traine
 #: Code points of a window and from one to the next; no span that the model adds is longer than a step.
 WINDOW, STEP = 96, 48
 #: Windows decoded at a time, and the mean probability that an added span needs.
-BATCH, LIKELY = 256, 0.9
+BATCH, LIKELY = 256, 0.6
 
 #: The base patterns. A mail address is read off its @ to both sides, which takes time in proportion to the text.
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
