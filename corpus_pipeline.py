@@ -13,10 +13,14 @@ from lodestone.llm.near_dedup import near_groups
 from lodestone.llm.packing import pack
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among kept's. Rows that repeat a doc_id stay or go together."""
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id has a kept row in decided. Rows that repeat a doc_id stay or go together.
+
+    Far fewer documents go than stay, so the ids that go are written and taken out: Spark sends them to all tasks while
+    that table is small, and docs aren't shuffled; else it joins them.
+    """
+    gone = materialize(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space the longest stays, then the one with the smallest doc_id."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    return _keep(docs, exact_dedup(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 or more on five-word shingles join, the one with the smallest doc_id stays."""
-    return _keep(docs, near_groups(docs, words=5, percent=80).where("kept"))
+    return _keep(docs, near_groups(docs, words=5, percent=80))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, one or two rows."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"]))
+    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), copies["copies"])).alias("nth of its copies")).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
