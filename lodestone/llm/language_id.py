@@ -79,10 +79,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
 
 
 def _predict(text: str, encoders: list[tuple[str, object]], margin: float) -> tuple[str, float, bool]:
-    letters = letters_only(text)
-    if not letters.strip() or not encoders:
+    if not encoders or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
-    data = letters.encode()
+    data = letters_only(text).encode()
     sizes = sorted((len(e.compress(data)), k, name) for k, (name, e) in enumerate(encoders))
     if len(sizes) == 1:
         return sizes[0][2], 1.0, False
