@@ -39,11 +39,15 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     least = Window.partitionBy("lang").orderBy("_h")
     rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
     rows = rows.select("lang", "_h", F.expr(f"substring(text, cast(pmod(_h, greatest(length(text) - {sample_chars}, 0) + 1) as int) + 1, {sample_chars})").alias("_part"))
-    sample = rows.withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= sample_docs)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 8 * sample_docs / n))])[F.col("lang")]
+    low = rows.where(F.col("_h") / 2.0**64 + 0.5 <= share)  # so that few rows are ranked, whatever the number of partitions
+    sample = low.withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= sample_docs)
     found: dict[str, list[str]] = {}
     for row in sample.orderBy("lang", F.desc("_k")).collect():
         found.setdefault(row["lang"], []).append(letters_only(row["_part"]))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     order = sorted(found, key=lambda lang: (-counts[lang], lang))
     return {lang: b for lang in order if len(b := "".join(found[lang]).encode()[-size:]) >= 8}
 
