@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import grounding, routing, text, vectors
-from lodestone.operators import chunking, context, evaluation, graph, history, search, verification
+from lodestone.operators import chunking, context, evaluation, graph, history, ivf, search, summary, verification
 from lodestone.session import ship
 from lodestone.sources import tables
 from lodestone.sources.tables import table
@@ -506,6 +506,33 @@ def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build_graph(docs, chunking.with_ids(chunking.chunk_documents(docs)))["counts"]
 
 
+@query(f"""
+WITH {SIMILAR_SQL} SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT count(*) FROM part) AS entities,
+  (SELECT count(*) FROM similar_edges) AS edges, (SELECT count(*) > 0 FROM part) AS graph_built, {TAU}::DOUBLE AS threshold, {TOP}::INT AS top_k
+""")
+def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_name"))
+    return summary.health(docs, parts(spark, sf_dir), part_edges(spark, sf_dir), {"threshold": TAU, "top_k": TOP})
+
+
+@query("""
+WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT count(*) > 0 AS built, string_agg(p_brand || ':' || n, ',' ORDER BY n DESC, p_brand) AS communities FROM c
+""")
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.transform("communities", lambda c: F.concat(c["source_name"], F.lit(":"), c["n"]))
+    return summary.graph_summary(parts(spark, sf_dir)).select("built", F.array_join(listed, ",").alias("communities"))
+
+
+@query()
+def vector_topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_topk through an inverted file; a test measures its recall against the exact result."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    centers = ivf.fit(rows)
+    indexed = ivf.assign(rows.where(F.col("id") >= QUESTIONS), centers, "id")
+    asked = rows.where(F.col("id") < QUESTIONS).withColumnRenamed("id", "qid")
+    return ivf.search(asked, indexed, centers, TOP)
+
+
 # ---------------------------------------------------------------- routing, verification, history
 
 

@@ -64,3 +64,17 @@ def test_longest_match_is_not_leftmost():
     assert [s for *_, s in Matcher(["a b", "b c d"])("a b c d")] == ["b c d"]
     assert [s for *_, s in Matcher(["rồng", "rồng bạo chúa"])("Rồng Bạo Chúa và RỒNG, rồngx")] == ["rồng bạo chúa", "rồng"]
     assert Matcher(["abc"])("xabc abc_ _abc") == []
+
+
+def test_approximate_search_finds_nearly_all(spark):
+    from lodestone.operators import ivf
+
+    sf_dir = "/root/testdata/sf0.01"
+    exact = {(r["qid"], r["id"]) for r in QUERIES["vector_topk"](spark, sf_dir).collect()}
+    near = {(r["qid"], r["id"]) for r in QUERIES["vector_topk_approximate"](spark, sf_dir).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    centers = ivf.fit(rows)
+    asked = rows.where("id < 20").withColumnRenamed("id", "qid")
+    full = ivf.search(asked, ivf.assign(rows.where("id >= 20"), centers, "id"), centers, 5, len(centers))
+    assert {(r["qid"], r["id"]) for r in full.collect()} == exact
