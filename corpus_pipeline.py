@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import TEXT_ROWS, materialize, table
 from lodestone.llm.exact_dedup import exact_dedup
-from lodestone.llm.language_id import accepted, held_out, learn
+from lodestone.llm.language_id import held_out, identify, learn
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.near_dedup import near_groups
 from lodestone.llm.packing import pack
@@ -25,7 +25,8 @@ def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear stay; those without a letter or with a narrow margin go."""
-    return accepted(docs, learn(docs.where(~held_out(F.col("doc_id")))))
+    found = materialize(identify(docs, learn(docs.where(~held_out(F.col("doc_id"))))), TEXT_ROWS)
+    return _keep(docs, found.select("doc_id", (~F.col("rejected")).alias("kept")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

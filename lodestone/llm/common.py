@@ -20,6 +20,9 @@ __all__ = ["checkpoint_dir", "components", "discard", "map_arrow", "materialize"
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch where texts or sets of hashes pass through Python.
+TEXT_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

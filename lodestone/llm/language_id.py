@@ -97,18 +97,6 @@ def _columns(found: list[tuple[str, float, bool]]) -> list[pa.Array]:
     return [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
 
-def accepted(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
-    """The rows of docs, with all their columns, that identify() doesn't reject; no shuffle is needed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = _encoders(dictionaries, level)
-        for batch in batches:
-            keep = [not _predict(text.as_py() or "", encoders, margin)[2] for text in batch.column("text")]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return map_arrow(docs, run, docs.schema)
-
-
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows that aren't held out, and predicts all rows."""
     docs = table(spark, sf_dir, "documents")

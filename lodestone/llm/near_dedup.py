@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, discard, forest, map_arrow, materialize, release, table
+from lodestone.llm.common import TEXT_ROWS, components, discard, forest, map_arrow, materialize, release, table
 from lodestone.llm.shingles import mixed, shingle_set
 
 #: Permutations, each giving a minimum and a maximum, and rows of a band: 126 hash evaluations make 42 bands of 6.
@@ -143,7 +143,7 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, permutations
             u, v = forest((names[a], names[b])) if len(a) else (names[:0], names[:0])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    signed = materialize(map_arrow(docs, sign, "doc_id long, n long, k1 long, k2 long, bands array<long>"))
+    signed = materialize(map_arrow(docs, sign, "doc_id long, n long, k1 long, k2 long, bands array<long>"), TEXT_ROWS)
     named = signed.where("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     first = materialize(classes.join(named.select(F.col("doc_id").alias("rep"), "k1", "k2", "n", "bands"), ["k1", "k2", "rep"]).select("rep", "n", "bands"))
@@ -158,12 +158,12 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, permutations
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / HUBS)) == 0)
     members = members.join(size, "cluster").select("node", "cluster", "size", "blocks", block, hub.alias("hub"))
-    sets = materialize(map_arrow(docs.join(members, F.col("doc_id") == F.col("node")).select("text", *MEMBER), shingle, SETS))
+    sets = materialize(map_arrow(docs.join(members, F.col("doc_id") == F.col("node")).select("text", *MEMBER), shingle, SETS), TEXT_ROWS)
     discard(first)
 
     def confirmed(rows: DataFrame) -> DataFrame:
         rows = rows.select("cluster", "i", "j", "node", "own").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        return materialize(map_arrow(rows, confirm, "u long, v long"))
+        return materialize(map_arrow(rows, confirm, "u long, v long"), TEXT_ROWS)
 
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     links = confirmed(sets.select("*", F.lit(0).alias("i"), F.explode(F.when(F.col("hub"), every).otherwise(F.array("block"))).alias("j")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow, materialize, table
+from lodestone.llm.common import TEXT_ROWS, map_arrow, materialize, table
 from lodestone.llm.encoding import encoding
 
 #: Rows that one task ranks, about.
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, max_docs: int |
     by rank within their length. Null texts are empty and give one piece of one id; rows that repeat a document are
     packed as often; no rows give no rows; other columns are ignored.
     """
-    pieces = materialize(token_pieces(docs.select(F.col("doc_id").cast("long"), F.col("text")), capacity, end_id, path))
+    pieces = materialize(token_pieces(docs.select(F.col("doc_id").cast("long"), F.col("text")), capacity, end_id, path), TEXT_ROWS)
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     capacities = np.array([capacity, max_docs or capacity, max_attention or float(capacity) ** 2])
     plan = plan_bins(counts, capacities, lambda n: np.array([n, 1, float(n) ** 2]), np.array(weights), mode)

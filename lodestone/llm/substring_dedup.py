@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, map_arrow, materialize, release, table
+from lodestone.llm.common import TEXT_ROWS, discard, map_arrow, materialize, release, table
 from lodestone.llm.shingles import run_hashes, word_hashes
 
 #: A perfect difference set: every residue modulo 31 is the difference of two members, all but 0 in one way.
@@ -118,10 +118,10 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = PERIOD, cove
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
     known = docs.where("doc_id is not null")
-    found = materialize(map_arrow(known, anchors, "h long, doc long"))
+    found = materialize(map_arrow(known, anchors, "h long, doc long"), TEXT_ROWS)
     marks = materialize(found.join(_held(found).select("h"), "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("_h")))
     discard(found)
-    windows = materialize(map_arrow(known.join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "_h"), extend, "h long, doc long"))
+    windows = materialize(map_arrow(known.join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "_h"), extend, "h long, doc long"), TEXT_ROWS)
     discard(marks)
     gone = materialize(windows.join(_held(windows).select("h", "_least"), "h").where("doc > _least").groupBy("doc").agg(F.collect_list("h").alias("_h")))
     discard(windows)
