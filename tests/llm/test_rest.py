@@ -7,7 +7,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,14 +121,14 @@ def test_packing_is_tight(spark, sf_dir, tokenizer):
 def test_every_constraint_holds(mode):
     rng = random.Random(3)
     counts = {n: rng.randrange(1, 2000) for n in rng.sample(range(1, 101), 60)}
-    capacities = np.array([100.0, 4.0, 6000.0])
+    capacities = np.array([150.0, 4.0, 10000.0])
     plan = plan_bins(counts, capacities, lambda n: np.array([n, 1, n * n]), np.array([1.0, 1.0, 1.0]), mode)
     assert Counter({n: int(plan[plan[:, 0] == n, 2].sum()) for n in counts}) == Counter(counts)
     bins = defaultdict(list)
     for n, _, many, first, _ in plan.tolist():
         for s in range(first, first + many):
             bins[s].append(n)
-    assert all(sum(b) <= 100 and len(b) <= 4 and sum(n * n for n in b) <= 6000 for b in bins.values())
+    assert all(sum(b) <= 150 and len(b) <= 4 and sum(n * n for n in b) <= 10000 for b in bins.values())
 
 
 # ------------------------------------------------------------------------------------------------------- mixing
@@ -312,8 +311,7 @@ def test_pipeline_stages(spark, sf_dir, tokenizer):
     assert Counter(r[0] for r in after) == Counter({d: c for d, c in copies.items() if c}) and set(after) <= set(before)
     packed = p.STAGES[-1][1](spark, docs, sf_dir).collect()
     check_packing(packed, [(r[0], r[1]) for r in after], tokenizer)
-    con = duckdb.connect()
-    assert con.sql("select 1").fetchone() == (1,) and p.ORACLE_SQL is None
+    assert p.ORACLE_SQL is None
 
 
 def test_pipeline_of_no_rows(frame, spark, sf_dir):
