@@ -44,25 +44,29 @@ def _hinted(attrs: dict[str, str | None]) -> bool:
     return False
 
 
-#: An open element: tag, unseen, apart, whether its block is apart, rank of its region, containers down to it.
-Open = tuple[str, bool, bool, bool, int, tuple[int, ...]]
-ROOT: Open = ("", False, False, False, 0, ())
+#: An open element: tag, unseen, apart, whether its block is apart, its container, and the outermost article around it.
+Open = tuple[str, bool, bool, bool, int, int]
+ROOT: Open = ("", False, False, False, 0, 0)
 
 
 class _Reader(HTMLParser):
-    """Gathers lines: (text, tags since the line before, characters in links, apart, rank, containers) of each block."""
+    """Gathers lines: (text, tags since the line before, characters in links, apart, container, article, heading) of each block.
+
+    Containers are numbered as they open; inside and names hold the container around each and its tag.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[Open] = [ROOT]
-        self.lines: list[tuple[str, int, int, bool, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int, bool]] = []
+        self.inside, self.names = [0], [""]
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.containers = 0
+        self.tags = self.linked = self.links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, *self.open[-1][3:]))
+            self.lines.append((text, self.tags, self.linked, *self.open[-1][3:], self.open[-1][0] in HEADINGS))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
@@ -80,19 +84,20 @@ class _Reader(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        above, unseen, apart, block, rank, path = self.open[-1]
+        above, unseen, apart, block, container, article = self.open[-1]
         unseen = unseen or tag in UNSEEN
-        if tag in HEADINGS and rank == 2 and above == "header" and not self.open[-2][2]:
+        if tag in HEADINGS and article and above == "header" and not self.open[-2][2]:
             apart = False  # an article's own title
         elif tag not in ("html", "body", "main"):
             apart = apart or tag in APART or _hinted(dict(attrs))
         if tag in BLOCKS:
             block = apart
-        if tag in CONTAINERS and (own := {"article": 2, "main": 1}.get(tag, 0)) >= rank and rank < 2:
-            if rank == 0 or own > rank:
-                self.containers += 1
-                rank, path = own, (*path, self.containers)
-        self.open.append((tag, unseen, apart, block, rank, path))
+        if tag in CONTAINERS:
+            self.inside.append(container)
+            self.names.append(tag)
+            container = len(self.inside) - 1
+            article = article or container * (tag == "article")
+        self.open.append((tag, unseen, apart, block, container, article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -142,11 +147,12 @@ def main_text(html: str, sigma: float = 1.0) -> str:
 
     Parser events make lines, one for each block element's own text, with the number of tags they took. A line's ratio is
     its text outside links to its tags; ratios are smoothed by a Gaussian over neighbouring lines, and two clusters of
-    them give a threshold. Regions are the page's articles, else its main elements; a region is content if most of its
-    text stands in lines above the threshold, and the longest is if none does. A page without either has one region:
-    the smallest container of nine tenths of the text above the threshold, without lines below it that are links alone.
+    them give a threshold. The region is a container of nine tenths of the text above it: of those that hold so much, the
+    outermost article, else the outermost main element, else the smallest. Its lines are content without lines below
+    the threshold that are links alone or stand in an article most of whose text is below it. Lines elsewhere are
+    content if they are above the threshold and their own ratio is too, or they are a heading outside other articles.
     Lines in elements that are apart by kind, role, class or id (menus, headers, footers, sidebars, notices, adverts,
-    forms, comments) take part in the ratios but never in the text; all others of a content region do.
+    forms, comments) take part in the ratios but never in the text.
     """
     reader = _Reader()
     reader.feed(html)
@@ -160,30 +166,34 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     kernel = np.exp(-(reach**2) / (2 * sigma**2))
     middle = slice(len(reach) // 2, len(reach) // 2 + len(ratios))
     smooth = np.convolve(ratios, kernel)[middle] / np.convolve(np.ones(len(ratios)), kernel)[middle]
-    above = (smooth >= _threshold(smooth)).tolist()
-    own = [(line, high) for line, high in zip(lines, above, strict=True) if not line[3]]
-    rank = max((line[4] for line, _ in own), default=0)
-    own = [(line, high) for line, high in own if line[4] == rank]
-    if rank:
-        shares: dict[tuple[int, ...], list[int]] = {}
-        for (text, *_, path), high in own:
-            share = shares.setdefault(path, [0, 0])
-            share[0] += len(text)
-            share[1] += len(text) * high
-        content = {path for path, (n, high) in shares.items() if 2 * high >= n} or {max(shares, key=lambda k: shares[k][0])}
-        return "\n\n".join(line[0] for line, _ in own if line[5] in content)
-    weights = [(line[5], len(line[0])) for line, high in own if high] or [(line[5], len(line[0])) for line, _ in own]
-    total, inside = sum(n for _, n in weights), ()
-    while True:  # down to the smallest container of nearly all content
-        counts: dict[tuple[int, ...], int] = {}
-        for path, n in weights:
-            if len(path) > len(inside) and path[: len(inside)] == inside:
-                counts[path[: len(inside) + 1]] = counts.get(path[: len(inside) + 1], 0) + n
-        down = max(counts, key=counts.__getitem__, default=None)
-        if down is None or counts[down] < 0.9 * total:
-            break
-        inside = down
-    return "\n\n".join(line[0] for line, high in own if line[5][: len(inside)] == inside and (high or line[2] < len(line[0])))
+    limit = _threshold(smooth)
+    own = [(line, high, dense) for line, high, dense in zip(lines, (smooth >= limit).tolist(), (ratios >= limit).tolist(), strict=True) if not line[3]]
+    held = [0] * len(reader.inside)
+    for line, high, _ in own:
+        held[line[4]] += len(line[0]) * high
+    if not any(held):
+        for line, _, _ in own:
+            held[line[4]] += len(line[0])
+    for k in range(len(held) - 1, 0, -1):
+        held[reader.inside[k]] += held[k]
+    most = [k for k, n in enumerate(held) if n and 10 * n >= 9 * held[0]]  # each inside the one before
+    named = {name: k for k in reversed(most) if (name := reader.names[k]) in ("article", "main")}
+    region = named.get("article", named.get("main", most[-1] if most else 0))
+    within = [k == region for k in range(len(held))]
+    for k in range(region + 1, len(held)):
+        within[k] = within[k] or within[reader.inside[k]]
+    shares: dict[int, int] = {}
+    for line, high, _ in own:
+        shares[line[5]] = shares.get(line[5], 0) + (len(line[0]) if high else -len(line[0]))
+    kept = []
+    for (text, _, linked, _, container, article, heading), high, dense in own:
+        if within[container]:
+            faint = linked >= len(text) or (article > region and shares[article] < 0)
+            if high or not faint:
+                kept.append(text)
+        elif high and (dense or (heading and article <= region)):
+            kept.append(text)
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -272,6 +272,21 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<main><h1>T</h1><p>{LONG}</p><p>{LONG}</p><article><p>note</p></article></main>", f"T\n\n{LONG.strip()}\n\n{LONG.strip()}\n\nnote"),
+        (f"<body><article><p>short teaser</p></article><div><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<main><h1>T</h1><article><p>{LONG}</p><p>Be.</p></article><div><a href=1>x</a></div></main>", f"T\n\n{LONG.strip()}\n\nBe."),
+        (f"<article><section><p>{LONG}</p><p>{LONG}</p></section><p>Be.</p></article>", f"{LONG.strip()}\n\n{LONG.strip()}\n\nBe."),
+        (f"<article><h2>a</h2><p>{LONG}</p></article><article><h2>x</h2><p><a href=1>more</a></p><p>hi</p></article>", f"a\n\n{LONG.strip()}"),
+    ],
+)
+def test_ratios_choose_the_region(page, text):
+    """Text outside an article or main element stays, and an article isn't content for its tag."""
+    assert main_text(page) == text
+
+
 def test_pages_of_any_kind(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a", "x"), (2, "u", "<div>" * 3000 + "deep", "x"), (3, "v", "<<<>>&&;<a b='", "x")], "page_id long, url string, html string, text string")
     rows = extract(pages).collect()
