@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.routing import DEFAULT_KIND, classify, document_kind
 from lodestone.functions.text import OPENING, WIDE_UPPER, heading_level, heading_title, is_heading, strip, without_suffix
-from lodestone.session import ship
+from lodestone.session import materialize, ship
 
 # Relations, patterns and lengths.
 BELONGS, SIMILAR, TOGETHER = "thuộc_về", "tương_tự", "đồng_xuất_hiện"
@@ -19,6 +20,7 @@ DEFINITION = r"(?Ud)^\s*(?:[-*•]|\d+\.)\s+([^:\n]{2,60}?)\s*:\s*(.+)$"
 IN_PARENTHESES = r"(?Ud)^(.*?)\s*\(([^)]+)\)\s*$"
 PROSE_TAIL = rf"(?U),\s+(?=[^{WIDE_UPPER}])"
 MIN_SURFACE = 3
+DIGITS = re.compile("[0-9]*")
 SAMPLES, NOTE_NAMES = 6, 5
 
 ENTITY = ["key", "name", "kind", "definition", "source_name", "section", "aliases"]
@@ -98,6 +100,34 @@ def similar_edges(found: DataFrame, kind: str = "kind", source: str = "source_na
     return pairs.select("src", "dst", F.lit(SIMILAR).alias("relation"), F.lit(1.0).cast("float").alias("weight"))
 
 
+def similar_pairs(found: DataFrame) -> DataFrame:
+    """similar_edges() of found with each pair once, and _n, how often it is there.
+
+    The order is by source first and pairs are of different sources, so a key's repeated definitions only multiply.
+    """
+    rows = found.where(F.col("kind") != DEFAULT_KIND).groupBy("kind", "source_name", "key").agg(F.count("*").alias("n")).alias("a")
+    pairs = rows.join(rows.alias("b"), F.expr("a.kind = b.kind and a.source_name < b.source_name"))
+    return pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"), F.lit(SIMILAR).alias("relation"), F.lit(1.0).cast("float").alias("weight"), F.expr("a.n * b.n").alias("_n"))
+
+
+def together_by_class(mentions: DataFrame) -> DataFrame:
+    """together_edges() of mentions (entity_key, chunk_id) where many entities have the same chunks, as those of one name.
+
+    Entities with equal chunks make a class, told by their number and two 64-bit hashes; chunks are only joined on
+    classes, and the pairs of two classes' entities have the classes' weight.
+    """
+    hashes = [F.sum(F.xxhash64("chunk_id").cast("decimal(38,0)")).alias("_x"), F.bit_xor(F.xxhash64("chunk_id", F.lit(1))).alias("_y")]
+    same = materialize(mentions.distinct().groupBy("entity_key").agg(F.count("*").alias("_w"), *hashes))
+    members = same.select("entity_key", F.concat_ws(" ", "_w", "_x", "_y").alias("_class"))
+    first = members.groupBy("_class").agg(F.min("entity_key").alias("entity_key"))
+    few = mentions.distinct().join(first, "entity_key").select("_class", "chunk_id")
+    shared = together_edges(few, "_class", "chunk_id").select("src", "dst", "weight")
+    own = same.select(F.concat_ws(" ", "_w", "_x", "_y").alias("src"), F.concat_ws(" ", "_w", "_x", "_y").alias("dst"), F.col("_w").cast("float").alias("weight")).distinct()
+    a, b = (members.select(F.col("_class").alias(c), F.col("entity_key").alias(k)) for c, k in (("src", "_a"), ("dst", "_b")))
+    pairs = shared.unionByName(own).join(a, "src").join(b, "dst").where("src <> dst or _a < _b")
+    return pairs.select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), F.lit(TOGETHER).alias("relation"), "weight")
+
+
 def together_edges(mentions: DataFrame, entity: str = "entity_key", chunk: str = "chunk_id") -> DataFrame:
     """Edges between entities (a < b) that chunks mention together, weighted by the number of those chunks."""
     seen = mentions.select(F.col(entity).alias("_e"), F.col(chunk).alias("_c")).distinct()
@@ -130,23 +160,34 @@ class Matcher:
 
     The longest surface wins wherever it stands, even over one that starts further left. A surface stands between
     characters that aren't word characters; case is ignored. At each place where a word can start only surfaces with its
-    first character are tried.
+    first character and the digits after that are tried.
     """
 
     def __init__(self, ordered: Sequence[str]) -> None:
-        self.by_start: dict[str, list[tuple[int, re.Pattern[str], str]]] = {}
+        self.by_start: dict[tuple[str, str], list[tuple[int, str]]] = {}
+        self.patterns: dict[str, re.Pattern[str]] = {}
         for rank, s in enumerate(sorted(ordered, key=len, reverse=True)):
-            pattern = re.compile(rf"{re.escape(s)}(?!\w)", re.IGNORECASE)
-            self.by_start.setdefault(s[:1], []).append((rank, pattern, s))
+            self.by_start.setdefault((s[:1], DIGITS.match(s, 1)[0]), []).append((rank, s))
 
-    def __call__(self, text: str) -> list[tuple[int, int, str]]:
+    def candidates(self, text: str) -> list[tuple[int, int, int, str]]:
+        """(rank, start, end, surface) of every match, whether others overlap it or not."""
         found = []
         for at, c in enumerate(text):
             if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
                 continue
-            for rank, pattern, s in self.by_start.get(c.lower()[:1], ()):
+            for rank, s in self.by_start.get((c.lower()[:1], DIGITS.match(text, at + 1)[0]), ()):
+                if not (pattern := self.patterns.get(s)):
+                    pattern = self.patterns[s] = re.compile(rf"{re.escape(s)}(?!\w)", re.IGNORECASE)
                 if m := pattern.match(text, at):
                     found.append((rank, at, m.end(), s))
+        return found
+
+    def __call__(self, text: str) -> list[tuple[int, int, str]]:
+        return self.settle(self.candidates(text))
+
+    @staticmethod
+    def settle(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
+        """The accepted ones of a text's candidates, by place."""
         taken: list[tuple[int, int, str]] = []
         before, end = -1, 0
         for rank, a, b, s in sorted(found):
@@ -158,7 +199,7 @@ class Matcher:
         return sorted(taken, key=lambda x: (x[0], x[2]))
 
 
-#: Surfaces that are sent to every task at most; a larger lexicon is matched part by part.
+#: Surfaces that are sent to every task at most; match_in_parts() matches a larger lexicon.
 MAX_LEXICON = 200_000
 
 
@@ -186,6 +227,50 @@ def match_surfaces(texts: DataFrame, lexicon: DataFrame, key: str, text: str) ->
     return texts.select(key, text).mapInArrow(run, f"{key} {kind}, nth int, start int, end int, surface string")
 
 
+def match_in_parts(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """match_surfaces() for a lexicon of any size; key must be unique.
+
+    Beyond MAX_LEXICON surfaces each part of them, dealt by hash, finds its candidates in every text, which are written
+    before the next part is sent; then each text's candidates of all parts are settled together.
+    """
+    first = lexicon.groupBy("surface").agg(F.min(F.struct("source_name", "pos", "nth")).alias("_first"))
+    size = first.count()
+    if size <= MAX_LEXICON:
+        return match_surfaces(texts, lexicon, key, text)
+    spark = texts.sparkSession
+    ship(spark)
+    kind = texts.schema[key].dataType.simpleString()
+    parts = 2 * -(-size // MAX_LEXICON)  # so that a part stays under the limit however hashes fall
+    found = None
+    for k in range(parts):
+        sent = spark.sparkContext.broadcast([r["surface"] for r in first.select("surface").where(F.pmod(F.xxhash64("surface"), F.lit(parts)) == k).collect()])
+
+        def find(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            match = Matcher(sent.value)
+            for batch in batches:
+                rows = [(i, *m[1:]) for i, t in enumerate(batch.column(1)) for m in match.candidates(t.as_py() or "")]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string())))], names=[key, "start", "end", "surface"])
+
+        part = materialize(texts.select(key, text).mapInArrow(find, f"{key} {kind}, start int, end int, surface string"))
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, each in enumerate(batch.column(1).to_pylist()):
+                rank = {s: k for k, s in enumerate(dict.fromkeys(m["surface"] for m in each))}
+                rows += [(i, nth, *m) for nth, m in enumerate(Matcher.settle([(rank[m["surface"]], m["start"], m["end"], m["surface"]) for m in each]))]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.string())))], names=[key, "nth", "start", "end", "surface"])
+
+    order = F.struct((-F.length("surface")).alias("_length"), "_first", "surface", "start", "end")
+    each = found.join(first, "surface").groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("_m"))
+    each = each.select(key, F.transform("_m", lambda m: F.struct(m["surface"].alias("surface"), m["start"].alias("start"), m["end"].alias("end"))).alias("_m"))
+    return each.mapInArrow(settle, f"{key} {kind}, nth int, start int, end int, surface string")
+
+
 def found_entities(matches: DataFrame, lexicon: DataFrame, key: str, by: str = "name") -> DataFrame:
     """key, names: each text's distinct entity names (or keys), in the order of their first match."""
     rows = matches.join(lexicon.withColumnRenamed("nth", "_alias"), "surface")
@@ -196,24 +281,27 @@ def found_entities(matches: DataFrame, lexicon: DataFrame, key: str, by: str = "
 
 def mentions(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """entity_key, chunk_id of every entity, of any source, one of whose surfaces a chunk (id, content) has."""
-    matches = match_surfaces(chunks, lexicon, "id", "content")
+    matches = match_in_parts(chunks, lexicon, "id", "content")
     return matches.select(F.col("id").alias("chunk_id"), "surface").distinct().join(lexicon.select("surface", "key"), "surface").select(F.col("key").alias("entity_key"), "chunk_id").distinct()
 
 
 def build_graph(docs: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
     """Tables entities, aliases, mentions, edges of documents (source_name, text) and chunks (id, content), and counts.
 
-    counts has one row: edges counts edges as they are found, stored_edges after repeated ones are settled.
+    counts has one row: edges counts edges as they are found, stored_edges after repeated ones are settled. Definitions,
+    mentions and edges are written before they are reused.
     """
-    found = extract_mentions_of_definitions(docs)
+    found = materialize(extract_mentions_of_definitions(docs))
     entities = unique_entities(found)
     lexicon = surfaces(entities)
-    mentioned = mentions(chunks, lexicon)
-    raw = belongs_edges(found).unionByName(similar_edges(found)).unionByName(together_edges(mentioned))
-    edges = upsert_edges(raw)
+    mentioned = materialize(mentions(chunks, lexicon))
+    once = F.lit(1).cast("long").alias("_n")
+    raw = belongs_edges(found).select("*", once).unionByName(similar_pairs(found)).unionByName(together_by_class(mentioned).select("*", once))
+    stored = materialize(raw.groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight"), F.sum("_n").alias("_n")))
+    edges = stored.drop("_n")
     aliases = entities.select("key", F.explode("aliases").alias("alias")).distinct()
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    counts = one(entities, "entities").crossJoin(entities.agg(F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("aliases"))).crossJoin(one(mentioned, "mentions")).crossJoin(one(raw, "edges")).crossJoin(one(edges, "stored_edges"))
+    counts = one(entities, "entities").crossJoin(entities.agg(F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("aliases"))).crossJoin(one(mentioned, "mentions")).crossJoin(stored.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("edges"), F.count("*").alias("stored_edges")))
     return {"entities": entities, "aliases": aliases, "mentions": mentioned, "edges": edges, "counts": counts}
 
 

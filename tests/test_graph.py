@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, graph
+from lodestone.plans.queries import QUERIES, part_documents
 
 FIRST = """- Trước Đề: dòng đứng trước tiêu đề
 # Đảo Gió (Wind Isle)
@@ -107,3 +110,52 @@ def test_cutting_of_aliases(spark):
     raw = ["Xạ thủ (ADC / Bot)", "Thánh Vật (Artifact), gồm năm", "Bo3, Bo5", "(only)", "A (b)", " Tên  "]
     got = [tuple(r[0]) for r in spark.createDataFrame([(x,) for x in raw], "x string").select(graph.split_alias(F.col("x"))).collect()]
     assert got == [("Xạ thủ", ["ADC", "Bot"]), ("Thánh Vật", ["Artifact"]), ("Bo3, Bo5", []), ("(only)", []), ("A", []), ("Tên", [])]
+
+
+def plain_graph(sources, chunks):
+    """Counts by plain loops, of definitions [(source, name, alias)] in order and chunks' texts."""
+    aliases = {}
+    for source, name, alias in sources:
+        aliases.setdefault((source, name.lower()), [name]).append(alias)
+    named = {}
+    for key, names in aliases.items():
+        for n in names:
+            named.setdefault(n.lower(), set()).add(key)
+    # no surface here is part of another one, and all stand between blanks or brackets
+    mentioned = [{key for w in re.findall(r"[a-z]+ [a-z]+|\w+#\d+|P\d+|Brand name", text) for key in named.get(w.lower(), ())} for text in chunks]
+    # documents are of one kind, parts of another
+    raw = sum(a[0] < b[0] for a in sources for b in sources if ("Brand" in a[1]) == ("Brand" in b[1]))
+    similar = {(a, b) for a in aliases for b in aliases if a[0] < b[0] and ("brand" in a[1]) == ("brand" in b[1])}
+    together = {(a, b) for found in mentioned for a in found for b in found if a < b}
+    belongs = [x for x in sources if "Brand" not in x[1]]
+    stored = len(similar) + len(together) + len({x[:2] for x in belongs})
+    return {"entities": len(aliases), "aliases": sum(len(dict.fromkeys(v[1:])) for v in aliases.values()), "mentions": sum(map(len, mentioned)), "edges": len(belongs) + raw + len(together), "stored_edges": stored}
+
+
+@pytest.mark.parametrize("limit", [200_000, 100])
+def test_registered_graph_is_that_of_all_sources(spark, sf_dir, monkeypatch, limit):
+    """Also with a lexicon that must be matched in parts."""
+    monkeypatch.setattr(graph, "MAX_LEXICON", limit)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+    sources = [(r["p_brand"], r["p_name"], f"P{r['p_partkey'] + 1000}") for r in parts] + [(b, b, "Brand name") for b in {r["p_brand"] for r in parts}]
+    chunks = [r["content"] for r in chunking.chunk_documents(part_documents(spark, sf_dir)).collect()]
+    assert QUERIES["build_graph"](spark, sf_dir).first().asDict() == plain_graph(sources, chunks)
+
+
+def test_parts_settle_as_one_lexicon(spark, entities, monkeypatch):
+    lexicon = graph.surfaces(entities)
+    texts = spark.createDataFrame([(1, "SAND rồi cloud god, Thần Mây; thần lửax"), (2, None), (3, "Bo3, Bo5 sân cát (Wind Isle) đảo gió")], "id long, t string")
+    whole = sorted(map(tuple, graph.match_surfaces(texts, lexicon, "id", "t").collect()))
+    monkeypatch.setattr(graph, "MAX_LEXICON", 3)
+    assert sorted(map(tuple, graph.match_in_parts(texts, lexicon, "id", "t").collect())) == whole != []
+
+
+def test_similar_pairs_are_similar_edges(found):
+    pairs = [tuple(r)[:2] for r in graph.similar_pairs(found).collect() for _ in range(r["_n"])]
+    assert sorted(pairs) == sorted(tuple(r)[:2] for r in graph.similar_edges(found).collect())
+
+
+def test_together_by_class(spark):
+    rows = [("a", 1), ("b", 1), ("a", 1), ("b", 2), ("a", 2), ("c", 3), ("d", 2), ("e", 2), ("f", 3)]
+    mentions = spark.createDataFrame(rows, "entity_key string, chunk_id long")
+    assert sorted(map(tuple, graph.together_by_class(mentions).collect())) == sorted(map(tuple, graph.together_edges(mentions).collect()))
