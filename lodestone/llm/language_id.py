@@ -15,6 +15,8 @@ from lodestone.llm.common import map_arrow, table
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 2000
 #: Bytes of a language's raw-content dictionary, the compression level, and the relative margin that rejects.
 DICTIONARY, LEVEL, MARGIN = 65536, 9, 0.01
+#: Bytes of a text's letters that are compressed at a time, so that the dictionary counts for all of a long text.
+BLOCK = 16384
 
 UNKNOWN = "und"
 OTHER = re.compile(r"[\W\d_]+")
@@ -66,8 +68,8 @@ def _encoders(dictionaries: dict[str, bytes], level: int) -> list[tuple[str, obj
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row of docs (doc_id, text), from the whole text.
 
-    Each text's letters are compressed with each dictionary; the language of the smallest encoding is predicted, the
-    first of dictionaries on ties. The margin is how much smaller it is than the second, in parts of that; score grows with
+    Each text's letters are compressed with each dictionary, block by block; the language of the smallest sum of
+    encodings is predicted, the first of dictionaries on ties. The margin is how much smaller it is than the second, in parts of that; score grows with
     it from 0 towards 1 and is 0.5 at twice the margin that rejects. Narrower texts are rejected. A text that is null
     or has no letter is 'und', with score 0, and rejected; so is every text if nothing was learned; a single
     language is predicted with score 1. Rows are handled where they are read; other columns are ignored.
@@ -86,7 +88,8 @@ def _predict(text: str, encoders: list[tuple[str, object]], margin: float) -> tu
     if not encoders or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
     data = letters_only(text).encode()
-    sizes = sorted((len(e.compress(data)), k, name) for k, (name, e) in enumerate(encoders))
+    blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+    sizes = sorted((sum(len(e.compress(b)) for b in blocks), k, name) for k, (name, e) in enumerate(encoders))
     if len(sizes) == 1:
         return sizes[0][2], 1.0, False
     gain = (sizes[1][0] - sizes[0][0]) / sizes[1][0]

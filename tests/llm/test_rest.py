@@ -237,6 +237,18 @@ def test_language_id_of_odd_rows(frame, odd_rows):
     assert {r["lang_pred"] for r in identify(docs, {"en": learned["en"]}).collect()} == {"und", "en"}
 
 
+def test_long_texts_are_not_rejected_for_their_length(spark, frame):
+    """Texts of one language joined to three million characters are as clear as short ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and n_chars between 200 and 20000")
+    texts = sorted({r["text"] for r in docs.select("text").limit(3000).collect()})
+    long = "\n".join(texts)[:3_000_000]
+    assert len(long) > 2_000_000
+    learned = learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = {r["doc_id"]: r for r in identify(frame([(1, long[:20_000], None, None), (2, long, None, None)]), learned).collect()}
+    assert all(r["lang_pred"] == "en" and not r["rejected"] for r in rows.values())
+    assert rows[2]["score"] > 0.6
+
+
 # ---------------------------------------------------------------------------------------------------------- HTML
 
 
