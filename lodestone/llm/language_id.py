@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow, table
+from lodestone.llm.common import map_arrow, materialize, table
 
 #: The training sample: documents of each language, and code points of each, at most.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 2000
@@ -34,19 +35,29 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, size: int = DICTIONARY) -> dict[str, bytes]:
     """A dictionary of each language among docs (doc_id, text, lang), from a bounded sample of its documents.
 
-    A language's sample is the documents with the least hashes of their text, so many at most, and so many code points of
-    each from an offset that its hash gives. The most frequent language among all of docs comes first. Rows with a null
-    text or language teach nothing.
+    A language's sample is the distinct texts with the least hashes, so many at most, and so many code points of each from
+    an offset that its hash gives. Copies count once. The most frequent language among all of docs comes first. Rows
+    with a null text or language teach nothing.
     """
-    least = Window.partitionBy("lang").orderBy("_h")
     rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
-    rows = rows.select("lang", "_h", F.expr(f"substring(text, cast(pmod(_h, greatest(length(text) - {sample_chars}, 0) + 1) as int) + 1, {sample_chars})").alias("_part"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    hashes = materialize(rows.groupBy("lang", "_h").agg(F.count("*").alias("_n")))
+    sizes = {r["lang"]: (r["n"], r["texts"]) for r in hashes.groupBy("lang").agg(F.sum("_n").alias("n"), F.count("*").alias("texts")).collect()}
+    if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 8 * sample_docs / n))])[F.col("lang")]
-    low = rows.where(F.col("_h") / 2.0**64 + 0.5 <= share)  # so that few rows are ranked, whatever the number of partitions
-    sample = low.withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= sample_docs)
+    counts = {lang: n for lang, (n, _) in sizes.items()}
+
+    def least(of: DataFrame) -> list[tuple[str, int, int]]:
+        ranked = of.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= sample_docs)
+        return [tuple(r) for r in ranked.select("lang", "_h", "_k").collect()]
+
+    share = F.create_map(*[F.lit(x) for lang, (_, n) in sizes.items() for x in (lang, min(1.0, 8 * sample_docs / n))])[F.col("lang")]
+    chosen = least(hashes.where(F.col("_h") / 2.0**64 + 0.5 <= share))  # so that few rows are ranked, whatever the number of partitions
+    got = Counter(lang for lang, _, _ in chosen)
+    if short := [lang for lang, (_, n) in sizes.items() if got[lang] < min(sample_docs, n)]:
+        chosen = [x for x in chosen if x[0] not in short] + least(hashes.where(F.col("lang").isin(short)))
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, _h long, _k int")
+    part = F.expr(f"substring(text, cast(pmod(_h, greatest(length(text) - {sample_chars}, 0) + 1) as int) + 1, {sample_chars})").alias("_part")
+    sample = rows.join(F.broadcast(wanted), ["lang", "_h"]).select("lang", "_k", part).groupBy("lang", "_k").agg(F.min("_part").alias("_part"))
     found: dict[str, list[str]] = {}
     for row in sample.orderBy("lang", F.desc("_k")).collect():
         found.setdefault(row["lang"], []).append(letters_only(row["_part"]))

@@ -249,6 +249,14 @@ def test_long_texts_are_not_rejected_for_their_length(spark, frame):
     assert rows[2]["score"] > 0.6
 
 
+def test_copies_count_once_in_the_sample(frame):
+    """A language of few texts that are copied often is learned, and one copied text can't take all places."""
+    rows = [(i, f"wort {'ab'[i % 2]} und noch eines", "de", None) for i in range(600)] + [(1000 + i, f"word {'abcdefghij'[i]} and more of it", "en", None) for i in range(10)]
+    learned = learn(frame(rows), sample_docs=4)
+    assert list(learned) == ["de", "en"]
+    assert learned["de"].decode().count("wort") == 2 and learned["en"].decode().count("word") == 4
+
+
 # ---------------------------------------------------------------------------------------------------------- HTML
 
 
