@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import TEXT_ROWS, map_arrow, materialize, table
-from lodestone.llm.encoding import encoding
+from lodestone.llm.encoding import encoder
 
 #: Rows that one task ranks, about.
 RANKED_ROWS = 500_000
@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None)
     """A row for each piece of each document's ids. One document at a time is held besides its Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoder(path).encode
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -115,10 +115,11 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, max_docs: int |
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = sent.value
-        starts = slots[:, 0] << 48 | slots[:, 1]
+        lengths, nth = np.unique(slots[:, 0], return_inverse=True)
+        starts = nth << 40 | slots[:, 1]  # by length, then rank
         for batch in batches:
             length, rank = (batch.column(k).to_numpy() for k in ("length", "_rank"))
-            at = np.searchsorted(starts, length << 48 | rank, side="right") - 1
+            at = np.searchsorted(starts, np.searchsorted(lengths, length) << 40 | rank, side="right") - 1
             sequence = slots[at, 3] + rank - slots[at, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in SLOTS.names[:5]), pa.array(sequence), pa.array(slots[at, 4])], schema=SLOTS)
 

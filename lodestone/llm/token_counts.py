@@ -1,39 +1,99 @@
-"""Token counts that follow edits: a segment tree over each document's pre-tokens."""
+"""Token counts that follow edits: a balanced segment tree over each document's pre-tokens."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_arrow, table
-from lodestone.llm.encoding import encoding, pre_tokens
+from lodestone.llm.encoding import encoder
 
 #: Pre-tokens that a leaf holds.
 LEAF = 32
 
 
+#: A subtree: height, leaves, characters, tokens, left and right subtree; a leaf has its text and the ends of its pre-tokens there.
+Tree = tuple
+
+
+def _leaf(text: str, ends: list[int], tokens: int) -> Tree:
+    return (0, 1, len(text), tokens, text, ends)
+
+
+def _node(a: Tree, b: Tree) -> Tree:
+    return (1 + max(a[0], b[0]), a[1] + b[1], a[2] + b[2], a[3] + b[3], a, b)
+
+
+def _built(leaves: list[Tree]) -> Tree | None:
+    if len(leaves) < 2:
+        return leaves[0] if leaves else None
+    half = len(leaves) // 2
+    return _node(_built(leaves[:half]), _built(leaves[half:]))
+
+
+def _join(a: Tree | None, b: Tree | None) -> Tree | None:
+    """A balanced tree of a's leaves, then b's. Only sums along one path are computed anew."""
+    if a is None or b is None:
+        return a or b
+    if a[0] > b[0] + 1:
+        left, right = a[4], _join(a[5], b)
+        if right[0] <= left[0] + 1:
+            return _node(left, right)
+        inner, outer = right[4], right[5]
+        return _node(_node(left, inner[4]), _node(inner[5], outer)) if inner[0] > outer[0] else _node(_node(left, inner), outer)
+    if b[0] > a[0] + 1:
+        left, right = _join(a, b[4]), b[5]
+        if left[0] <= right[0] + 1:
+            return _node(left, right)
+        outer, inner = left[4], left[5]
+        return _node(_node(outer, inner[4]), _node(inner[5], right)) if inner[0] > outer[0] else _node(outer, _node(inner, right))
+    return _node(a, b)
+
+
+def _split(t: Tree | None, n: int) -> tuple[Tree | None, Tree | None]:
+    """Balanced trees of the first n leaves and of the others."""
+    if t is None or n <= 0:
+        return None, t
+    if n >= t[1]:
+        return t, None
+    left, right = t[4], t[5]
+    if n <= left[1]:
+        a, b = _split(left, n)
+        return a, _join(b, right)
+    a, b = _split(right, n - left[1])
+    return _join(left, a), b
+
+
+def _leaves(t: Tree | None, start: int = 0) -> Iterator[Tree]:
+    """Leaves from the start-th on."""
+    if t is not None and start < t[1]:
+        if not t[0]:
+            yield t
+        else:
+            yield from _leaves(t[4], start)
+            yield from _leaves(t[5], max(0, start - t[4][1]))
+
+
 class TokenTree:
-    """Characters and tokens of a text, summed over a binary tree whose leaves are runs of whole pre-tokens.
+    """Characters and tokens of a text, summed over a balanced tree whose leaves are runs of whole pre-tokens.
 
-    A pre-token depends on the text from its start to one character past its end. So after an edit the pre-tokens
-    that end before the edit's start stand, scanning begins anew at the next one, and as soon as a new boundary
-    behind the edit falls on an old one, all that follows stands too. Only leaves between are encoded again; their
-    place in the tree is rewritten and sums above them are updated. reencoded counts characters encoded since the
-    tree was built.
+    A pre-token depends on the text from its start to encoder.reach characters past its end. So after an edit the
+    pre-tokens that end that far before the edit's start stand, scanning begins anew at the next one, and as soon as a
+    new boundary behind the edit falls on the old end of a leaf, all that follows stands too. Only leaves between are
+    encoded again. They are cut out of the tree and others joined in, which takes steps and new sums in proportion to
+    its height, however many leaves come or go. reencoded counts characters encoded since the tree was built.
     """
 
     def __init__(self, text: str, path: str | None = None, leaf: int = LEAF) -> None:
-        self.encode, self.scan, self.size, self.reencoded = encoding(path).encode_ordinary, pre_tokens(), leaf, 0
-        self.leaves = self._cut(text, self.scan.findall(text))
-        self._build()
+        self.encoder, self.size, self.reencoded = encoder(path), leaf, 0
+        self.root = _built(self._cut(text, self.encoder.parts(text)))
 
-    def _cut(self, text: str, parts: list[str]) -> list[tuple[str, list[int], int]]:
-        """Leaves (text, ends of its pre-tokens, tokens) of parts, which make up text.
+    def _cut(self, text: str, parts: list[str]) -> list[Tree]:
+        """Leaves of parts, which make up text.
 
         A leaf doesn't end with white space inside a text: white space at an end is cut otherwise.
         """
@@ -45,100 +105,78 @@ class TokenTree:
                 end += 1
             some = ends[k:end]
             piece = text[start : some[-1]]
-            out.append((piece, [e - start for e in some], len(self.encode(piece))))
+            out.append(_leaf(piece, [e - start for e in some], len(self.encoder.encode(piece))))
             start, k = some[-1], end
         return out
 
-    def _build(self) -> None:
-        n = 1
-        while n < len(self.leaves):
-            n *= 2
-        self.base = n
-        self.chars, self.tokens = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
-        k = len(self.leaves)
-        self.chars[n : n + k] = [len(x[0]) for x in self.leaves]
-        self.tokens[n : n + k] = [x[2] for x in self.leaves]
-        while n > 1:
-            for sums in (self.chars, self.tokens):
-                sums[n // 2 : n] = sums[n : 2 * n : 2] + sums[n + 1 : 2 * n : 2]
-            n //= 2
-
-    def _find(self, position: int) -> tuple[int, int]:
-        """The leaf that holds a position, the last one for the text's end, and the leaf's start."""
-        at, start = 1, 0
-        while at < self.base:
-            at *= 2
-            if position - start >= self.chars[at] and self.chars[at + 1]:
-                start += int(self.chars[at])
-                at += 1
-        return at - self.base, start
+    def _find(self, position: int) -> tuple[int, int, Tree]:
+        """The number, start and leaf that hold a position; the last one for the text's end."""
+        at, start, t = 0, 0, self.root
+        while t[0]:
+            if position - start >= t[4][2]:
+                at, start, t = at + t[4][1], start + t[4][2], t[5]
+            else:
+                t = t[4]
+        return at, start, t
 
     @property
     def n_tokens(self) -> int:
-        return int(self.tokens[1])
+        return self.root[3] if self.root else 0
 
     @property
     def n_chars(self) -> int:
-        return int(self.chars[1])
+        return self.root[2] if self.root else 0
 
     @property
     def text(self) -> str:
-        return "".join(x[0] for x in self.leaves)
+        return "".join(t[4] for t in _leaves(self.root))
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters start to end (exclusive, both clipped to the text) by new."""
         start = min(max(start, 0), self.n_chars)
         end = min(max(end, start), self.n_chars)
-        if not self.leaves:
-            self.leaves = self._cut(new, self.scan.findall(new))
+        if self.root is None:
+            self.root = _built(self._cut(new, self.encoder.parts(new)))
             self.reencoded += len(new)
-            self._build()
             return
-        first, at = self._find(start - 1 if start else 0)
-        while first and start - at <= self.leaves[first][1][0]:  # the pre-token before may reach the edit
-            first -= 1
-            at -= len(self.leaves[first][0])
-        last, _ = self._find(end)
-        old = "".join(x[0] for x in self.leaves[first : last + 1])
-        ends, base = set(), 0
-        for piece, own, _ in self.leaves[first : last + 1]:
-            ends |= {base + e for e in own}
-            base += len(piece)
-        while True:  # widen to the right until the boundaries meet at a leaf's end
-            text = old[: start - at] + new + old[end - at :]
-            more = self.leaves[last + 1][0] if last + 1 < len(self.leaves) else ""
-            parts = self._scanned(text, more)
-            shift = len(text) - len(old)
-            if not more or sum(map(len, parts)) == len(text) and len(old) > end - at:
+        first, at, leaf = self._find(max(start - 1, 0))
+        while first and start - at <= max(leaf[5][0], self.encoder.reach):  # the pre-token before may reach the edit
+            first, at, leaf = self._find(at - 1)
+        want = self._find(end)[0] + 1 - first
+        shift = len(new) - (end - start)
+        while True:  # twice as many leaves, until the boundaries meet at the end of one
+            rest = _leaves(self.root, first)
+            old = list(islice(rest, want))
+            last = first + len(old) == self.root[1]
+            text = "".join(t[4] for t in old)
+            text = text[: start - at] + new + text[end - at :]
+            parts = self._scanned(text, rest)
+            bounds = list(accumulate(map(len, parts), initial=0))
+            met = set(bounds)
+            stops = accumulate(t[2] for t in old)
+            found = next(((n, e + shift) for n, e in enumerate(stops, 1) if (e > end - at and e + shift in met) or (last and n == len(old))), None)
+            if found:
                 break
-            last += 1
-            old += more
-        assert shift == len(new) - (end - start)
-        fresh = self._cut(text, parts)
-        self.reencoded += len(text)
-        same = len(fresh) == last + 1 - first
-        self.leaves[first : last + 1] = fresh
-        self._update(first, fresh) if same else self._build()
-
-    def _scanned(self, text: str, after: str) -> list[str]:
-        """Pre-tokens of text as they are when after follows; the last may pass text's end."""
+            want *= 2
+        used, stop = found
+        fresh = self._cut(text[:stop], parts[: bounds.index(stop)])
+        self.reencoded += stop
+        before, behind = _split(self.root, first)
+        self.root = _join(_join(before, _built(fresh)), _split(behind, used)[1])
+
+    def _scanned(self, text: str, rest: Iterator[Tree]) -> list[str]:
+        """Pre-tokens of text as they are when the leaves of rest follow; the last may pass text's end."""
+        after = ""
+        while len(after) < self.encoder.reach and (leaf := next(rest, None)):
+            after += leaf[4]
         parts, n = [], 0
-        for m in self.scan.finditer(text + after):
+        for part in self.encoder.parts(text + after):
             if n >= len(text):
                 break
-            parts.append(m.group())
-            n = m.end()
+            parts.append(part)
+            n += len(part)
         return parts
 
-    def _update(self, first: int, fresh: list[tuple[str, list[int], int]]) -> None:
-        for k, (piece, _, tokens) in enumerate(fresh, self.base + first):
-            self.chars[k], self.tokens[k] = len(piece), tokens
-        low, high = self.base + first, self.base + first + len(fresh) - 1
-        while low > 1:
-            low, high = low // 2, high // 2
-            for k in range(low, high + 1):
-                self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
-
 
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("edited_chars", pa.int64()), ("edited_tokens", pa.int64()), ("reencoded_chars", pa.int64())])
 

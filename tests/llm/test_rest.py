@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints as fp
-from lodestone.llm.encoding import encoding
+from lodestone.llm.encoding import encoder
 from lodestone.llm.html_text import extract, main_text, op4_html_text
 from lodestone.llm.language_id import identify, learn, op2_language_id
 from lodestone.llm.mixing import OP10_SQL, mix_sources, op10_mix_sources, source_targets
@@ -35,14 +35,28 @@ def tokenizer():
 
 def test_ids_equal_those_of_tokenizers(spark, sf_dir, tokenizer, odd_rows):
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [t for _, t, *_ in odd_rows if t is not None] + ["a\n\nb  \t c'LL 'll x́", "  \x85", "l'été 日本語 १२३"]
+    end = "<|endoftext|>"
+    texts += [end, f"x {end} y", f"  {end}{end}\n \n", f"<{end}>", "<|endoftext|", f"{end[:5]}{end}{end[5:]}", "\x1c\x1d a\x1fb"]
     for text in texts:
-        assert encoding().encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder().encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert "".join(encoder().parts(text)) == text
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" + "\r\n\t " * 250_000 + "b", ("x" + " " * 6000) * 3 + "<|endoftext|>" + "\n" * 400_000])
+def test_very_long_white_space(frame, tokenizer, text):
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder().encode(text) == want
+    tree = TokenTree(text)
+    assert tree.n_tokens == len(want)
+    tree.edit(len(text) // 2, len(text) // 2 + 3, "x <|endoftext|>")
+    assert tree.n_tokens == len(tokenizer.encode(tree.text, add_special_tokens=False).ids)
+    check_packing(pack(frame([(1, text, "en", "s")])).collect(), [(1, text)], tokenizer)
 
 
 def test_token_tree_follows_edits(tokenizer):
     rng = random.Random(1)
     for _ in range(400):
-        letters = rng.choice(["ab ", "a \n", "ab  1'!t é", "x"])
+        letters = rng.choice(["ab ", "a \n", "ab  1'!t é", "x", ["<|endoftext|>", "<|end", "of", "text|>", " ", "a", "\n"]])
         text = "".join(rng.choices(letters, k=rng.randrange(0, 120)))
         tree = TokenTree(text, leaf=rng.choice([1, 2, 5]))
         for _ in range(4):
@@ -61,6 +75,19 @@ def test_edits_encode_little():
     built = tree.reencoded
     tree.edit(60_000, 60_003, "new")
     assert built == 0 and tree.reencoded < 2000
+    leaves, same = tree.root[1], {id(t) for t in nodes(tree.root)}
+    tree.edit(60_000, 60_000, "many words put in " * 40)  # more leaves than before, but few new sums
+    assert tree.root[1] > leaves and len([t for t in nodes(tree.root) if id(t) not in same]) < 200
+    for k in range(300):
+        tree.edit(k * 7, k * 7 + 60, "a b" * (k % 40))
+    assert all(abs(t[4][0] - t[5][0]) < 2 for t in nodes(tree.root) if t[0])
+
+
+def nodes(t):
+    yield t
+    if t[0]:
+        yield from nodes(t[4])
+        yield from nodes(t[5])
 
 
 def test_token_counts(spark, frame, odd_rows, sf_dir, tokenizer):
@@ -117,6 +144,11 @@ def test_packing_is_tight(spark, sf_dir, tokenizer):
     assert n <= -(-tokens // 1024) * 1.02 + 1
 
 
+def test_sequences_longer_than_a_short_integer(frame, tokenizer):
+    docs = [(1, "a b " * 20_000), (2, "c d " * 10_000), (3, "e " * 90_000)]
+    check_packing(pack(frame([(d, t, "en", "s") for d, t in docs]), capacity=40_000).collect(), docs, tokenizer, 40_000)
+
+
 @pytest.mark.parametrize("mode", ["norm", "dot"])
 def test_every_constraint_holds(mode):
     rng = random.Random(3)
