@@ -29,6 +29,10 @@ SCOPES = frozenset("ul ol dl menu table select body".split())
 CONTAINERS = frozenset("body main article section div".split())
 
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>\0]*")
+#: Character references beyond what int() reads, and beyond Unicode.
+HUGE = re.compile(r"&#0*[1-9][0-9]{7,};?")
+ZEROS = re.compile(r"(&#)0{8,}(?=[0-9])")
 
 
 def _hinted(attrs: dict[str, str | None]) -> bool:
@@ -52,12 +56,17 @@ ROOT: Open = ("", False, False, False, 0, 0)
 class _Reader(HTMLParser):
     """Gathers lines: (text, tags since the line before, characters in links, apart, container, article, heading) of each block.
 
-    Containers are numbered as they open; inside and names hold the container around each and its tag.
+    Containers are numbered as they open; inside and names hold the container around each and its tag. places holds where
+    the open elements of each tag stand, so that closing one takes no search. Pages are fed whole, so markup that doesn't
+    end ends the page, as browsers have it; nothing of it is text.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[Open] = [ROOT]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.in_tag = False
         self.lines: list[tuple[str, int, int, bool, int, int, bool]] = []
         self.inside, self.names = [0], [""]
         self.parts: list[str] = []
@@ -97,6 +106,9 @@ class _Reader(HTMLParser):
             self.names.append(tag)
             container = len(self.inside) - 1
             article = article or container * (tag == "article")
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, unseen, apart, block, container, article))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -104,15 +116,22 @@ class _Reader(HTMLParser):
         if tag in ("svg", "math"):
             self.handle_endtag(tag)
 
+    def _last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
     def _close(self, tag: str, scopes: frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                if tag in BLOCKS:
-                    self.flush()
-                del self.open[k:]
-                return
-            if self.open[k][0] in scopes:
-                return
+        """Closes the last open element of the tag and those inside it, unless one of scopes is between."""
+        k = self._last(tag)
+        if k < 0 or (max(self.blocks[-1:], default=-1) if scopes is BLOCKS else max(map(self._last, scopes), default=-1)) > k:
+            return
+        if tag in BLOCKS:
+            self.flush()
+        for name, *_ in self.open[k:]:
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+        del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -123,7 +142,33 @@ class _Reader(HTMLParser):
         if tag not in VOID:
             self._close(tag, frozenset() if tag in BLOCKS else BLOCKS)
 
+    def _ended(self, k: int) -> int:
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        self.in_tag = True  # what the parser can't read in a tag isn't text
+        k = super().parse_starttag(i)
+        if k < 0 and (end := self.rawdata.find(">", i)) >= 0:
+            self.handle_starttag(TAG_NAME.match(self.rawdata, i + 1)[0].lower(), [])
+            k = end + 1
+        self.in_tag = False
+        return self._ended(k)
+
+    def parse_endtag(self, i: int) -> int:
+        return self._ended(super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._ended(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._ended(super().parse_pi(i))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._ended(self.parse_bogus_comment(i))
+
     def handle_data(self, data: str) -> None:
+        if self.in_tag:
+            return
         _, unseen, apart, block, _, _ = self.open[-1]
         if not unseen and apart == block:
             self.parts.append(data)
@@ -149,13 +194,14 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     its text outside links to its tags; ratios are smoothed by a Gaussian over neighbouring lines, and two clusters of
     them give a threshold. The region is a container of nine tenths of the text above it: of those that hold so much, the
     outermost article, else the outermost main element, else the smallest. Its lines are content without lines below
-    the threshold that are links alone or stand in an article most of whose text is below it. Lines elsewhere are
-    content if they are above the threshold and their own ratio is too, or they are a heading outside other articles.
+    the threshold that are links for the most part or stand in an article most of whose text is below it. Where no element
+    but the page holds so much, the first and last line whose own ratio passes as well bound it, with headings right before.
+    Lines elsewhere are content if they are above the threshold and their own ratio is too, or they are a heading outside other articles.
     Lines in elements that are apart by kind, role, class or id (menus, headers, footers, sidebars, notices, adverts,
     forms, comments) take part in the ratios but never in the text.
     """
     reader = _Reader()
-    reader.feed(html)
+    reader.feed(HUGE.sub("\ufffd", ZEROS.sub(r"\1", html)) if "&#" in html else html)
     reader.close()
     reader.flush()
     lines = reader.lines
@@ -185,11 +231,17 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     shares: dict[int, int] = {}
     for line, high, _ in own:
         shares[line[5]] = shares.get(line[5], 0) + (len(line[0]) if high else -len(line[0]))
+    first, last = 0, len(own)
+    if reader.names[region] in ("", "body"):  # nothing but the ratios tells where the text begins and ends
+        clear = [k for k, (_, high, dense) in enumerate(own) if high and dense] or [0, len(own) - 1]
+        first, last = clear[0], clear[-1]
+        while first and own[first - 1][0][6]:
+            first -= 1
     kept = []
-    for (text, _, linked, _, container, article, heading), high, dense in own:
+    for k, ((text, _, linked, _, container, article, heading), high, dense) in enumerate(own):
         if within[container]:
-            faint = linked >= len(text) or (article > region and shares[article] < 0)
-            if high or not faint:
+            faint = 2 * linked >= len(text) or (article > region and shares[article] < 0)
+            if first <= k <= last and (high or not faint):
                 kept.append(text)
         elif high and (dense or (heading and article <= region)):
             kept.append(text)

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints as fp
+from lodestone.llm import html_text
 from lodestone.llm.encoding import encoder
 from lodestone.llm.html_text import extract, main_text, op4_html_text
 from lodestone.llm.language_id import identify, learn, op2_language_id
@@ -339,6 +341,43 @@ def test_ratios_choose_the_region(page, text):
     assert main_text(page) == text
 
 
+PLAIN_PAGES = [
+    (f"<div><a href=1>Home</a> | <a href=2>News</a> | <a href=3>Help</a></div><div><h2>T</h2><p>{LONG}</p><p>{LONG}</p></div><div>Site 2020 <a href=1>Privacy</a> <a href=2>Terms</a></div>", ["T", LONG, LONG]),
+    (f"<table><tr><td><a href=1>x</a><br><a href=2>y</a><br><a href=3>z</a></td><td><p>{LONG}</p><p>Be.</p><p>{LONG}</p></td></tr><tr><td><font size=1>made with care</font></td></tr></table>", [LONG, "Be.", LONG]),
+    (f"<center><b>Site</b></center><hr><h1>T</h1><p>{LONG}<p>{LONG}<hr><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul><small>last change</small>", ["T", LONG, LONG]),
+    (f"<div><div><span>Log in</span></div><div><div><p>{LONG}</p><blockquote>{LONG}</blockquote><p>{LONG}</p></div><div><b>More</b><ul><li><a href=1>one more thing</a></li><li><a href=2>another</a></li></ul></div></div></div>", [LONG, LONG, LONG]),
+]
+
+
+@pytest.mark.parametrize("page,blocks", PLAIN_PAGES)
+def test_ratios_alone_find_the_text(page, blocks, monkeypatch):
+    """Pages without a telling element or class: the threshold decides, and without it menus and the like stay."""
+    want = "\n\n".join(b.strip() for b in blocks)
+    assert main_text(page) == want
+    monkeypatch.setattr(html_text, "_threshold", lambda values: -1.0)
+    assert main_text(page) != want
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [("<p>a<![foo[ b</p>c", "ac"), ("<p>a</p><!-- x", "a"), ("<?php x", ""), ("<p>a<b x", "a"), ("a &#" + "9" * 5000 + "; b", "a \ufffd b"), ("a &#" + "0" * 5000 + "65; b", "a A b"), ("<p>x <a$ y='>'>z</a>", "x z"), ("<a / b>c", "c"), ("<![CDATA[ a > b", "b"), ("a < b &amp", "a < b &")],
+)
+def test_malformed_markup_is_never_text(page, text):
+    assert main_text(page) == text
+
+
+def test_any_markup_is_read_in_linear_time():
+    rng = random.Random(4)
+    bits = ["<", "</", ">", "<!--", "-->", "<![", "]]>", "<?", "p", "article", "b", "td", "li", " ", "=", "'", '"', "/", "&#", "x9", ";", "text ", "<script>", "<p>", "</div>", "<div>", "<li>", "</i>", "\0", "<svg>"]
+    for _ in range(5000):
+        main_text("".join(rng.choices(bits, k=rng.randrange(40))))
+    n = 100_000
+    for page in ("<div>" * n, "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<p><b>" * n, "<ul><li>" * n, "<" * n, "<a " * n, "</a" * n, "<a " + 'x="' * n, "&#" * n):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 15
+
+
 def test_pages_of_any_kind(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a", "x"), (2, "u", "<div>" * 3000 + "deep", "x"), (3, "v", "<<<>>&&;<a b='", "x")], "page_id long, url string, html string, text string")
     rows = extract(pages).collect()
