@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, squeeze, table
 
 
+#: Keys are marked by so many hash buckets, which bounds what is sent to all tasks: 2^20 numbers.
+BUCKETS = 1 << 20
+
+
+def _bucket(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS))
+
+
+def _repeated(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The buckets (name) of keys that two rows or more have, written; keys are counted before they are shuffled."""
+    many = rows.groupBy(*key).agg(F.count("*").alias("_c")).where("_c > 1")
+    return materialize(many.select(_bucket(*key).alias(name)).distinct().coalesce(1))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize=squeeze, prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when normalize(text) is; of equal texts the row with the most code points in its original text
-    stays, then the smallest id (null ids last). What is left to compare shrinks level by level: all rows are
-    grouped by normalised length; those that share it by the hash of their first prefix_chars too; only those that
-    share that as well are grouped by the SHA-256 of the whole text, which alone decides. With digest_all every row
-    gets its SHA-256, taken in the one scan; otherwise only survivors' contents are read for it, in a second scan,
-    and text_sha256 is null elsewhere. Grouping shuffles narrow rows, and a large group is split by its join.
+    stays, then the smallest id (null ids last). What is left to compare shrinks level by level:
+
+    1. All rows are counted by normalised length.
+    2. Rows whose length repeats take the hash of their first prefix_chars, and are counted by length and that.
+    3. Rows that share both take the SHA-256 of the whole text, which alone decides, and are grouped by it.
+
+    Each level scans docs and lets pass rows whose key falls in a marked bucket. Marks are at most BUCKETS numbers
+    however many keys there are, so they are sent to all tasks and no text is shuffled; a key that shares a bucket
+    only by chance is told apart at the next level. Narrow rows are shuffled, and a large group is split by its join.
+    Rows that don't reach the last level are alone and come from their scan; with digest_all these get their SHA-256 there,
+    else text_sha256 is null for them.
 
     Null texts count as empty, and empty texts equal each other. Rows that repeat an id and a text count towards
     group_size and are kept or dropped alike: they are one document. No rows give no rows; other columns of docs
     are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-
-    def narrowed(rows: DataFrame, digest: bool) -> DataFrame:
-        rows = rows.select("_id", F.length("_text").alias("_n"), normalize(F.col("_text")).alias("_norm"))
-        prefix = F.xxhash64(F.substring("_norm", 1, prefix_chars)).alias("_prefix")
-        return rows.select("_id", "_n", F.length("_norm").alias("_len"), prefix, (F.sha2("_norm", 256) if digest else F.lit(None).cast("string")).alias("_sha"))
-
-    rows = materialize(narrowed(base, digest_all))
-    by_prefix = rows.groupBy("_len", "_prefix").agg(F.count("*").alias("_c"))
-    lengths = by_prefix.groupBy("_len").agg(F.sum("_c").alias("_of_length")).where("_of_length > 1").select("_len")
-    keys = by_prefix.join(lengths, "_len", "left_semi").where("_c > 1").select("_len", "_prefix")
-    single = rows.join(keys, ["_len", "_prefix"], "left_anti")
-    rest = rows.join(keys, ["_len", "_prefix"], "left_semi")
-    if not digest_all:
-        ids = rest.select(F.col("_id").alias("_found")).distinct()
-        rest = narrowed(base.join(ids, F.col("_id").eqNullSafe(F.col("_found")), "left_semi"), True)
-        rest = rest.join(keys, ["_len", "_prefix"], "left_semi")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.select("_id", F.length("_text").alias("_n"), normalize(F.col("_text")).alias("_norm")).withColumn("_len", F.length("_norm"))
+    lengths = _repeated(rows, ["_len"], "_mark")
+    rows = rows.join(F.broadcast(lengths), _bucket("_len") == F.col("_mark"), "left")
+    rows = rows.withColumn("_prefix", F.when(F.col("_mark").isNotNull(), F.xxhash64(F.substring("_norm", 1, prefix_chars)))).drop("_mark")
+    prefixes = _repeated(rows.where(F.col("_prefix").isNotNull()), ["_len", "_prefix"], "_mark")
+    marked = F.when(F.col("_prefix").isNotNull(), _bucket("_len", "_prefix")) == F.col("_mark")
+
+    sha = F.sha2("_norm", 256).alias("_sha")
+    rest = materialize(rows.join(F.broadcast(prefixes), marked, "left_semi").select("_id", "_n", "_len", sha))
+    alone = rows.join(F.broadcast(prefixes), marked, "left_anti")
+    alone = alone.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), sha if digest_all else F.lit(None).cast("string").alias("_sha"))
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("last"), F.col("_id").alias("id")))
     groups = rest.groupBy("_len", "_sha").agg(F.count("*").alias("group_size"), best.alias("_best"))
     grouped = rest.join(groups, ["_len", "_sha"]).select("_id", F.col("_best.id").alias("keep_id"), "group_size", "_sha")
-    alone = single.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "_sha")
     both = grouped.union(alone)
     return both.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
