@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from random import Random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +15,10 @@ BINS = 1 << BIN_BITS
 #: Tries of densification before the ranked choice, which always ends.
 TRIES = 8
 
-#: Quantile ranges of ids, and rows of a bucket, within which documents are put in order.
-RANGES, BUCKET_ROWS = 64, 2048
+#: Cells that a range of ids is cut into at a time, how often at most, and rows of a bucket, about.
+WAYS, LEVELS, BUCKET_ROWS = 64, 3, 2048
+#: Text that a task of the shuffle gets, about.
+PARTITION_BYTES = 32 << 20
 
 
 def _bin(x: Column) -> Column:
@@ -57,6 +58,7 @@ def packed(codes: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two documents' shingles: equal codes, less those that are equal by chance.
 
+    Without bias but near 0, where a negative estimate becomes 0.
     Two documents without words are alike (1), one without words is unlike any other (0).
     """
     chance = 2.0**-BITS
@@ -71,39 +73,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_codes(rows, "_text", "_codes", words).select(id_col, packed(F.col("_codes")).alias("fingerprint"))
 
 
-def with_buckets(docs: DataFrame, key: str) -> DataFrame:
-    """docs with _range and _bucket, which follow the order of key: about BUCKET_ROWS rows each, null keys apart.
+def with_buckets(docs: DataFrame, key: str, tie: str) -> DataFrame:
+    """docs with _bucket, a number that follows the order of rows: by descending key, nulls last, then by tie.
 
-    Only RANGES quantiles of the keys reach the driver; a range is cut into buckets of equal width.
+    Keys are cut at approximate quantiles into WAYS cells, and these again, LEVELS times at most, until a cell has about
+    BUCKET_ROWS rows; so buckets are alike however keys are spread. A cell that is much larger holds a frequent key, its
+    least one: that key's rows are split by tie, a hash, and so are rows without a key. Only keys and ties are read for
+    it; tables of bounds have WAYS ** LEVELS numbers at most, which may be sent to all tasks.
     """
-    n, least, bounds = docs.agg(F.count(key), F.min(key), F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 10000)).first()
-    edges = sorted({least, *(bounds or ())} - {None})
-    if not edges:
-        return docs.withColumns({"_range": F.lit(-1), "_bucket": F.lit(-1).cast("long")})
-    ends = [*edges[1:], docs.agg(F.max(key)).first()[0] + 1]
-    each = max(1, -(-n // (BUCKET_ROWS * len(edges))))
-    widths = [max(1, -(-(b - a) // each)) for a, b in zip(edges, ends, strict=True)]
-    at = reduce(lambda x, y: x + y, [(F.col(key) >= F.lit(e)).cast("int") for e in edges]) - 1
-    docs = docs.withColumn("_range", F.coalesce(at, F.lit(-1)))
-    long = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    within = F.floor((F.col(key) - F.get(long(edges), F.col("_range"))) / F.get(long(widths), F.col("_range"))).cast("long")
-    return docs.withColumn("_bucket", F.when(F.col("_range") >= 0, F.col("_range").cast("long") * (1 << 40) + within).otherwise(F.lit(-1).cast("long")))
-
-
-def with_guests(docs: DataFrame, key: str) -> DataFrame:
-    """docs in buckets, with _guest: by descending key, each bucket ends with a copy of the row that follows it.
-
-    The first row of all follows the last. Which bucket hosts which row is found on one narrow row a bucket; that
-    table is written, so that its join is broadcast only if it is small.
+    n, nulls = docs.agg(F.count(key), F.count_if(F.col(key).isNull())).first()
+    docs = docs.withColumn("_cell", F.when(F.col(key).isNotNull(), F.lit(0).cast("long")))
+    for level in range(LEVELS):
+        ways = min(WAYS, -(-n // (BUCKET_ROWS * WAYS**level)))
+        if ways < 2:
+            break
+        bounds = docs.where("_cell is not null").groupBy(F.col("_cell").alias("_of")).agg(F.percentile_approx(key, [k / ways for k in range(1, ways)], 10000).alias("_q"))
+        docs = docs.join(F.broadcast(materialize(bounds)), F.col("_cell") == F.col("_of"), "left").withColumn("_at", F.size(F.filter("_q", lambda q: q <= F.col(key))))
+        docs = docs.withColumn("_cell", F.when(F.col("_cell").isNotNull(), F.col("_cell") * WAYS + F.col("_at"))).drop("_of", "_q", "_at")
+    sizes = docs.where("_cell is not null").groupBy(F.col("_cell").alias("_of")).agg(F.count("*").alias("_c"), F.min(key).alias("_hot")).where(F.col("_c") > 4 * BUCKET_ROWS)
+    docs = docs.join(F.broadcast(materialize(sizes)), F.col("_cell") == F.col("_of"), "left")
+    share = F.col(tie) / 2.0**64 + 0.5
+    part = lambda parts: F.least(F.floor(share * parts), parts - 1).cast("long")
+    of_key = F.when(F.col(key) == F.col("_hot"), 1 + part(F.ceil(F.col("_c") / BUCKET_ROWS))).otherwise(0)
+    last = F.lit(WAYS**LEVELS).cast("long")
+    parts = F.lit(max(1, min(WAYS**LEVELS, nulls // BUCKET_ROWS))).cast("long")
+    bucket = F.when(F.col("_cell").isNotNull(), (last - 1 - F.col("_cell")) * 2**40 + of_key).otherwise(last * 2**40 + part(parts))
+    return docs.withColumn("_bucket", bucket).drop("_cell", "_of", "_c", "_hot")
+
+
+def with_guests(docs: DataFrame, key: str, tie: str) -> DataFrame:
+    """docs in buckets, with _guest: in the order of rows, each bucket ends with a copy of the row that follows it.
+
+    The first row of all follows the last. Which bucket hosts which row is found on one narrow row a bucket, and that
+    table is sent to all tasks: its size is bounded as the number of buckets is.
     """
-    docs = with_buckets(docs, key)
-    tops = docs.groupBy("_range", "_bucket").agg(F.max(key).alias("_top"))
-    ranges = tops.groupBy("_range").agg(F.min("_bucket").alias("_low"))
-    order = Window.orderBy("_range")  # RANGES + 1 rows at most
-    above = ranges.select("_range", F.coalesce(F.lead("_low").over(order), F.min("_low").over(Window.partitionBy())).alias("_up"))
-    host = F.coalesce(F.lead("_bucket").over(Window.partitionBy("_range").orderBy("_bucket")), F.col("_up"))
-    hosts = materialize(tops.join(above, "_range").select("_top", "_bucket", host.alias("_host")).withColumnRenamed("_bucket", "_own"))
-    guests = docs.join(hosts, (F.col("_bucket") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_top"))).withColumn("_bucket", F.col("_host")).drop("_top", "_own", "_host")
+    docs = with_buckets(docs, key, tie)
+    top = F.max(F.struct(F.col(key).alias("key"), F.bitwise_not(F.col(tie)).alias("tie"))).alias("_top")
+    tops = materialize(docs.groupBy(F.col("_bucket").alias("_own")).agg(top))
+    order = Window.orderBy("_own")
+    host = F.coalesce(F.lag("_own").over(order), F.max("_own").over(Window.partitionBy()))
+    hosts = materialize(tops.select("_own", F.col("_top.key").alias("_key"), F.bitwise_not(F.col("_top.tie")).alias("_tie"), host.alias("_host")).coalesce(1))
+    mine = (F.col("_bucket") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")) & (F.col(tie) == F.col("_tie"))
+    guests = docs.join(F.broadcast(hosts), mine).withColumn("_bucket", F.col("_host")).drop("_own", "_key", "_tie", "_host")
     return docs.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
 
 
@@ -115,12 +126,17 @@ def edit_likeness(docs: DataFrame, words: int = 5) -> DataFrame:
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Texts are shuffled once, into buckets that follow the order of doc_id; each bucket also gets the row that follows
-    it, so no order over all rows is needed. Null texts are empty; null ids come last; rows that repeat an id follow
-    each other by text; a single row follows itself; no rows give no rows; other columns are ignored.
+    it, so no order over all rows is needed. Buckets are dealt to a partition for each PARTITION_BYTES of text. Null
+    texts are empty; null ids come last; rows that repeat an id, or have none, follow each other by a hash of their text,
+    and only rows equal in both always share a bucket; a single row follows itself; no rows give no rows; other columns
+    are ignored.
     """
-    rows = with_guests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    rows = with_guests(rows.withColumn("_first", F.xxhash64("_text")), "doc_id", "_first").repartition(partitions, "_bucket")
     order = Window.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "_first")
-    rows = rows.withColumn("_first", F.xxhash64("_text")).withColumn("_next", F.coalesce(F.lead("_text").over(order), F.lit("")))
+    rows = rows.withColumn("_next", F.coalesce(F.lead("_text").over(order), F.lit("")))
     n = F.length("_text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - cut), F.substring(F.col("_next"), F.lit(1), cut))

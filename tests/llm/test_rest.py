@@ -21,6 +21,7 @@ from lodestone.llm.mixing import OP10_SQL, mix_sources, op10_mix_sources, source
 from lodestone.llm.packing import pack, plan_bins
 from lodestone.llm.token_counts import TokenTree, edited_counts, op3_token_counts
 
+from .conftest import prose
 from .test_dedup import WORD, same_as_sql
 
 
@@ -233,6 +234,62 @@ def test_edit_likeness(spark, frame, odd_rows, monkeypatch, bucket, sf_dir):
     assert abs(np.mean(errors)) < 0.01 and np.sqrt(np.mean(np.square(errors))) < 0.06
 
 
+def plain_fingerprint(text: str) -> str:
+    """The fingerprint by one loop over bins, with Spark's 64-bit hash taken from another library."""
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
+    if not words:
+        return ""
+    least: dict[int, int] = {}
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", w), h)
+        at = (signed(h) >> 57) + 64
+        least[at] = min(least.get(at, 2**63), signed(h))
+    rng = random.Random(20170806)
+    tries = [[rng.randrange(fp.BINS) for _ in range(fp.BINS)] for _ in range(fp.TRIES)]
+    codes = []
+    for b in range(fp.BINS):
+        source = next((x for x in (b, *(t[b] for t in tries)) if x in least), None)
+        if source is None:
+            rank = lambda x: signed(xxhash.xxh64_intdigest(struct.pack("<q", x), xxhash.xxh64_intdigest(struct.pack("<i", b), 42)))  # noqa: E731, B023
+            source = min(least, key=lambda x: (rank(x), least[x]))
+        codes.append(least[source] & 255)
+    return "".join(f"{c:02x}" for c in codes)
+
+
+def test_fingerprints_equal_a_plain_version(spark, frame, odd_rows, sf_dir):
+    rows = [(d, t, "en", "s") for d, t in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()] + [r for r in odd_rows if r[0] not in (9, 11, None)]
+    rows = [(k, t, a, b) for k, (_, t, a, b) in enumerate(rows)]
+    text = {r[0]: r[1] for r in rows}
+    for r in fp.fingerprints(frame(rows)).collect():
+        assert r["fingerprint"] == plain_fingerprint(text[r["doc_id"]] or "")
+
+
+@pytest.mark.parametrize("bucket,ways", [(4, 4), (2, 3), (50, 64)])
+def test_buckets_follow_the_order_of_any_ids(frame, monkeypatch, bucket, ways):
+    """Clustered ids, a frequent id and many null ids: buckets stay small, and every row has the right next one."""
+    monkeypatch.setattr(fp, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(fp, "WAYS", ways)
+    rng = random.Random(bucket)
+    ids = [rng.randrange(10) for _ in range(60)] + [10**12 + rng.randrange(10**6) for _ in range(60)] + [7] * 80 + [None] * 60 + [-(2**62), 2**62]
+    rows = [(d, prose(rng, 12), "en", "s") for d in ids]
+    docs = frame(rows, 7).select(F.col("doc_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_first"))
+    sizes = Counter(r["_bucket"] for r in fp.with_buckets(docs, "doc_id", "_first").collect())
+    assert max(sizes.values()) <= 8 * bucket or bucket == 50
+    first = {r["_text"]: r["_first"] for r in docs.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), first[r[1]]))
+    want = Counter()
+    for (d, t, *_), (_, follows, *_) in zip(order, order[1:] + order[:1], strict=True):
+        want[d, hashlib.sha256((t[: len(t) - len(t) // 3] + follows[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fp.edit_likeness(frame(rows, 7)).collect()) == want
+
+
 def test_fingerprints_of_odd_rows(frame, odd_rows):
     assert fp.edit_likeness(frame(odd_rows)).count() == len(odd_rows)
     assert fp.edit_likeness(frame([])).count() == 0 == fp.fingerprints(frame([])).count()
