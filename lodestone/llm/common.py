@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.session import checkpoint_dir, materialize, ship
 
-__all__ = ["checkpoint_dir", "components", "discard", "map_arrow", "materialize", "n_words", "release", "ship", "squeeze", "table"]
+__all__ = ["checkpoint_dir", "components", "discard", "map_arrow", "materialize", "n_words", "release", "sent_if_small", "ship", "squeeze", "table"]
 
 #: White space and words of all contracts, as Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,6 +38,15 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+#: Narrow rows that may be sent to all tasks.
+SENT_ROWS = 300_000
+
+
+def sent_if_small(rows: DataFrame) -> DataFrame:
+    """Written narrow rows, marked to be sent to all tasks if there are SENT_ROWS at most; else Spark shuffles both sides of their join."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by materialize() that no later step reads, and lets Spark drop finished shuffles."""
     for df in tables:

@@ -9,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import TEXT_ROWS, components, discard, forest, map_arrow, materialize, release, table
+from lodestone.llm.common import TEXT_ROWS, components, discard, forest, map_arrow, materialize, release, sent_if_small, table
 from lodestone.llm.shingles import mixed, shingle_set
 
 #: Permutations, each giving a minimum and a maximum, and rows of a band: 126 hash evaluations make 42 bands of 6.
 PERMUTATIONS, ROWS = 126, 6
 
 #: A block of a candidate cluster has about so many documents and shingles at most, however large the cluster.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 500_000
 #: Documents of a large cluster that every one of its blocks also gets.
-HUBS = 64
+HUBS = 32
 
 U = np.uint64
 
@@ -105,13 +105,16 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, permutations
     2. Classes that share a band form candidate clusters: each is tied to the least of its band, and the ties'
        components are taken, so no pairs are listed.
     3. Clusters are confirmed on full sets. A cluster goes to one task if it is small; a larger one is cut into blocks,
-       each with the cluster's HUBS least documents too, which already joins most; then documents outside the
-       cluster's main component meet every block, so that no link across blocks is lost.
-    4. Components of the confirmed links, each given as a spanning forest, are the result.
-
-    A cluster's sets are held a pair of blocks at a time. Rows that repeat an id are one document: they join its
-    texts' components. A null id has no row to be named by: it has no links, a null component_id, and is kept. Null
-    texts are empty; no rows give no rows; other columns are ignored.
+       each with the cluster's HUBS least documents too, which already joins most.
+    4. In large clusters bands are settled one by one: a band whose documents are all joined needs no more. In the others
+       the documents outside the band's main component meet the band's blocks, so that every two documents that share
+       a band are compared unless links already join them. Chains of bands that only meet by chance cost nothing more.
+    5. Components of the confirmed links, each given as a spanning forest, are the result.
+
+    A pair of blocks is held at a time. Sets are of hashes of 64 bits; texts made for it could collide. Rows that repeat an
+    id are one document: they join its texts' components. A null id has no row to be named by: it has no links, a null component_id, and is kept. Null
+    texts are empty; no rows give no rows; other columns are ignored. The result is written and all other scratch
+    tables are deleted.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
@@ -158,8 +161,8 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, permutations
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / HUBS)) == 0)
     members = members.join(size, "cluster").select("node", "cluster", "size", "blocks", block, hub.alias("hub"))
-    sets = materialize(map_arrow(docs.join(members, F.col("doc_id") == F.col("node")).select("text", *MEMBER), shingle, SETS), TEXT_ROWS)
-    discard(first)
+    members = materialize(members)
+    sets = materialize(map_arrow(docs.join(sent_if_small(members), F.col("doc_id") == F.col("node")).select("text", *MEMBER), shingle, SETS), TEXT_ROWS)
 
     def confirmed(rows: DataFrame) -> DataFrame:
         rows = rows.select("cluster", "i", "j", "node", "own").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
@@ -167,24 +170,32 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, permutations
 
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     links = confirmed(sets.select("*", F.lit(0).alias("i"), F.explode(F.when(F.col("hub"), every).otherwise(F.array("block"))).alias("j")))
-    large = sets.where("blocks > 1")
+    large = sets.where("blocks > 1").select("node", "own")
+    scratch = [signed, classes, first, clusters, members, sets, links]
     if not large.isEmpty():
-        joined = components(links).select(F.col("node").alias("_node"), F.col("root"))
-        placed = large.select("node", "cluster").join(joined, F.col("node") == F.col("_node"), "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
-        main = placed.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        rest = placed.join(main, "cluster").where("root <> main").select("node", "cluster").distinct()
-        parts = rest.groupBy("cluster").agg(F.count("*").alias("left"))
-        parts = large.select("cluster", "size", "blocks").distinct().join(parts, "cluster").select("cluster", F.ceil(F.col("left") * F.col("blocks") / F.col("size")).alias("parts"))
-        left = large.join(rest, ["node", "cluster"], "left_semi").join(parts, "cluster").select("*", F.pmod(F.xxhash64("node"), F.col("parts")).alias("i"), F.explode(every).alias("j"))
-        met = large.join(parts, "cluster").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"))
-        links = links.union(confirmed(left.unionByName(met)))
+        joined = components(links)
+        placed = members.where("blocks > 1").join(joined, "node", "left").select(F.col("node").alias("rep"), F.coalesce("root", "node").alias("root"))
+        inside = materialize(first.join(placed, "rep").select("rep", "root", "n", F.explode("bands").alias("band")))
+        roots = inside.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        bands = roots.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("size"), F.sum("n").alias("n"), F.max("c").alias("in_main"))
+        blocks = lambda c: F.ceil(F.greatest(c / BLOCK_DOCS, c / F.col("size") * F.col("n") / BLOCK_SHINGLES))
+        bands = materialize(bands.where("roots > 1").select(F.col("band").alias("cluster"), "main", blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("in_main")).alias("parts")))
+        met = inside.join(bands, F.col("band") == F.col("cluster")).select("cluster", F.col("rep").alias("node"), "root", "main", "blocks", "parts")
+        block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
+        asking = met.where("root <> main").select("cluster", "node", part.alias("i"), F.explode(every).alias("j"))
+        asked = met.select("cluster", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), block.alias("j"))
+        again = confirmed(asking.union(asked).distinct().join(large, "node"))
+        scratch += [joined, inside, bands, again]
+        links = links.union(again)
     release(docs.sparkSession)
 
     copies = named.join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     found = components(links.union(copies))
     component = F.coalesce(F.col("root"), F.col("doc_id"))
     placed = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    result = materialize(placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
+    discard(*scratch, found)
+    return result
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """64-bit hashes of words and of runs of words, computed for a whole text at once.
 
 A run's hash is a polynomial in a fixed odd base modulo 2**64, taken from differences of prefix sums and then mixed.
-Equal runs have equal hashes; two different ones collide with a probability of about 2**-64.
+Equal runs have equal hashes; two different ones collide with a probability of about 2**-64 in texts that weren't made for it.
+A polynomial modulo 2**64 has no bound against an adversary: words of a thousand letters and more can be made that collide.
 """
 
 from __future__ import annotations
