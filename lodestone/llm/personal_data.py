@@ -25,7 +25,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Every kind, in any form that the model knows, has a digit or one of these.
-TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|AT)[\])}]| (?:dot|DOT) ")
+AT, DOT = r"(?:\s?(?:@|[\[({](?:at|AT)[\])}])\s?)", r"(?:\s?(?:\.|[\[({](?:dot|DOT)[\])}])\s?)"
+NAME, LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
+WRITTEN = re.compile(rf"{NAME}{AT}{LABEL}(?:{DOT}{LABEL})+|{NAME} (?:at|AT) {LABEL}(?: (?:dot|DOT) {LABEL}(?:\.{LABEL})*)+")
 
 Span = tuple[int, int, str]
 
@@ -66,12 +69,12 @@ def _plausible(text: str, kind: str) -> bool:
     """What a span that the model finds must have to be added."""
     digits = _digits(text)
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(@|[\[(]at[\])])\s?[A-Za-z0-9-]+(\s?(\.|[\[(]dot[\])])\s?[A-Za-z0-9-]+)+", text))
+        return bool(WRITTEN.fullmatch(text))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}([.][0-9]{1,3}){3}", text)) and all(int(x) <= 255 for x in text.split("."))
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9]([ ./-]?[0-9])+", text)) and 14 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", text)) and 10 <= len(digits) <= 15 and len(re.findall(r"[ ().-]+", text)) >= 2
+        return bool(re.fullmatch(r"[0-9]( ?[ ./-]? ?[0-9])+", text)) and 14 <= len(digits) <= 19 and luhn(digits)
+    return bool(re.fullmatch(r"[+(]?[0-9][0-9 ()./-]+[0-9]", text)) and 10 <= len(digits) <= 15 and len(re.findall(r"[ ()./-]+", text)) >= 2
 
 
 def _windows(text: str) -> list[int]:
@@ -127,7 +130,7 @@ def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = No
     """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans of each row of docs (doc_id, text), from the whole text.
 
     Counts are those of base spans, the patterns' matches; base_spans lists these and spans all, as listed() does.
-    The model, by default the one that trained() makes of invented labelled spans, is sent to all tasks (some 40
+    The model, by default the stored one that train() made of invented labelled spans, is sent to all tasks (some 40
     KB). It adds spans in forms that the patterns miss: written-out mail addresses, national telephone numbers, cards
     with other separators. It reads windows with a digit or a mark of a mail address, as no span is without.
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from lodestone.llm import personal_data
 from lodestone.llm import sequence_tagger as st
 from lodestone.llm.personal_data import base_spans, find_personal_data, luhn, op8_personal_data, tagged
 
@@ -30,6 +31,77 @@ def model():
     return st.trained()
 
 
+#: Written by hand, not by the generator that the model learned from: kind|span in double braces. Most are forms that the patterns miss.
+LABELLED = r"""
+Please ring {{phone|(020) 7946 0958}} before noon, ask for Mrs Hall in room 214.
+Our office moved; the new number is {{phone|415-555-0132}} and the old one, 415-555, no longer works.
+Questions? jane.roe {{email|jane.roe [at] harbour [dot] org}} will answer within 3 days.
+For the 2023 accounts (pages 12-48) write to {{email|accounts(at)millbrook.co.uk}}, not to the desk.
+Meine Nummer ist {{phone|030/5557-1234}}, ab 18:30 Uhr bin ich da.
+Appelez le {{phone|01 42 68 53 00}} ou passez au 12, rue des Lilas, 75011 Paris.
+El pedido 88231 se pago con la tarjeta {{card|4111.1111.1111.1111}} el 03/02/2021.
+Visa {{card|5500/0000/0000/0004}} was declined at 10:42:07.
+The server {{ip|10.20.30.40}} answered after 200 ms, build 4.2.1 was deployed.
+Send it to {{email|lee AT northwind DOT com}} by Friday.
+She left {{phone|(212) 555-0187}} as her number. The invoice total was $1,204.50.
+Version 3.11.4 replaces 3.11.3; see section 4.2 and issue #10443.
+The sequence 1 1 2 3 5 8 13 21 34 55 has a limit ratio of 1.618.
+ISBN 978-3-16-148410-0 is on page 33 of the list from 2019-07-01.
+Call me on {{phone|07700 900 123}} or mail {{email|tom.b@lakes.net}}.
+hash = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" size 104857600 offset 4096
+It costs 1.299.000,00 euros; the loan runs from 01.01.2020 to 31.12.2049.
+Contact: {{email|info {at} stone-works {dot} de}} or fax {{phone|0049 89 5554 3210}}.
+At 51.50735, -0.12776 the train stops at platform 9 for 12 minutes.
+The ticket (no. 00421) is valid on 3 of 12 lines, 24 hours a day.
+Your reference is 2021-11-0000345, please quote it at the desk.
+My phone: {{phone|555.867.5309}}; my father's: {{phone|1-800-555-0199}}.
+In 1998 about 120 000 people lived there, in 2008 some 135 000.
+Write to {{email|s_ortega@correo.example.com}} o llame al {{phone|912 55 01 432}}.
+"""
+
+
+def labelled() -> list[tuple[str, set[tuple[int, int, str]]]]:
+    out = []
+    for line in LABELLED.strip().split("\n"):
+        text, spans = "", set()
+        for k, part in enumerate(re.split(r"\{\{(.*?)\}\}", line)):
+            if k % 2:
+                kind, _, part = part.partition("|")
+                spans.add((len(text), len(text) + len(part), kind))
+            text += part
+        out.append((text, spans))
+    return out
+
+
+def measured(model) -> tuple[float, float, float]:
+    """Precision of added spans, recall of what the base patterns miss, and recall of base patterns alone."""
+    texts = labelled()
+    base = [base_spans(t) for t, _ in texts]
+    added = [set(x) for x in tagged([t for t, _ in texts], base, model)]
+    right = sum(len(a & want) for a, (_, want) in zip(added, texts, strict=True))
+    missed = sum(len(want - set(b)) for b, (_, want) in zip(base, texts, strict=True))
+    every = sum(len(want) for _, want in texts)
+    return right / max(1, sum(map(len, added))), right / missed, 1 - missed / every
+
+
+def test_added_spans_of_texts_labelled_by_hand(model, monkeypatch):
+    precision, recall, base = measured(model)
+    assert precision >= 0.9 and recall >= 0.7 and base < 0.3, (precision, recall, base)
+    monkeypatch.setattr(personal_data, "_plausible", lambda text, kind: True)
+    precision, recall, _ = measured(model)
+    assert precision >= 0.75 and recall >= 0.7, (precision, recall)
+
+
+def test_training_lowers_the_loss_and_is_the_stored_one():
+    """A few steps of training already find most tags; the stored parameters have the shapes that train() gives."""
+    few, stored = st.train(steps=120), st.trained()
+    assert {k: v.shape for k, v in few.items()} == {k: v.shape for k, v in stored.items()}
+    texts, y = st.examples(random.Random(7), 60, 64)
+    x = np.stack([st.symbols(t) for t in texts])
+    losses = [st.loss_and_grads({k: v.astype(float) for k, v in p.items()}, x, y)[0] for p in (st.initial(12, 28, 5), few, stored)]
+    assert losses[0] > 2 * losses[1] > 4 * losses[2]
+
+
 def test_base_spans_are_those_of_the_patterns():
     rng = random.Random(3)
     for _ in range(5000):
