@@ -53,11 +53,12 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _runs(BYTES[b], edges[::2], edges[1::2])
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of every n consecutive words, by the position of the first."""
+def run_hashes(words: np.ndarray, n: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """The hash of n consecutive words from each of starts, by default from every word that has so many."""
     if len(words) < n:
         return np.empty(0, np.uint64)
-    starts = np.arange(len(words) - n + 1)
+    if starts is None:
+        starts = np.arange(len(words) - n + 1)
     return _runs(words, starts, starts + n)
 
 

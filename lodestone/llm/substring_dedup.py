@@ -25,9 +25,10 @@ def is_cover(cover: Sequence[int], period: int) -> bool:
 
 def _anchors(words: np.ndarray, window: int, period: int, cover: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the cover, and hashes of the window - period + 1 words from each."""
-    hashes = run_hashes(words, window - period + 1)
-    at = np.flatnonzero(np.isin(np.arange(period), cover)[np.arange(len(hashes)) % period])
-    return at, hashes[at]
+    n = window - period + 1
+    at = (np.arange(0, len(words), period)[:, None] + np.sort(np.array(cover))).ravel()
+    at = at[at <= len(words) - n]
+    return at, run_hashes(words, n, at)
 
 
 def _emit(found: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
