@@ -14,9 +14,9 @@ BINS = 65536
 
 
 def letter_share(text: Column) -> Column:
-    """A document's quality weight: the share of ASCII letters in its non-blank characters, 0.05 at least."""
+    """A document's quality weight: the share of letters, of any script, in its non-blank characters, 0.05 at least."""
     solid = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, ""))
-    letters = solid - F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[A-Za-z\\x20\\x09-\\x0D]+", ""))
+    letters = solid - F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{L}\x20\x09-\x0D]+", ""))
     return F.greatest(F.lit(0.05), F.coalesce(F.try_divide(letters, solid), F.lit(0.0)))
 
 
@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 #: The water level is found step by step here: each step fixes the caps that bind at it.
 OP10_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-  length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS solid, length(regexp_replace(coalesce(text, ''), '[A-Za-z\x20\x09-\x0D]+', '', 'g')) AS other,
+  length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS solid, length(regexp_replace(coalesce(text, ''), '[\p{L}\x20\x09-\x0D]+', '', 'g')) AS other,
   (('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 k AS (SELECT doc_id, source, size, -ln(u) / greatest(0.05, CASE WHEN solid = 0 THEN 0 ELSE (solid - other)::DOUBLE / solid END) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS w FROM k GROUP BY source),
