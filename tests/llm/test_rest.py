@@ -198,6 +198,14 @@ def test_targets_fill_to_their_caps(spark):
     assert all(abs(got[s] - min(caps[s], level * w)) < 1e-6 for s, w in weights.items())
 
 
+def test_letters_of_any_script_weigh_alike(frame):
+    from lodestone.llm.mixing import letter_share
+
+    rows = [(1, "abc de1", None, None), (2, "где ты1", None, None), (3, "日本 語語語1", None, None), (4, "έναδυ 1", None, None), (5, "12 34", None, None), (6, None, None, None)]
+    got = {r[0]: r[1] for r in frame(rows).select("doc_id", letter_share(F.col("text"))).collect()}
+    assert {d: round(x, 6) for d, x in got.items()} == {d: round(5 / 6, 6) for d in (1, 2, 3, 4)} | {5: 0.05, 6: 0.05}
+
+
 def test_heavier_documents_come_first(frame):
     rows = [(d, "w " * 10, "en", "abc"[d % 3]) for d in range(3000)]
     got = mix_sources(frame(rows), quality=F.when(F.col("doc_id") % 2 == 0, 5.0).otherwise(0.2))
@@ -340,6 +348,50 @@ def test_long_texts_are_not_rejected_for_their_length(spark, frame):
     assert rows[2]["score"] > 0.6
 
 
+def test_language_id_equals_a_plain_version(spark, frame, odd_rows, sf_dir):
+    """Sampling, dictionaries, sizes and margins by plain loops over all rows."""
+    import xxhash
+    import zstandard as zstd
+
+    from lodestone.llm.language_id import BLOCK, DICTIONARY, LEVEL, MARGIN
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()] + odd_rows
+    folded = lambda t: " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+    texts, many = defaultdict(dict), Counter()
+    for _, t, lang, _ in rows:
+        if t is not None and lang is not None:
+            many[lang] += 1
+            h = xxhash.xxh64_intdigest(t.encode(), 42)
+            texts[lang][h - 2**64 if h >= 2**63 else h] = t
+    dictionaries = {}
+    for lang in sorted(texts, key=lambda x: (-many[x], x)):
+        parts = []
+        for h in sorted(texts[lang])[:20]:
+            t = texts[lang][h]
+            at = h % (max(len(t) - 300, 0) + 1)
+            parts.append(folded(t[at : at + 300]))
+        dictionaries[lang] = "".join(reversed(parts)).encode()[-DICTIONARY:]
+    learned = learn(frame(rows, 5), sample_docs=20, sample_chars=300)
+    assert learned == dictionaries and list(learned) == list(dictionaries)
+    want = Counter()
+    for d, t, *_ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            want[d, "und", 0.0, True] += 1
+            continue
+        data, sizes = folded(t).encode(), []
+        for k, (lang, own) in enumerate(dictionaries.items()):
+            shared = zstd.ZstdCompressionDict(own, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(level=LEVEL)
+            n = 0
+            for at in range(0, len(data), BLOCK):
+                n += len(zstd.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False).compress(data[at : at + BLOCK]))
+            sizes.append((n, k, lang))
+        first, second = sorted(sizes)[:2]
+        gain = (second[0] - first[0]) / second[0]
+        want[d, first[2], gain / (gain + 2 * MARGIN), gain < MARGIN] += 1
+    assert Counter(tuple(r) for r in identify(frame(rows, 5), learned).collect()) == want
+
+
 def test_copies_count_once_in_the_sample(frame):
     """A language of few texts that are copied often is learned, and one copied text can't take all places."""
     rows = [(i, f"wort {'ab'[i % 2]} und noch eines", "de", None) for i in range(600)] + [(1000 + i, f"word {'abcdefghij'[i]} and more of it", "en", None) for i in range(10)]
