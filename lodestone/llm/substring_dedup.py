@@ -59,11 +59,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield doc, (text.as_py() or "").encode(), np.empty(0, np.uint64) if own is None or own.values is None else own.values.to_numpy().view(np.uint64)
 
 
-def _held(hashes: DataFrame) -> DataFrame:
-    """Hashes (h) that two documents or more hold, and the least of these (_least). Combined before the shuffle."""
-    return hashes.groupBy("h").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).where("_least < _most")
-
-
 def repeated_words(docs: DataFrame, window: int = 50, period: int = PERIOD, cover: Sequence[int] = COVER) -> DataFrame:
     """Removes words in windows that repeat from documents with a smaller id: doc_id, n_words, n_removed, kept.
 
@@ -74,8 +69,8 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = PERIOD, cove
     difference cover. Wherever two documents share a window, the cover has an offset below period at which both
     are anchored, so they share that anchor. Anchors that one document alone holds go; shared ones extend: of
     the windows around them the hashes are compared, and a document's windows with a smaller holder are cut.
-    No pairs are made: both comparisons take the least document of a hash and join it back, so that a passage in very
-    many documents is combined before it is shuffled and split after. Intermediate tables go to the shared folder.
+    No pairs are made: a hash's documents are counted, or the least of them is taken, and joined back, so that a passage
+    in very many documents is combined before it is shuffled and split after. Intermediate tables go to the shared folder.
 
     Null texts are empty. Rows that repeat an id are one document, compared with others only; a null id has no smaller
     one, and such rows stay whole and remove nothing. No rows give no rows; other columns are ignored.
@@ -119,11 +114,11 @@ def repeated_words(docs: DataFrame, window: int = 50, period: int = PERIOD, cove
 
     known = docs.where("doc_id is not null")
     found = materialize(map_arrow(known, anchors, "h long, doc long"), TEXT_ROWS)
-    marks = materialize(found.join(_held(found).select("h"), "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("_h")))
+    marks = materialize(found.join(found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("_h")))
     discard(found)
     windows = materialize(map_arrow(known.join(marks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "_h"), extend, "h long, doc long"), TEXT_ROWS)
     discard(marks)
-    gone = materialize(windows.join(_held(windows).select("h", "_least"), "h").where("doc > _least").groupBy("doc").agg(F.collect_list("h").alias("_h")))
+    gone = materialize(windows.join(windows.groupBy("h").agg(F.min("doc").alias("_least")), "h").where("doc > _least").groupBy("doc").agg(F.collect_list("h").alias("_h")))
     discard(windows)
     release(docs.sparkSession)
     return map_arrow(docs.join(gone, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "_h"), cut, "doc_id long, n_words long, n_removed long, kept string")
