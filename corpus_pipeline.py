@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import TEXT_ROWS, materialize, table
+from lodestone.llm.common import TEXT_ROWS, materialize, sent_if_small, table
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.language_id import held_out, identify, learn
 from lodestone.llm.mixing import mix_sources
@@ -16,11 +16,11 @@ from lodestone.llm.packing import pack
 def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id has a kept row in decided. Rows that repeat a doc_id stay or go together.
 
-    Far fewer documents go than stay, so the ids that go are written and taken out: Spark sends them to all tasks while
-    that table is small, and docs aren't shuffled; else it joins them.
+    Far fewer documents go than stay, so the ids that go are written and taken out: they are sent to all tasks while they
+    are few, and docs aren't shuffled; else both are, by id.
     """
     gone = materialize(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return docs.join(sent_if_small(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
