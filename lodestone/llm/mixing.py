@@ -11,6 +11,8 @@ from lodestone.llm.common import SPACE, materialize, n_words, table
 
 #: Bins of a source's sampling keys; a bin holds about this share of a source.
 BINS = 65536
+#: Bins that one task sums up; sums of such shelves are summed again.
+SHELF = 256
 
 
 def letter_share(text: Column) -> Column:
@@ -50,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     Targets in size units come from source_targets(). A source is first taken whole as often as its target allows;
     the rest of its target goes to documents in order of their Efraimidis-Spirakis keys -ln(u) / quality, where u
     is a hash of the id, up to the prefix sum nearest the rest. To split large sources, keys fall into bins: totals by
-    (source, bin) are combined before the shuffle and prefix-summed, bins below the rest are taken whole, and only
+    (source, bin) are combined before the shuffle and prefix-summed, by shelves of SHELF bins and within each; bins below the rest are taken whole, and only
     documents of the one bin in which the rest ends are sorted. Documents are dealt by (source, bin), never by source. No document is taken more than ceil(most) times.
 
     quality: a positive weight column, by default letter_share of text. Null sizes and texts count 0 and go with
@@ -68,8 +70,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     epochs = F.coalesce(F.floor(F.try_divide(F.col("_target"), F.col("_size"))), F.lit(0)).cast("long")
     targets = targets.select(F.col("_source").alias("_s"), "_size", "_target", epochs.alias("_epochs"), (F.col("_target") - epochs * F.col("_size")).alias("_rest"))
 
-    up_to = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    binned = rows.groupBy("_source", "_bin").agg(F.sum("_n").alias("_b")).withColumn("_end", F.sum("_b").over(up_to))
+    binned = rows.groupBy("_source", "_bin").agg(F.sum("_n").alias("_b")).withColumn("_shelf", F.floor(F.col("_bin") / SHELF).cast("int"))
+    below = Window.partitionBy("_source").orderBy("_shelf").rowsBetween(Window.unboundedPreceding, -1)
+    shelves = binned.groupBy("_source", "_shelf").agg(F.sum("_b").alias("_shelved"))
+    shelves = shelves.select(F.col("_source").alias("_of"), F.col("_shelf").alias("_nth"), F.coalesce(F.sum("_shelved").over(below), F.lit(0)).alias("_below"))
+    up_to = Window.partitionBy("_source", "_shelf").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    binned = binned.withColumn("_within", F.sum("_b").over(up_to)).join(shelves, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_shelf") == F.col("_nth")))
+    binned = binned.withColumn("_end", F.col("_below") + F.col("_within"))
     binned = binned.join(targets, F.col("_source").eqNullSafe(F.col("_s")))
     binned = binned.select("_s", F.col("_bin").alias("_k"), "_size", "_target", "_epochs", "_rest", (F.col("_end") - F.col("_b")).alias("_before"), (F.col("_end") <= F.col("_rest")).alias("_whole"))
     rows = rows.join(binned, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_k")))
