@@ -1,16 +1,19 @@
-"""Structure-first chunking of documents, as array expressions on each row: nothing is shuffled.
+"""Structure-first chunking of documents, each on its row: nothing is shuffled.
 
 A document is cut into sections at headings, sections into units (bullets, sentences) and units are packed into
-chunks with overlap. A chunk's units are neighbours, so a packed chunk is a range of unit numbers, and packing is a
-fold over prefix sums of unit lengths.
+chunks with overlap. A chunk's units are neighbours, so a packed chunk is a range of unit numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import BULLET, CHUNK_SENTENCE, OPENING, approx_tokens, heading_level, heading_title, is_heading, let, not_blank, sentences, strip
+from lodestone.session import ship
 
 # Sizes in characters.
 TARGET_CHARS, OVERLAP_CHARS, MIN_CHUNK_CHARS = 1800, 300, 80
@@ -68,42 +71,47 @@ def with_sections(docs: DataFrame, text: str = "text", source: str = "source_nam
     return docs.drop("_lines", "_title_at", "_heads")
 
 
-def packed_ranges(ends: Column, target: Column, overlap: int) -> Column:
-    """Ranges (start, end) of units for each chunk, given prefix sums of unit lengths, each with 1 for its joint.
+def packed_ranges(lengths: Sequence[int], target: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges (start, end) of units for each chunk, given the units' lengths; a joint between two counts 1.
 
     A chunk closes when one more unit would exceed the target. The next starts with the last units that fit the overlap,
-    and takes at least one unit more, whatever its size.
+    and takes at least one unit more, whatever its size. Starts only move on, so time is in proportion to the units.
     """
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("start"), none.alias("done"))
-    before = lambda i: F.get(ends, i)
-
-    def step(state: Column, i: Column) -> Column:
-        closes = (state["start"] < i) & (before(i + 1) - before(state["start"]) > target)
-        kept = F.coalesce(F.array_min(F.filter(F.sequence(state["start"], i), lambda k: before(i) - before(k) <= overlap + 1)), i)
-        range_ = F.struct(state["start"].alias("start"), i.alias("end"))
-        return F.when(closes, F.struct(kept.alias("start"), F.concat(state["done"], F.array(range_)).alias("done"))).otherwise(state)
+    start, size = 0, 0  # size: the open chunk with a joint behind each unit
+    for k, n in enumerate(lengths):
+        if start < k and size + n + 1 > target:
+            yield start, k
+            while size - 1 > overlap:
+                size -= lengths[start] + 1
+                start += 1
+        size += n + 1
+    if lengths:
+        yield start, len(lengths)
+
+
+def packed_texts(units_: Sequence[str], target: int, overlap: int) -> list[str]:
+    """The chunks' texts: units of each range joined by line ends; a short last one is joined to the one before."""
+    texts = ["\n".join(units_[a:b]) for a, b in packed_ranges([len(u) for u in units_], target, overlap)]
+    if len(texts) > 1 and len(texts[-1]) < MIN_CHUNK_CHARS:
+        texts[-2:] = [f"{texts[-2]}\n{texts[-1]}"]
+    return texts
 
-    n = F.size(ends) - 1
-    last = lambda s: F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), n.alias("end"))))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, last)).otherwise(none)
 
+def packed(target: int, overlap: int) -> Callable[[Column], Column]:
+    """A function that packs array<struct<section, header, units>> into array<struct<section, content>>.
 
-def pieces(parts: Column, target: Column, overlap: int) -> Column:
-    """The chunks' texts: units of each range joined by line ends; a short last one is joined to the one before."""
-
-    def of_units(us: Column) -> Column:
-        sums = F.aggregate(us, F.array(F.lit(0)), lambda s, u: F.concat(s, F.array(F.get(s, F.size(s) - 1) + F.length(u) + 1)))
-        ranges = let(sums, lambda ends: packed_ranges(ends, target, overlap))
-        return F.transform(ranges, lambda r: F.array_join(F.slice(us, r["start"] + 1, r["end"] - r["start"]), "\n"))
+    Folding arrays in Spark's own functions copies them at every step; this reads each unit once, in Arrow batches.
+    """
 
-    def merged(texts: Column) -> Column:
-        n = F.size(texts)
-        tail = F.concat_ws("\n", F.get(texts, n - 2), F.get(texts, n - 1))
-        short = (n > 1) & (F.length(F.get(texts, n - 1)) < MIN_CHUNK_CHARS)
-        return F.when(short, F.concat(F.slice(texts, F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(tail))).otherwise(texts)
+    @F.arrow_udf("array<struct<section:string,content:string>>")
+    def pack(sections: pa.Array) -> pa.Array:
+        rows = []
+        for own in sections.to_pylist():
+            room = lambda s: max(target - len(s["header"]) - 1, MIN_CHUNK_CHARS)
+            rows.append([{"section": s["section"], "content": f"{s['header']}\n{t}"} for s in own for t in packed_texts(s["units"], room(s), overlap)])
+        return pa.array(rows, pa.list_(pa.struct([("section", pa.string()), ("content", pa.string())])))
 
-    return let(let(parts, of_units), merged)
+    return pack
 
 
 def chunk_documents(docs: DataFrame, target_chars: int = TARGET_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
@@ -112,16 +120,12 @@ def chunk_documents(docs: DataFrame, target_chars: int = TARGET_CHARS, overlap_c
     A chunk's content is a header, title and section, over its units; the header counts towards the target, but
     MIN_CHUNK_CHARS are left at least. chunk_index runs from 0 over a document's sections. Null and blank texts have no chunks.
     """
+    ship(docs.sparkSession)
     docs = with_sections(docs.select("source_name", "text"))
     header = lambda s: F.concat(F.col("title"), F.lit(" — "), s["section"])
     docs = docs.withColumn("_units", F.transform("sections", lambda s: F.struct(s["section"].alias("section"), header(s).alias("header"), units(s["body"]).alias("units"))))
 
-    def chunks(s: Column) -> Column:
-        budget = F.greatest(F.lit(target_chars) - F.length(s["header"]) - 1, F.lit(MIN_CHUNK_CHARS))
-        texts = pieces(s["units"], budget, overlap_chars)
-        return F.transform(texts, lambda t: F.struct(s["section"].alias("section"), F.concat(s["header"], F.lit("\n"), t).alias("content")))
-
-    every = docs.select("source_name", F.posexplode(F.flatten(F.transform("_units", chunks))).alias("chunk_index", "_chunk"))
+    every = docs.select("source_name", F.posexplode(packed(target_chars, overlap_chars)(F.col("_units"))).alias("chunk_index", "_chunk"))
     every = every.select("source_name", F.col("_chunk.section").alias("section"), "chunk_index", F.col("_chunk.content").alias("content"))
     n = F.length("content")
     return every.withColumns({"n_chars": n, "approx_tokens": approx_tokens(n)})

@@ -10,69 +10,82 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import chunking as C
 
-WORDS = ["Rồng", "bạo", "Chúa", "xin.", "Một", "ổ", "và:", "12", "A!"]
-
-
-def document(rng: random.Random) -> str:
-    some = lambda: " ".join(rng.choices(WORDS, k=rng.randrange(1, 25)))
-    kinds = [lambda: "# " + some(), lambda: "## " + some(), lambda: "### x", lambda: "- " + some(), lambda: "12. " + some(), lambda: "   " + some(), lambda: "", lambda: "  ", some, some, lambda: "\t" + some()]
-    return "\n".join(rng.choice(kinds)() for _ in range(rng.randrange(0, 40)))
-
-
-def plain_chunks(name: str, text: str, target: int, overlap: int) -> list[tuple]:
-    """An independent reading of the rules, line by line."""
-    title, parts, now, lines = "", [], T.OPENING, []
-    for line in text.split("\n"):
-        if not (m := re.match(r"(#{1,6})\s+(.*)$", line)):
-            lines.append(line)
-        elif len(m[1]) == 1 and not title:
-            title = m[2].strip()
-        else:
-            parts.append((now, lines))
-            now, lines = m[2].strip(), []
-    out = []
-    for section, own in [*parts, (now, lines)]:
-        if not "".join(own).strip():
-            continue
-        header = f"{title or name} — {section}"
-        units, texts = plain_units("\n".join(own).strip()), []
-        room, first = max(target - len(header) - 1, C.MIN_CHUNK_CHARS), 0
-        size = lambda a, b: sum(len(u) + 1 for u in units[a:b])
-        for k in range(len(units)):
-            if first < k and size(first, k + 1) > room:
-                texts.append("\n".join(units[first:k]))
-                first = next(j for j in range(first, k + 1) if j == k or size(j, k) - 1 <= overlap)
-        if units:
-            texts.append("\n".join(units[first:]))
-        if len(texts) > 1 and len(texts[-1]) < C.MIN_CHUNK_CHARS:
-            texts[-2:] = ["\n".join(texts[-2:])]
-        out += [(section, f"{header}\n{t}") for t in texts]
-    return [(name, section, k, content) for k, (section, content) in enumerate(out)]
-
-
-def plain_units(body: str) -> list[str]:
-    units = []
-    for paragraph in filter(str.strip, re.split(r"\n\s*\n", body)):
-        lines = paragraph.strip().split("\n")
-        bullet = [bool(re.match(r"\s*(?:[-*•]|\d+\.)\s+", x)) for x in lines]
-        if sum(bullet) >= max(1, len(lines) // 2):
-            for k, line in enumerate(lines):
-                if k and line[:1].isspace() and not bullet[k] and line.strip():
-                    units[-1] += " " + line.strip()
-                elif line.strip():
-                    units.append(line.strip())
-        else:
-            flat = " ".join(x.strip() for x in lines)
-            units += [s.strip() for s in re.split(r"(?<=[.!?:])\s+(?=[A-ZĐÀ-Ỹ0-9])", flat) if s.strip()]
-    return units
-
-
-@pytest.mark.parametrize("target,overlap", [(1800, 300), (120, 40), (300, 0)])
-def test_chunks(spark, target, overlap):
-    rng = random.Random(target)
-    docs = [(f"d{k}.txt", document(rng)) for k in range(150)] + [("e", ""), ("n", None)]
-    got = C.chunk_documents(spark.createDataFrame(docs, "source_name string, text string"), target, overlap)
-    assert sorted(map(tuple, got.select("source_name", "section", "chunk_index", "content").collect())) == sorted(x for n, t in docs for x in plain_chunks(n, t or "", target, overlap))
+def chunks_of(spark, text, target=1800, overlap=300, name="d.txt"):
+    rows = C.chunk_documents(spark.createDataFrame([(name, text)], "source_name string, text string"), target, overlap)
+    return [(r["section"], r["content"]) for r in rows.orderBy("chunk_index").collect()]
+
+
+def test_sections(spark):
+    """Text before a heading, the title (the first of level 1 only), headings of any level, blank sections, near-headings."""
+    text = "before\n# Title \nopening\n## One\n\n  \n### Two\nx\n#no heading\n####### seven\n# Second title\ny\n## \nz"
+    assert chunks_of(spark, text) == [
+        ("Mở đầu", "Title — Mở đầu\nbefore opening"),
+        ("Two", "Title — Two\nx #no heading ####### seven"),
+        ("Second title", "Title — Second title\ny"),
+        ("", "Title — \nz"),
+    ]
+    assert chunks_of(spark, "only text") == [("Mở đầu", "d.txt — Mở đầu\nonly text")]
+    assert chunks_of(spark, "# Title") == chunks_of(spark, "") == chunks_of(spark, None) == chunks_of(spark, " \n\t\n") == []
+
+
+@pytest.mark.parametrize(
+    "body,units",
+    [
+        ("Một câu. Hai câu! Ba? bốn. 5 năm: Sáu", ["Một câu.", "Hai câu!", "Ba? bốn.", "5 năm:", "Sáu"]),  # a capital or digit must follow
+        ("one line\nand the next. Then\nmore", ["one line and the next.", "Then more"]),
+        ("- a\n- b. C\n* d\n12. e\n• f", ["- a", "- b. C", "* d", "12. e", "• f"]),  # bullets stay whole
+        ("- a\n  goes on\n- b\n\tand on\n  and on", ["- a goes on", "- b and on and on"]),
+        ("- a\nnot indented", ["- a", "not indented"]),  # one of two lines is half
+        ("text. Then\nmore\nand\n- one bullet", ["text.", "Then more and - one bullet"]),  # one of four isn't
+        ("- a\n\nProse here. More\n\n\n1. b", ["- a", "Prose here.", "More", "1. b"]),  # each paragraph by itself
+        ("  - indented bullet\n-no bullet", ["- indented bullet", "-no bullet"]),
+    ],
+)
+def test_units(spark, body, units):
+    assert spark.createDataFrame([(body,)], "t string").select(C.units(T.strip(F.col("t")))).first()[0] == units
+
+
+@pytest.mark.parametrize(
+    "lengths,target,overlap,ranges",
+    [
+        ([], 10, 0, []),
+        ([3], 1, 0, [(0, 1)]),  # a unit is never cut
+        ([4, 4, 4], 10, 0, [(0, 2), (2, 3)]),  # 4 and 1, twice, fill ten
+        ([4, 4, 4, 4], 10, 4, [(0, 2), (1, 3), (2, 4)]),  # the last unit of four is repeated
+        ([2, 2, 2, 2, 2], 9, 5, [(0, 3), (1, 4), (2, 5)]),  # two of two and the joint between are five
+        ([20, 1, 20, 1], 10, 300, [(0, 1), (0, 2), (0, 3), (0, 4)]),
+        ([20, 20], 10, 5, [(0, 1), (1, 2)]),
+    ],
+)
+def test_packing(lengths, target, overlap, ranges):
+    assert list(C.packed_ranges(lengths, target, overlap)) == ranges
+
+
+def test_packing_keeps_its_promises():
+    rng = random.Random(3)
+    for _ in range(500):
+        lengths = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 60))]
+        target, overlap = rng.randrange(20, 200), rng.randrange(0, 80)
+        ranges = list(C.packed_ranges(lengths, target, overlap))
+        size = lambda a, b: sum(lengths[a:b]) + b - a  # noqa: E731, B023
+        assert ranges[0][0] == 0 and ranges[-1][1] == len(lengths)
+        for (a, b), (c, d) in zip(ranges, ranges[1:], strict=False):
+            assert a <= c <= b < d  # none is left out, each brings a new one
+            assert size(a, b + 1) > target  # closed for a reason
+            assert size(c, b) - 1 <= overlap and (c == a or size(c - 1, b) - 1 > overlap)  # as much as fits is repeated
+        assert all(size(a, b) <= target or size(a, b - 1) - 1 <= overlap for a, b in ranges)
+
+
+def test_headers_and_short_ends(spark):
+    """A header counts towards the target; a last piece under 80 characters joins the one before."""
+    lines = [f"- {'x' * 56}{k:02}" for k in range(7)]
+    assert chunks_of(spark, "# T\n## S\n" + "\n".join(lines), 188, 0) == [("S", "\n".join(["T — S", *lines[:2]])), ("S", "\n".join(["T — S", *lines[2:4]])), ("S", "\n".join(["T — S", *lines[4:]]))]
+    assert chunks_of(spark, f"# {'T' * 500}\n" + "\n".join(lines[:2]), 188, 0) == [("Mở đầu", f"{'T' * 500} — Mở đầu\n" + "\n".join(lines[:2]))]
+
+
+def test_long_sections_take_time_in_proportion(spark):
+    text = "Một câu ngắn. " * 100_000
+    assert spark.createDataFrame([("d", text)], "source_name string, text string").transform(C.chunk_documents).count() > 700
 
 
 def test_no_line_is_lost_and_neighbours_overlap(spark):
