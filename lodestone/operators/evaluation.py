@@ -26,15 +26,33 @@ def misses(hits: DataFrame, k: int = 5, acceptable: str = "acceptable") -> DataF
     return hits.where("rank = 1").join(found, "qid", "left_anti").select("qid", "id", "similarity")
 
 
-def upper_median(values: Column) -> Column:
-    """The element at half the number of values, from 0, in their order: of an even number the upper one."""
-    return F.get(F.array_sort(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
+#: Quantiles on both sides of the median are taken so exactly, and so far from it, that only about a thousandth of a group lies between.
+NEAR_MEDIAN, ACCURACY = 0.0005, 20_000
+
+
+def middle_values(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, n, least, largest, and the two middle values lower and upper, by rank, of each group's values.
+
+    No group is gathered: approximate quantiles bound the median from both sides in one aggregation, values below the
+    bounds are counted, and only distinct values between them, with their numbers, are ordered. The bounds are off by less than their distance.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.where(v.isNotNull()).select(F.col(group).alias("_g"), v.alias("_v"))
+    bounds = rows.groupBy(F.col("_g").alias("_of")).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_largest"), F.percentile_approx("_v", [0.5 - NEAR_MEDIAN, 0.5 + NEAR_MEDIAN], ACCURACY).alias("_q"))
+    near = rows.join(bounds, F.col("_g").eqNullSafe(F.col("_of"))).select("_g", "_v", "_n", "_least", "_largest", F.get("_q", F.lit(0)).alias("_low"), F.get("_q", F.lit(1)).alias("_high"))
+    below = near.groupBy(F.col("_g").alias("_b")).agg(F.count_if(F.col("_v") < F.col("_low")).alias("_below"))
+    inside = near.where("_v between _low and _high").groupBy("_g", "_v", "_n", "_least", "_largest").agg(F.count("*").alias("_c"))
+    inside = inside.join(below, F.col("_g").eqNullSafe(F.col("_b")))
+    end = F.col("_below") + F.sum("_c").over(Window.partitionBy("_g").orderBy("_v"))
+    inside = inside.withColumn("_end", end)
+    at = lambda k: F.min(F.when(F.col("_end") > k, F.col("_v")))
+    found = inside.groupBy("_g", "_n", "_least", "_largest").agg(at(F.floor((F.col("_n") - 1) / 2)).alias("lower"), at(F.floor(F.col("_n") / 2)).alias("upper"))
+    return found.select(F.col("_g").alias(group), F.col("_n").alias("n"), F.col("_least").alias("least"), F.col("_largest").alias("largest"), "lower", "upper")
 
 
 def score_distribution(scores: DataFrame, group: str = "type", score: str = "top_similarity") -> DataFrame:
-    """Number, least, upper median and largest score of each group."""
-    s = F.col(score)
-    return scores.groupBy(group).agg(F.count(s).alias("n"), F.min(s).alias("least"), upper_median(s).alias("median"), F.max(s).alias("largest"))
+    """Number, least, upper median (of an even number the upper one) and largest score of each group."""
+    return middle_values(scores, group, score).select(group, "n", "least", F.col("upper").alias("median"), "largest")
 
 
 def score_gap(scores: DataFrame, inside: Column, outside: Column, score: str = "top_similarity", key: str = "qid") -> DataFrame:
@@ -83,7 +101,8 @@ def best_thresholds(sweep: DataFrame) -> DataFrame:
 def stratified_sample(rows: DataFrame, limit: int, stratum: str = "type", order: str = "pos") -> DataFrame:
     """limit rows in turn from every stratum, in the strata's order: the first of each, the second of each, and so on."""
     nth = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
-    return rows.withColumn("_nth", nth).orderBy("_nth", stratum).limit(limit).drop("_nth")
+    # no stratum gives more than limit, which Spark applies in each partition before it shuffles
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= limit).orderBy("_nth", stratum).limit(limit).drop("_nth")
 
 
 def judge(answers: DataFrame) -> DataFrame:
@@ -131,5 +150,5 @@ def safety_summary(judged: DataFrame) -> DataFrame:
 def latency_summary(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """metric, n, median (middle two averaged), least and largest of each metric that isn't zero throughout."""
     long = rows.unpivot([], list(metrics), "metric", "value")
-    summary = long.groupBy("metric").agg(F.count("value").alias("n"), F.median("value").alias("median"), F.min("value").alias("least"), F.max("value").alias("largest"))
+    summary = middle_values(long, "metric", "value").select("metric", "n", ((F.col("lower") + F.col("upper")) / 2).alias("median"), "least", "largest")
     return summary.where("least <> 0 or largest <> 0")

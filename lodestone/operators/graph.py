@@ -20,7 +20,8 @@ DEFINITION = r"(?Ud)^\s*(?:[-*•]|\d+\.)\s+([^:\n]{2,60}?)\s*:\s*(.+)$"
 IN_PARENTHESES = r"(?Ud)^(.*?)\s*\(([^)]+)\)\s*$"
 PROSE_TAIL = rf"(?U),\s+(?=[^{WIDE_UPPER}])"
 MIN_SURFACE = 3
-DIGITS = re.compile("[0-9]*")
+#: A word, or any other character.
+TOKEN = re.compile(r"\w+|\W", re.DOTALL)
 SAMPLES, NOTE_NAMES = 6, 5
 
 ENTITY = ["key", "name", "kind", "definition", "source_name", "section", "aliases"]
@@ -87,17 +88,38 @@ def belongs_edges(found: DataFrame) -> DataFrame:
     return found.where("not is_document and after_document").join(docs, "source_name").select(F.col("key").alias("src"), "dst", F.lit(BELONGS).alias("relation"), F.lit(1.0).cast("float").alias("weight"))
 
 
-def similar_edges(found: DataFrame, kind: str = "kind", source: str = "source_name", order: Sequence[str] = ("source_name", "pos"), key: str = "key", default: str | None = DEFAULT_KIND) -> DataFrame:
+def similar_edges(found: DataFrame, kind: str = "kind", source: str = "source_name", order: Sequence[str] = ("source_name", "pos"), key: str = "key", default: str | None = DEFAULT_KIND, at: DataFrame | None = None) -> DataFrame:
     """Edges between entities of one kind and different sources, from the earlier to the later; none of the default kind.
 
-    The pairs of a kind are the result itself, so their number grows with the square of a kind's entities; Spark splits a
-    frequent kind's side. found is taken before de-duplication: repeated pairs stay, for upsert_edges() to settle.
+    The pairs of a kind are the result itself, so their number grows with the square of a kind's entities; similar_classes()
+    says the same in a row an entity. With at (a column key) only edges with an end among its keys are made, each once.
+    found is taken before de-duplication: without at repeated pairs stay, for upsert_edges() to settle.
     """
     rows = found if default is None else found.where(F.col(kind) != default)
-    a = rows.select(F.col(kind).alias("_kind"), F.col(key).alias("src"), F.col(source).alias("_from"), F.struct(*order).alias("_a"))
-    b = rows.select(F.col(kind).alias("_kind"), F.col(key).alias("dst"), F.col(source).alias("_to"), F.struct(*order).alias("_b"))
-    pairs = a.join(b, "_kind").where((F.col("_a") < F.col("_b")) & (F.col("_from") != F.col("_to")))
-    return pairs.select("src", "dst", F.lit(SIMILAR).alias("relation"), F.lit(1.0).cast("float").alias("weight"))
+    rows = rows.select(F.col(kind).alias("_kind"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.struct(*order).alias("_order"))
+    some = rows if at is None else rows.join(at.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        a = left.select("_kind", F.col("_key").alias("src"), F.col("_source").alias("_from"), F.col("_order").alias("_a"))
+        b = right.select("_kind", F.col("_key").alias("dst"), F.col("_source").alias("_to"), F.col("_order").alias("_b"))
+        return a.join(b, "_kind").where((F.col("_a") < F.col("_b")) & (F.col("_from") != F.col("_to"))).select("src", "dst")
+
+    every = pairs(some, rows) if at is None else pairs(some, rows).union(pairs(rows, some)).distinct()
+    return every.select("src", "dst", F.lit(SIMILAR).alias("relation"), F.lit(1.0).cast("float").alias("weight"))
+
+
+def similar_classes(found: DataFrame, kind: str = "kind", source: str = "source_name", key: str = "key", default: str | None = DEFAULT_KIND) -> DataFrame:
+    """similar_edges() without listing pairs: key, kind, source_name, links of each entity.
+
+    Entities of one kind and source are a class; an entity's edges go to the kind's entities of all other classes, and
+    links counts them. Classes are counted before they are shuffled, and no kind's pairs are formed.
+    """
+    rows = found if default is None else found.where(F.col(kind) != default)
+    sizes = rows.groupBy(F.col(kind).alias("_kind"), F.col(source).alias("_source")).agg(F.count("*").alias("_n"))
+    whole = sizes.groupBy("_kind").agg(F.sum("_n").alias("_all"))
+    classes = sizes.join(whole, "_kind").select("_kind", "_source", (F.col("_all") - F.col("_n")).alias("links"))
+    joined = rows.join(classes, (F.col(kind) == F.col("_kind")) & (F.col(source) == F.col("_source")))
+    return joined.select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(source).alias("source_name"), "links")
 
 
 def similar_pairs(found: DataFrame) -> DataFrame:
@@ -135,9 +157,10 @@ def together_edges(mentions: DataFrame, entity: str = "entity_key", chunk: str =
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("float").alias("weight")).select("src", "dst", F.lit(TOGETHER).alias("relation"), "weight")
 
 
-def upsert_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (src, dst, relation); edges that repeat one have its weight."""
-    return edges.groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight"))
+def upsert_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
+    """One edge for each (src, dst, relation). Of edges that repeat one the last by order gives the weight, without order the heaviest."""
+    weight = F.max("weight") if order is None else F.max_by("weight", order)
+    return edges.groupBy("src", "dst", "relation").agg(weight.alias("weight"))
 
 
 def load_lexicon(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -155,31 +178,38 @@ def surfaces(entities: DataFrame) -> DataFrame:
     return rows.where(F.length("_s") >= MIN_SURFACE).select(F.lower("_s").alias("surface"), "key", "name", "source_name", "pos", "nth")
 
 
+def _folded(word: str) -> str:
+    """Words that differ in case alone become equal, also where a letter has more than one lower-case form."""
+    return word.lower().upper().lower()
+
+
 class Matcher:
     """Longest-first matching of surfaces in a text: by length, then in the order given; no accepted match is overlapped.
 
     The longest surface wins wherever it stands, even over one that starts further left. A surface stands between
-    characters that aren't word characters; case is ignored. At each place where a word can start only surfaces with its
-    first character and the digits after that are tried.
+    characters that aren't word characters; case is ignored. At each place where a word can start only surfaces with the
+    same first word, or the same other character first, are tried.
     """
 
     def __init__(self, ordered: Sequence[str]) -> None:
-        self.by_start: dict[tuple[str, str], list[tuple[int, str]]] = {}
+        self.by_start: dict[str, list[tuple[int, str]]] = {}
         self.patterns: dict[str, re.Pattern[str]] = {}
         for rank, s in enumerate(sorted(ordered, key=len, reverse=True)):
-            self.by_start.setdefault((s[:1], DIGITS.match(s, 1)[0]), []).append((rank, s))
+            if s:
+                self.by_start.setdefault(_folded(TOKEN.match(s)[0]), []).append((rank, s))
 
     def candidates(self, text: str) -> list[tuple[int, int, int, str]]:
         """(rank, start, end, surface) of every match, whether others overlap it or not."""
         found = []
-        for at, c in enumerate(text):
-            if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
-                continue
-            for rank, s in self.by_start.get((c.lower()[:1], DIGITS.match(text, at + 1)[0]), ()):
+        before = False  # whether the token before is a word
+        for token in TOKEN.finditer(text):
+            word, at = token[0], token.start()
+            for rank, s in () if before else self.by_start.get(_folded(word), ()):
                 if not (pattern := self.patterns.get(s)):
                     pattern = self.patterns[s] = re.compile(rf"{re.escape(s)}(?!\w)", re.IGNORECASE)
                 if m := pattern.match(text, at):
                     found.append((rank, at, m.end(), s))
+            before = word.isalnum() or word[0] == "_" or len(word) > 1
         return found
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
@@ -203,18 +233,25 @@ class Matcher:
 MAX_LEXICON = 200_000
 
 
-def match_surfaces(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
-    """key, nth, start, end, surface of each match of the lexicon's distinct surfaces in each text, in order.
+def sent_lexicon(lexicon: DataFrame) -> Broadcast:
+    """The lexicon's distinct surfaces, ordered, at all tasks: made once for any number of calls of match_surfaces().
 
-    The dictionary goes to all tasks behind a check of its size: beyond MAX_LEXICON surfaces an error says so.
+    The dictionary is sent behind a check of its size: beyond MAX_LEXICON surfaces an error says so.
     """
-    spark = texts.sparkSession
-    ship(spark)
     first = lexicon.groupBy("surface").agg(F.min(F.struct("source_name", "pos", "nth")).alias("_first")).orderBy("_first", "surface")
     ordered = [r["surface"] for r in first.select("surface").limit(MAX_LEXICON + 1).collect()]
     if len(ordered) > MAX_LEXICON:
         raise ValueError(f"more than {MAX_LEXICON} surfaces: match in parts")
-    sent = spark.sparkContext.broadcast(ordered)
+    return lexicon.sparkSession.sparkContext.broadcast(ordered)
+
+
+def match_surfaces(texts: DataFrame, lexicon: DataFrame | Broadcast, key: str, text: str) -> DataFrame:
+    """key, nth, start, end, surface of each match of the lexicon's distinct surfaces in each text, in order.
+
+    A lexicon that several calls share is best given as sent_lexicon() returns it.
+    """
+    ship(texts.sparkSession)
+    sent = lexicon if isinstance(lexicon, Broadcast) else sent_lexicon(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(sent.value)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import communities
 
 
-def health(chunks: DataFrame, entities: DataFrame, edges: DataFrame, settings: dict[str, object] | None = None) -> DataFrame:
+def health(chunks: DataFrame, entities: DataFrame, edges: DataFrame, settings: dict[str, object] | None = None, edge_count: Column | None = None) -> DataFrame:
     """One row: chunks, sources, entities, edges, whether there is a graph, and the given settings as columns.
 
-    The tables are counted in one pass each; only their counts are put side by side.
+    The tables are counted in one pass each; only their counts are put side by side. edge_count is an aggregate that counts
+    edges, for tables that don't list each.
     """
     counts = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("source_name").alias("sources"))
-    for df, name in ((entities, "entities"), (edges, "edges")):
-        counts = counts.crossJoin(df.agg(F.count("*").alias(name)))
+    for df, name, n in ((entities, "entities", None), (edges, "edges", edge_count)):
+        counts = counts.crossJoin(df.agg((F.count("*") if n is None else n).alias(name)))
     return counts.select("*", (F.col("entities") > 0).alias("graph_built"), *(F.lit(v).alias(k) for k, v in (settings or {}).items()))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.grounding import citation_coverage, distinct_sorted, invalid_citations, strip_citations, ungrounded_names, ungrounded_numbers
-from lodestone.operators.graph import found_entities, match_surfaces
+from lodestone.operators.graph import found_entities, match_surfaces, sent_lexicon
 from lodestone.session import ship
 
 # The words of flags, each before its list.
@@ -61,7 +61,8 @@ def verify(answers: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     if lexicon is None:
         answers = answers.withColumn("ungrounded_entities", none)
     else:
-        said, known = (found_entities(match_surfaces(answers.select("qid", F.col(c).alias("t")), lexicon, "qid", "t"), lexicon, "qid") for c in ("text", "_context"))
+        sent = sent_lexicon(lexicon)
+        said, known = (found_entities(match_surfaces(answers.select("qid", F.col(c).alias("t")), sent, "qid", "t"), lexicon, "qid") for c in ("text", "_context"))
         pairs = said.join(known.withColumnRenamed("names", "_known"), "qid", "left")
         apart = pairs.select("qid", F.array_except("names", F.coalesce("_known", none)).alias("_apart"))
         answers = answers.join(apart, "qid", "left").withColumn("ungrounded_entities", F.coalesce("_apart", none)).drop("_apart")

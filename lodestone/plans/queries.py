@@ -1,7 +1,8 @@
 """The registered queries over the star-schema tables, and SQL for DuckDB that gives the same rows.
 
-Stand-ins: embeddings are chunks (vec_id under 20 questions), labels their sources; parts are entities (type: kind, brand:
-source), order lines mentions (order: chunk); conversations are histories; events carry metrics.
+Stand-ins: embeddings are chunks, and every one whose vec_id is divisible by 50 is a question to all others; labels are
+their sources; parts are entities (type: kind, brand: source), and every one whose key is divisible by 50 is a question's
+seed; order lines are mentions (order: chunk); conversations are histories; events carry metrics.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-QUESTIONS, TOP, TAU = 20, 5, 0.6
+EVERY, TOP, TAU = 50, 5, 0.6
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -37,8 +38,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- vectors and evaluation
 
 HITS_SQL = f"""
-q AS (SELECT vec_id AS qid, label AS q_label, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < {QUESTIONS}),
-s AS (SELECT qid, q_label, vec_id AS id, label, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings WHERE vec_id >= {QUESTIONS}),
+q AS (SELECT vec_id AS qid, label AS q_label, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
+s AS (SELECT qid, q_label, vec_id AS id, label, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings WHERE vec_id <> qid),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= {TOP})
 """
 
@@ -47,9 +48,9 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, q_label, id, label, similarity (six places), rank: the top TOP of each question, ranked by the rounded value."""
     ship(spark)
     vectors_ = table(spark, sf_dir, "embeddings")
-    questions = vectors_.where(F.col("vec_id") < QUESTIONS).withColumnRenamed("vec_id", "qid")
-    chunks = vectors_.where(F.col("vec_id") >= QUESTIONS).withColumnRenamed("vec_id", "id")
-    found = search.top_k(questions, chunks, TOP + 3)  # a few more, as rounding may change the order of near ties
+    questions = vectors_.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "qid")
+    chunks = vectors_.withColumnRenamed("vec_id", "id")
+    found = search.top_k(questions, chunks, TOP + 4).where("id <> qid")  # a few more, as rounding may change the order of near ties
     found = search.ranked(found.select("qid", "id", F.round("similarity", 6).alias("similarity")), TOP)
     labelled = found.join(questions.select("qid", F.col("label").alias("q_label")), "qid")
     return labelled.join(chunks.select("id", "label"), "id").select("qid", "q_label", "id", "label", "similarity", "rank")
@@ -101,6 +102,29 @@ def recall_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.misses(hits(spark, sf_dir).withColumn("acceptable", F.col("label") == F.col("q_label")), 3)
 
 
+@query(f"""
+WITH {HITS_SQL}, f AS (SELECT qid, min(rank) FILTER (WHERE label = q_label AND id % 4 = qid % 4) AS first FROM hits GROUP BY qid)
+SELECT k::INT AS k, count(*) AS questions, count(*) FILTER (WHERE first <= k) AS found, count(*) FILTER (WHERE first <= k) / count(*)::DOUBLE AS recall
+FROM f, (VALUES (1), (3), (5)) t(k) GROUP BY k
+""")
+def section_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall where the section, here the id's remainder, must be right besides the source."""
+    right = (F.col("label") == F.col("q_label")) & (F.col("id") % 4 == F.col("qid") % 4)
+    return evaluation.recall_at(hits(spark, sf_dir).withColumn("acceptable", right))
+
+
+@query(f"""
+WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {EVERY} = 0)
+SELECT qid, vec_id AS id, (vec_id - qid)::INT AS position, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS similarity, 'graph' AS via FROM q JOIN embeddings ON vec_id BETWEEN qid + 1 AND qid + 3
+""")
+def hits_for_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true similarity of chunks that a graph gives, here the three after each question."""
+    rows = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    asked = rows.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "qid")
+    wanted = asked.select("qid", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("position")).select("qid", (F.col("qid") + F.col("position")).alias("id"), "position")
+    return search.hits_for_ids(wanted, asked, rows.withColumnRenamed("vec_id", "id")).withColumn("similarity", F.round("similarity", 6))
+
+
 TOPS_SQL = f"{HITS_SQL}, tops AS (SELECT qid, similarity AS top_similarity, label = q_label AS matched, CASE WHEN q_label < 7 THEN 'in_scope' ELSE 'out_of_scope' END AS type FROM hits WHERE rank = 1)"
 
 
@@ -285,16 +309,20 @@ def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("u").alias("n_units"), F.md5(F.array_join("u", "\n")).alias("digest"))
 
 
-CHUNKS_SQL = rf"""
-WITH RECURSIVE {UNITS_SQL}, h AS (SELECT doc_id, units, doc_id || ' — Mở đầu' AS header FROM u WHERE len(units) > 0),
-e AS (SELECT doc_id, units, header, greatest(1800 - length(header) - 1, 80) AS budget, list_prepend(0, list_transform(range(1, len(units) + 1), lambda i: list_sum(list_transform(units[:i], lambda x: length(x) + 1))::BIGINT)) AS ends FROM h),
+#: Packs h (doc_id, units, header) into chunks, each a range (s, b) of units.
+PACK_SQL = """
+e AS (SELECT doc_id, units, header, greatest({target} - length(header) - 1, 80) AS budget, list_prepend(0, list_transform(range(1, len(units) + 1), lambda i: list_sum(list_transform(units[:i], lambda x: length(x) + 1))::BIGINT)) AS ends FROM h),
 c(doc_id, nth, s, i) AS (SELECT doc_id, 0, 0::BIGINT, 0::BIGINT FROM e
-  UNION ALL SELECT c.doc_id, nth + 1, list_min(list_filter(range(c.s, x.b + 1), lambda k: ends[x.b + 1] - ends[k + 1] <= 301))::BIGINT, x.b FROM c JOIN e USING (doc_id),
+  UNION ALL SELECT c.doc_id, nth + 1, list_min(list_filter(range(c.s, x.b + 1), lambda k: ends[x.b + 1] - ends[k + 1] <= {overlap} + 1))::BIGINT, x.b FROM c JOIN e USING (doc_id),
   LATERAL (SELECT coalesce(list_min(list_filter(range(CASE WHEN nth = 0 THEN 1 ELSE c.i + 1 END, len(units)), lambda k: ends[k + 2] - ends[c.s + 1] > budget)), -1)::BIGINT AS b) x WHERE x.b > 0),
-r AS (SELECT doc_id, nth, s, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY nth), len(units)) AS b, units, header FROM c JOIN e USING (doc_id)),
-t AS (SELECT doc_id, nth, header, array_to_string(units[s + 1:b], chr(10)) AS piece FROM r),
+ranges AS (SELECT doc_id, nth, s, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY nth), len(units)) AS b, units, header FROM c JOIN e USING (doc_id)),
+t AS (SELECT doc_id, nth, header, array_to_string(units[s + 1:b], chr(10)) AS piece FROM ranges),
 l AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(piece) OVER (PARTITION BY doc_id ORDER BY nth) AS after FROM t),
-m AS (SELECT doc_id, nth, header, CASE WHEN nth = n - 2 AND length(after) < 80 THEN piece || chr(10) || after ELSE piece END AS piece FROM l WHERE NOT (n > 1 AND nth = n - 1 AND length(piece) < 80)),
+m AS (SELECT doc_id, nth, header, CASE WHEN nth = n - 2 AND length(after) < 80 THEN piece || chr(10) || after ELSE piece END AS piece FROM l WHERE NOT (n > 1 AND nth = n - 1 AND length(piece) < 80))
+"""
+CHUNKS_SQL = f"""
+WITH RECURSIVE {UNITS_SQL}, h AS (SELECT doc_id, units, doc_id || ' — Mở đầu' AS header FROM u WHERE len(units) > 0),
+{PACK_SQL.format(target=1800, overlap=300)},
 chunks AS (SELECT doc_id::VARCHAR AS source_name, 'Mở đầu' AS section, nth::INT AS chunk_index, header || chr(10) || piece AS content FROM m)
 """
 
@@ -316,6 +344,29 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_stats(chunks(spark, sf_dir))
 
 
+def headed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as documents with a title, an opening, a section for each first word of a type, and bullets of which some go on in a second line."""
+    p = table(spark, sf_dir, "part").withColumn("s", F.substring_index("p_type", " ", 1))
+    line = F.concat(F.lit("- "), "p_name", F.lit(". Size "), "p_size", F.when(F.col("p_partkey") % 3 == 0, F.lit("\n  second line.")).otherwise(F.lit("")))
+    lines = p.groupBy("p_brand", "s").agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("l"))
+    section = F.concat(F.lit("### "), "s", F.lit(" \n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    body = lines.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", section.alias("t")))), lambda x: x["t"]), "\n\n").alias("b"))
+    return body.select(F.col("p_brand").alias("source_name"), F.concat(F.lit("Opening words. Second sentence\n# The "), "p_brand", F.lit("\n"), "b").alias("text"))
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT p_brand, split_part(p_type, ' ', 1) AS s, p_partkey, '- ' || p_name || '. Size ' || p_size || CASE WHEN p_partkey % 3 = 0 THEN ' second line.' ELSE '' END AS line FROM part),
+h AS (SELECT p_brand || '|' || s AS doc_id, list(line ORDER BY p_partkey) AS units, 'The ' || p_brand || ' — ' || s AS header FROM p GROUP BY p_brand, s
+  UNION ALL SELECT DISTINCT p_brand || '|', ['Opening words.', 'Second sentence'], 'The ' || p_brand || ' — Mở đầu' FROM p),
+{PACK_SQL.format(target=300, overlap=80)}
+SELECT split_part(doc_id, '|', 1) AS source_name, coalesce(nullif(split_part(doc_id, '|', 2), ''), 'Mở đầu') AS section,
+  (row_number() OVER (PARTITION BY split_part(doc_id, '|', 1) ORDER BY split_part(doc_id, '|', 2), nth) - 1)::INT AS chunk_index, header || chr(10) || piece AS content FROM m
+""")
+def chunk_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents with headings and lists, packed small so that sections have several."""
+    return chunking.chunk_documents(headed_documents(spark, sf_dir), 300, 80).select("source_name", "section", "chunk_index", "content")
+
+
 @query("SELECT doc_id, substr(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\\s+', ' ', 'g'), 1, 160) AS preview, replace(source || '.txt', '.txt', '') AS name, regexp_replace(lang || '/' || source, '^[^/]*/', '') AS short FROM documents")
 def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -346,31 +397,41 @@ def table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- graph
 
-#: Bounds the pairs of a kind: equal size as well as type.
-SIMILAR_SQL = """
-e AS (SELECT p_partkey, p_name, p_brand, p_type, p_type || '/' || p_size AS kind FROM part),
+#: Parts as entities. Two neighbouring keys of one name make a name that two sources may share.
+PARTS_SQL = "e AS (SELECT p_partkey, p_name || ' ' || (p_partkey // 2) AS p_name, p_brand, p_type AS kind, p_size FROM part)"
+SIMILAR_SQL = f"""
+{PARTS_SQL},
 similar_edges AS (SELECT a.p_partkey AS src, b.p_partkey AS dst FROM e a JOIN e b ON a.kind = b.kind AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand)
 """
 MENTIONS_SQL = "mentions AS (SELECT DISTINCT l_partkey AS entity_key, l_orderkey AS chunk_id FROM lineitem)"
 
 
+def similar_count() -> Column:
+    """How many edges similar_classes() stands for: each is counted at both ends."""
+    return F.expr("coalesce(sum(links) div 2, 0)")
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entities: key, name, kind, definition, source_name."""
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.concat_ws("/", "p_type", "p_size").alias("kind"), F.repeat(F.lit("x"), F.col("p_size")).alias("definition"), F.col("p_brand").alias("source_name"))
+    return p.select(F.col("p_partkey").alias("key"), F.concat_ws(" ", "p_name", F.floor(F.col("p_partkey") / 2)).alias("name"), F.col("p_type").alias("kind"), F.repeat(F.lit("x"), F.col("p_size")).alias("definition"), F.col("p_brand").alias("source_name"))
 
 
 def part_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem", ["l_partkey", "l_orderkey"]).select(F.col("l_partkey").alias("entity_key"), F.col("l_orderkey").alias("chunk_id")).distinct()
 
 
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.similar_edges(parts(spark, sf_dir), order=["key"], default=None)
+def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.similar_classes(parts(spark, sf_dir), default=None)
 
 
-@query(f"WITH {SIMILAR_SQL} SELECT src, dst, 'tương_tự' AS relation, 1.0::FLOAT AS weight FROM similar_edges")
+@query("""
+WITH e AS (SELECT p_partkey, p_brand, p_type FROM part)
+SELECT a.p_partkey AS key, a.p_type AS kind, a.p_brand AS source_name, count(b.p_partkey) AS links FROM e a LEFT JOIN e b ON a.p_type = b.p_type AND a.p_brand <> b.p_brand GROUP BY ALL
+""")
 def similar_role_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_edges(spark, sf_dir)
+    """Each part's class (kind and source) and number of similar parts: all edges, without listing the pairs of a kind."""
+    return part_classes(spark, sf_dir)
 
 
 @query(f"WITH {MENTIONS_SQL} SELECT a.entity_key AS src, b.entity_key AS dst, 'đồng_xuất_hiện' AS relation, count(*)::FLOAT AS weight FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.entity_key < b.entity_key GROUP BY ALL")
@@ -383,11 +444,12 @@ WITH {SIMILAR_SQL}, {MENTIONS_SQL}, t AS (SELECT a.entity_key AS src, b.entity_k
 SELECT 'tương_tự' AS relation, count(*) AS n FROM similar_edges UNION ALL SELECT 'đồng_xuất_hiện', count(*) FROM t
 """)
 def graph_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = part_edges(spark, sf_dir).unionByName(graph.together_edges(part_mentions(spark, sf_dir)))
-    return graph.histogram(graph.upsert_edges(edges), "relation")
+    similar = part_classes(spark, sf_dir).agg(F.lit(graph.SIMILAR).alias("relation"), similar_count().alias("n"))
+    together = graph.upsert_edges(graph.together_edges(part_mentions(spark, sf_dir)))
+    return similar.where("n > 0").unionByName(graph.histogram(together, "relation"))
 
 
-SEEDS_SQL = "seeds AS (SELECT p_partkey % 5 AS qid, p_name AS name FROM part WHERE p_partkey <= 20)"
+SEEDS_SQL = f"seeds AS (SELECT p_partkey AS qid, p_name AS name FROM e WHERE p_partkey % {EVERY} = 0)"
 NEAR_SQL = f"""
 {SIMILAR_SQL}, {SEEDS_SQL}, near AS (
   SELECT qid, d.p_name AS name, d.p_brand AS source_name, d.kind, s.p_name AS from_name FROM similar_edges g JOIN e s ON s.p_partkey = g.src JOIN e d ON d.p_partkey = g.dst JOIN seeds ON s.p_name = seeds.name
@@ -397,11 +459,15 @@ n AS (SELECT * FROM near WHERE NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.qid =
 
 
 def part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(spark, sf_dir).where("key <= 20").select((F.col("key") % 5).alias("qid"), "name")
+    """A question for every part whose key is divisible by EVERY."""
+    return parts(spark, sf_dir).where(F.col("key") % EVERY == 0).select(F.col("key").alias("qid"), "name")
 
 
 def near_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbors(part_edges(spark, sf_dir), parts(spark, sf_dir), part_seeds(spark, sf_dir))
+    """Neighbours of each question's seed, over the edges at entities of that name alone."""
+    entities, seeds = parts(spark, sf_dir), part_seeds(spark, sf_dir)
+    edges = graph.similar_edges(entities, order=["key"], default=None, at=entities.join(seeds.select("name").distinct(), "name"))
+    return graph.neighbors(edges, entities, seeds)
 
 
 @query(f"WITH {NEAR_SQL} SELECT qid, name, source_name, kind, 'tương_tự' AS relation, 1.0::FLOAT AS weight, from_name FROM n")
@@ -410,7 +476,7 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SEEDS_SQL}, {MENTIONS_SQL}, c AS (SELECT qid, chunk_id, count(*) AS n FROM (SELECT DISTINCT qid, name FROM seeds) s JOIN part ON p_name = name JOIN mentions ON entity_key = p_partkey GROUP BY ALL)
+WITH {PARTS_SQL}, {SEEDS_SQL}, {MENTIONS_SQL}, c AS (SELECT qid, chunk_id, count(*) AS n FROM (SELECT DISTINCT qid, name FROM seeds) s JOIN e ON p_name = name JOIN mentions ON entity_key = p_partkey GROUP BY ALL)
 SELECT qid, chunk_id, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, chunk_id)::INT AS rank FROM c QUALIFY rank <= 3
 """)
 def chunks_mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,17 +484,17 @@ def chunks_mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {NEAR_SQL}, {MENTIONS_SQL}, hits AS (SELECT qid, chunk_id AS id FROM (SELECT DISTINCT qid FROM seeds), (SELECT DISTINCT chunk_id FROM mentions WHERE chunk_id <= 40)),
-c AS (SELECT qid, chunk_id, count(*) AS n FROM (SELECT DISTINCT qid, name FROM n) s JOIN part ON p_name = name JOIN mentions ON entity_key = p_partkey GROUP BY ALL),
+WITH {NEAR_SQL}, {MENTIONS_SQL}, hits AS (SELECT DISTINCT qid, chunk_id AS id FROM seeds JOIN e ON p_name = name JOIN mentions ON entity_key = p_partkey),
+c AS (SELECT qid, chunk_id, count(*) AS n FROM (SELECT DISTINCT qid, name FROM n) s JOIN e ON p_name = name JOIN mentions ON entity_key = p_partkey GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, chunk_id) AS rank FROM c),
 f AS (SELECT * FROM r WHERE rank <= 3 + (SELECT count(*) FROM hits WHERE hits.qid = r.qid) AND NOT EXISTS (SELECT 1 FROM hits WHERE hits.qid = r.qid AND id = chunk_id))
 SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS position FROM f QUALIFY position <= 3
 """)
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentioned = part_mentions(spark, sf_dir)
-    ids = mentioned.where("chunk_id <= 40").select(F.col("chunk_id").alias("id")).distinct()
-    found = part_seeds(spark, sf_dir).select("qid").distinct().crossJoin(ids)
-    return graph.expand(near_parts(spark, sf_dir), mentioned, parts(spark, sf_dir), found, 3)
+    """Up to three chunks that mention a seed's neighbours, besides the question's hits: all chunks that mention the seed."""
+    mentioned, entities = part_mentions(spark, sf_dir), parts(spark, sf_dir)
+    found = graph.chunks_mentioning(mentioned, entities, part_seeds(spark, sf_dir), 2**31 - 1).select("qid", F.col("chunk_id").alias("id"))
+    return graph.expand(near_parts(spark, sf_dir), mentioned, entities, found, 3)
 
 
 @query(f"""
@@ -439,8 +505,8 @@ def relation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.relation_notes(near_parts(spark, sf_dir)).select("qid", F.array_join("notes", "\n").alias("notes"))
 
 
-@query("""
-SELECT p_brand AS source_name, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_type || '/' || p_size)), ',') AS kinds, array_to_string(list(p_name ORDER BY p_size DESC, p_name)[1:6], ',') AS samples FROM part GROUP BY p_brand
+@query(f"""
+WITH {PARTS_SQL} SELECT p_brand AS source_name, count(*) AS n, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, array_to_string(list(p_name ORDER BY p_size DESC, p_name)[1:6], ',') AS samples FROM e GROUP BY p_brand
 """)
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(parts(spark, sf_dir)).withColumns({"kinds": F.array_join("kinds", ","), "samples": F.array_join("samples", ",")})
@@ -488,20 +554,73 @@ def belongs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = ("the on", "on the", "the", "and that", "that the", "of the and", "is it", "for the", "in the", "are of")
 
 
-@query()
-def match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names of a small lexicon in each conversation turn, longest first; a test holds it against a plain version."""
+def _marked(sql: str) -> str:
+    """sql's text with each of NAMES, longest first, put as _k_: what one takes no later one finds. Letters beyond ASCII are z."""
+    marked = f"regexp_replace(lower({sql}), '[À-ÖØ-öø-ÿĀ-ɏ]', 'z', 'g')"
+    for k, name in sorted(enumerate(NAMES), key=lambda x: -len(x[1])):
+        marked = f"regexp_replace({marked}, '\\b{name}\\b', '_{k}_', 'g')"
+    return marked
+
+
+FOUND_SQL = f"""
+m AS (SELECT conv_id, turn, regexp_extract_all({_marked('text')}, '_([0-9]+)_', 1) AS k FROM conversations),
+u AS (SELECT conv_id, turn, unnest(k)::INT AS k, generate_subscripts(k, 1) AS pos FROM m),
+found AS (SELECT conv_id, turn, {list(NAMES)}[k + 1] AS name, min(pos) AS pos FROM u GROUP BY ALL)
+"""
+
+
+def name_lexicon(spark: SparkSession) -> DataFrame:
     names = spark.range(len(NAMES)).select(F.get(F.array(*map(F.lit, NAMES)), F.col("id").cast("int")).alias("name"), F.col("id").alias("pos"))
     entities = names.select(graph.entity_key(F.lit("s"), F.col("name")).alias("key"), "name", F.lit("s").alias("source_name"), "pos", F.array().cast("array<string>").alias("aliases"))
-    lexicon = graph.surfaces(entities)
+    return graph.surfaces(entities)
+
+
+@query(f"WITH {FOUND_SQL} SELECT conv_id * 1000 + turn AS id, string_agg(name, ',' ORDER BY pos) AS names FROM found GROUP BY conv_id, turn")
+def match_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names of a small lexicon in each conversation turn, longest first, in the order of their first match."""
+    lexicon = name_lexicon(spark)
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     found = graph.found_entities(graph.match_surfaces(turns, lexicon, "id", "text"), lexicon, "id")
     return found.select("id", F.array_join("names", ",").alias("names"))
 
 
-@query()
+def turns_with_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns (qid, conv_id, turn, answer) with their conversation's first one as the only passage."""
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    return turns.join(first, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", "turn", F.lit("").alias("question"), F.col("text").alias("answer"), F.array("first").alias("contents"))
+
+
+@query(f"""
+WITH {FOUND_SQL}, f AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id),
+new AS (SELECT a.* FROM found a JOIN f ON f.conv_id = a.conv_id WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.conv_id = a.conv_id AND b.turn = f.turn AND b.name = a.name)),
+l AS (SELECT conv_id, turn, string_agg(chr(39) || name || chr(39), ', ' ORDER BY pos) AS names FROM new GROUP BY ALL),
+x AS (SELECT conv_id, turn, text AS answer, list_filter(list_distinct(regexp_extract_all(text, '\\[\\d+\\]')), lambda s: replace(replace(s, '[', ''), ']', '')::INT <> 1) AS bad FROM conversations),
+r AS (SELECT conv_id, turn, list_reduce(list_prepend(answer, bad), lambda t, s: replace(t, s, '')) AS text FROM x)
+SELECT conv_id * 1000 + turn AS qid, trim(regexp_replace(regexp_replace(text, ' {{2,}}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), ' ' || chr(10) || chr(9)) AS text,
+  CASE WHEN names IS NULL THEN '' ELSE 'thực thể không có trong ngữ cảnh: [' || names || ']' END AS flag FROM r LEFT JOIN l USING (conv_id, turn)
+""")
+def verify_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verify() on each turn as an answer from its conversation's first turn: the cleaned text, and the lexicon's names that this hasn't."""
+    rows = verification.verify(turns_with_first(spark, sf_dir), name_lexicon(spark))
+    return rows.select("qid", "text", F.array_join(F.filter("flags", lambda f: f.startswith("thực thể")), "|").alias("flag"))
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT p_brand, p_type, p_partkey, p_name, lower(p_name) AS low, '- ' || p_name || ' (P' || (p_partkey + 1000) || '): size ' || p_size AS line FROM part),
+h AS (SELECT p_brand || '|' || p_type AS doc_id, p_brand, list(line ORDER BY p_partkey) AS units, list(low ORDER BY p_partkey) AS lows, p_brand || ' (Brand name) — mục tiêu ' || p_type AS header FROM d GROUP BY p_brand, p_type),
+{PACK_SQL.format(target=1800, overlap=300)},
+w AS (SELECT r.doc_id, nth, lows[s + 1:b] AS lows FROM ranges r JOIN h USING (doc_id)),
+entities AS (SELECT DISTINCT p_brand || '#' || low AS key, low FROM d), brands AS (SELECT DISTINCT p_brand || '#' AS key, p_brand FROM d),
+mentions AS (SELECT DISTINCT doc_id, nth, key FROM (SELECT doc_id, nth, unnest(lows) AS low FROM w) x JOIN entities USING (low) UNION SELECT doc_id, nth, key FROM w, brands),
+together AS (SELECT DISTINCT a.key, b.key FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.nth = b.nth AND a.key < b.key),
+per AS (SELECT p_brand, count(*) AS n, count(DISTINCT low) AS k FROM d GROUP BY p_brand)
+SELECT (SELECT count(*) FROM entities) + (SELECT count(*) FROM brands) AS entities, (SELECT count(*) FROM d) + (SELECT count(*) FROM brands) AS aliases, (SELECT count(*) FROM mentions) AS mentions,
+  ((SELECT count(*) FROM d) + (SELECT (sum(n) * sum(n) - sum(n * n)) // 2 FROM per) + (SELECT count(*) * (count(*) - 1) // 2 FROM brands) + (SELECT count(*) FROM together))::BIGINT AS edges,
+  ((SELECT count(*) FROM entities) + (SELECT (sum(k) * sum(k) - sum(k * k)) // 2 FROM per) + (SELECT count(*) * (count(*) - 1) // 2 FROM brands) + (SELECT count(*) FROM together))::BIGINT AS stored_edges
+""")
 def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a graph built from all brands' documents and their chunks; a test holds them against plain loops."""
+    """Counts of a graph built from all brands' documents and their chunks."""
     docs = part_documents(spark, sf_dir)
     chunks_ = chunking.chunk_documents(docs).withColumn("id", F.concat_ws("#", "source_name", "chunk_index"))
     return graph.build_graph(docs, chunks_)["counts"]
@@ -513,7 +632,7 @@ WITH {SIMILAR_SQL} SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT co
 """)
 def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_name"))
-    return summary.health(docs, parts(spark, sf_dir), part_edges(spark, sf_dir), {"threshold": TAU, "top_k": TOP})
+    return summary.health(docs, parts(spark, sf_dir), part_classes(spark, sf_dir), {"threshold": TAU, "top_k": TOP}, similar_count())
 
 
 @query("""
@@ -529,9 +648,10 @@ def vector_topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vector_topk through an inverted file; a test measures its recall against the exact result."""
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     centers = ivf.fit(rows)
-    indexed = ivf.assign(rows.where(F.col("id") >= QUESTIONS), centers, "id")
-    asked = rows.where(F.col("id") < QUESTIONS).withColumnRenamed("id", "qid")
-    return ivf.search(asked, indexed, centers, TOP)
+    indexed = ivf.assign(rows, centers, "id")
+    asked = rows.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid")
+    found = ivf.search(asked, indexed, centers, TOP + 1).where("id <> qid")
+    return search.ranked(found.drop("rank"), TOP)
 
 
 # ---------------------------------------------------------------- routing, verification, history
@@ -575,6 +695,34 @@ def model_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.withColumn("place", F.row_number().over(Window.orderBy(*routing.model_order(F.col("name"))))).where("place <= 20")
 
 
+@query("""
+WITH r AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN chr(10) || ' "' || text || ' more" ' WHEN 1 THEN ' "" ' WHEN 2 THEN text || repeat('x', 200) ELSE text || repeat('x', 199) END AS given FROM conversations),
+t AS (SELECT *, trim(trim(given, ' ' || chr(10) || chr(9)), '"') AS clean FROM r)
+SELECT conv_id, turn, CASE WHEN length(clean) > 0 AND length(clean) < length(text) + 200 THEN clean ELSE text END AS question FROM t
+""")
+def accepted_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewritten questions, quoted, empty or too long, as they are taken over or not."""
+    t, k = F.col("text"), F.col("turn") % 4
+    longer = lambda n: F.concat(t, F.lit("x" * n))
+    given = F.when(k == 0, F.concat(F.lit('\n "'), t, F.lit(' more" '))).when(k == 1, F.lit(' "" ')).when(k == 2, longer(200)).otherwise(longer(199))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.accepted_rewrite(t, given).alias("question"))
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN '  đạt mọi ý' WHEN 1 THEN ' - ' || text || chr(10) || 'x' || chr(10) || '-- second' WHEN 2 THEN 'x - y' ELSE '' END AS given FROM conversations),
+c AS (SELECT *, CASE WHEN turn % 4 = 1 THEN [trim(split_part(text, chr(10), 1)), 'second'] ELSE [] END AS claims FROM r)
+SELECT conv_id, turn, array_to_string(claims, '|') AS claims, turn % 4 = 3 AS refused,
+  CASE WHEN turn % 4 = 3 THEN 'Tôi không tìm thấy thông tin này.' ELSE text END || CASE WHEN len(claims) > 0 THEN chr(10) || chr(10) || '⚠ Chưa đối chiếu được với tài liệu:' || chr(10) || '  • ' || claims[1] || chr(10) || '  • second' ELSE '' END AS shown FROM c
+""")
+def entailment_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that a verifier's responses list, answers with them, and which answers are refusals."""
+    t, k = F.col("text"), F.col("turn") % 4
+    given = F.when(k == 0, F.lit("  đạt mọi ý")).when(k == 1, F.concat(F.lit(" - "), t, F.lit("\nx\n-- second"))).when(k == 2, F.lit("x - y")).otherwise(F.lit(""))
+    answer = F.when(k == 3, F.lit("Tôi không tìm thấy thông tin này.")).otherwise(t)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", grounding.entailment_claims(given).alias("c"), answer.alias("answer"))
+    return rows.select("conv_id", "turn", F.array_join("c", "|").alias("claims"), context.is_refusal(F.col("answer")).alias("refused"), context.with_unsupported(F.col("answer"), F.col("c")).alias("shown"))
+
+
 #: Conversation turns as answers: every third sentence end gets a citation, of which some don't exist.
 ANSWERS_SQL = r"answers AS (SELECT conv_id * 1000 + turn AS id, replace(replace(text, '. ', ' [1]. '), ', ', ' [' || (turn + 3) || '] , ') || ' 1,50 [07]' AS answer FROM conversations)"
 
@@ -626,11 +774,28 @@ def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", F.array_join(grounding.ungrounded_numbers(bare, F.coalesce("hay", F.lit(""))), " ").alias("numbers")).where("numbers <> ''")
 
 
-@query()
+#: A run of capitalised words, each with white space or the end behind it.
+_RUN = rf"(?:[{_UPPER}][\p{{L}}\p{{N}}_]*(?:\s+|$)){{2,}}"
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(lower(text), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS text FROM conversations),
+f AS (SELECT conv_id, lower(arg_min(text, turn)) AS hay FROM t GROUP BY conv_id),
+r AS (SELECT conv_id, turn, hay, regexp_extract_all(text, '{_RUN}') AS runs, string_split_regex(text, '{_RUN}') AS between FROM t JOIN f USING (conv_id)),
+u AS (SELECT conv_id, turn, hay, unnest(runs) AS run, generate_subscripts(runs, 1) AS k, runs, between FROM r),
+a AS (SELECT conv_id, turn, hay, k, trim(run, ' ' || chr(10) || chr(9)) AS run, rtrim(array_to_string(list_transform(range(1, k + 1), lambda i: between[i] || CASE WHEN i < k THEN runs[i] ELSE '' END), ''), ' ' || chr(9)) AS ahead FROM u),
+w AS (SELECT *, regexp_split_to_array(run, '\s+') AS words FROM a WHERE length(run) >= 6 AND NOT contains(hay, lower(run))),
+c AS (SELECT conv_id, turn, hay, k, CASE WHEN regexp_matches(ahead, '^\s*$') OR contains(chr(10) || '.!?:-•', ahead[-1]) THEN words[2:] ELSE words END AS words FROM w),
+p AS (SELECT conv_id, turn, hay, k, unnest(range(1, len(words))) AS i, words FROM c),
+n AS (SELECT conv_id, turn, words[i] || ' ' || words[i + 1] AS pair, min((k, i)) AS pos FROM p WHERE NOT contains(hay, lower(words[i] || ' ' || words[i + 1])) GROUP BY ALL),
+g AS (SELECT conv_id, turn, string_agg(pair, ',' ORDER BY pos) AS names FROM n GROUP BY ALL)
+SELECT conv_id, turn, coalesce(names, '') AS names FROM t LEFT JOIN g USING (conv_id, turn)
+""")
 def ungrounded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised pairs of each turn that its conversation's first turn hasn't; a test holds it against a plain version."""
+    """Capitalised pairs of each turn, its words' first letters as capitals, that its conversation's first turn hasn't."""
     ship(spark)
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.initcap("text"))
+    capitals = F.array_join(F.transform(F.split(F.lower("text"), " "), lambda x: F.when(x.startswith("ß"), x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2**31 - 1)))), " ")
+    turns = table(spark, sf_dir, "conversations").withColumn("text", capitals)
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("hay"))
     rows = turns.join(first, "conv_id").select("conv_id", "turn", grounding.ungrounded_names(F.col("text"), F.col("hay")).alias("n"))
     return rows.select("conv_id", "turn", F.array_join("n", ",").alias("names"))

@@ -169,3 +169,18 @@ def test_ask_end_to_end(spark, tmp_path):
     assert answers[2]["refused"] and answers[2]["model_used"] == "" and answers[2]["citations"] == []
     assert answers[3]["refused"] and answers[3]["search_query"] == "Thần Lửa sống ở đâu trong núi?" and answers[3]["flags"] == []
     assert log.read_text().count("call") == 3  # a rewrite and two answers: none for the refused question, none twice
+
+
+def test_middle_values_of_any_group(spark):
+    import random
+
+    from lodestone.operators.evaluation import latency_summary, middle_values
+
+    rng = random.Random(9)
+    groups = {n: [round(rng.gauss(0, 10), rng.choice([0, 3])) for _ in range(n)] for n in (1, 2, 3, 4, 9, 10, 1001, 6000)}
+    groups |= {50: [1.0] * 30 + [2.0] * 20, 40: [1.0] * 20 + [3.0] * 20, None: [4.0, 6.0]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [(77, None)]
+    got = {r["g"]: tuple(r)[1:] for r in middle_values(spark.createDataFrame(rows, "g long, v double").repartition(5), "g", "v").collect()}
+    assert got == {g: (len(v), min(v), max(v), sorted(v)[(len(v) - 1) // 2], sorted(v)[len(v) // 2]) for g, v in groups.items()}
+    few = spark.createDataFrame([(1.0, 0.0), (4.0, 0.0)], "a double, b double")
+    assert [tuple(r) for r in latency_summary(few, ["a", "b"]).collect()] == [("a", 2, 2.5, 1.0, 4.0)]

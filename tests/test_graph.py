@@ -159,3 +159,38 @@ def test_together_by_class(spark):
     rows = [("a", 1), ("b", 1), ("a", 1), ("b", 2), ("a", 2), ("c", 3), ("d", 2), ("e", 2), ("f", 3)]
     mentions = spark.createDataFrame(rows, "entity_key string, chunk_id long")
     assert sorted(map(tuple, graph.together_by_class(mentions).collect())) == sorted(map(tuple, graph.together_edges(mentions).collect()))
+
+
+def test_similar_classes_count_edges(spark, found):
+    ends = [x for r in graph.similar_edges(found).collect() for x in (r["src"], r["dst"])]
+    rows = graph.similar_classes(found).collect()
+    assert sorted(k for r in rows for k in [r["key"]] * r["links"]) == sorted(ends)
+
+
+def test_edges_at_given_entities(spark):
+    rows = spark.createDataFrame([(k, "ab"[k % 2], f"s{k % 3}") for k in range(12)], "key long, kind string, source_name string")
+    every = {tuple(r)[:2] for r in graph.similar_edges(rows, order=["key"]).collect()}
+    some = [tuple(r)[:2] for r in graph.similar_edges(rows, order=["key"], at=spark.createDataFrame([(3,), (5,), (5,)], "key long")).collect()]
+    assert sorted(some) == sorted(e for e in every if {3, 5} & set(e)) != []
+
+
+def test_the_last_weight_stays(spark):
+    edges = spark.createDataFrame([("a", "b", "r", 2.0, 1), ("a", "b", "r", 1.0, 2)], "src string, dst string, relation string, weight double, nth int")
+    assert graph.upsert_edges(edges, "nth").first()["weight"] == 1.0 and graph.upsert_edges(edges).first()["weight"] == 2.0
+
+
+def test_matcher_tries_every_place():
+    """Against regular expressions for every surface, with words, marks and letters that change with case."""
+    import random
+
+    rng = random.Random(8)
+    pieces = ["a", "B", "ß", "SS", "_", "1", " ", " ", "-", "(", "é", "É", "ab", "ſ", "."]
+    for _ in range(1500):
+        names = list(dict.fromkeys("".join(rng.choices(pieces, k=rng.randrange(1, 5))).lower() for _ in range(6)))
+        text = "".join(rng.choices(pieces, k=rng.randrange(0, 25)))
+        want = []
+        for name in sorted(names, key=len, reverse=True):
+            for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text, re.IGNORECASE):
+                if all(m.end() <= a or b <= m.start() for a, b, _ in want):
+                    want.append((m.start(), m.end(), name))
+        assert graph.Matcher(names)(text) == sorted(want, key=lambda x: (x[0], x[2])), (names, text)

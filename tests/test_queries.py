@@ -75,6 +75,6 @@ def test_approximate_search_finds_nearly_all(spark):
     assert len(exact & near) >= 0.9 * len(exact)
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
     centers = ivf.fit(rows)
-    asked = rows.where("id < 20").withColumnRenamed("id", "qid")
-    full = ivf.search(asked, ivf.assign(rows.where("id >= 20"), centers, "id"), centers, 5, len(centers))
-    assert {(r["qid"], r["id"]) for r in full.collect()} == exact
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    full = ivf.search(asked, ivf.assign(rows, centers, "id"), centers, 6, len(centers)).where("id <> qid")
+    assert {(r["qid"], r["id"]) for r in full.collect()} >= exact
