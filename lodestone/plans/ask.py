@@ -15,7 +15,7 @@ from lodestone.operators.history import last_messages, transcript
 from lodestone.operators.search import gate, hits_for_ids, top_k
 from lodestone.operators.verification import needs_entailment, verified, verify
 from lodestone.session import materialize
-from lodestone.sources.services import embed, generate
+from lodestone.sources.services import QUESTIONS, embed, generate
 
 Model = tuple[str, Callable[[str], str]]
 TOP_K, THRESHOLD, EXTRA_CHUNKS = 4, 0.60, 3
@@ -53,15 +53,15 @@ def retrieve(questions: DataFrame, chunks: DataFrame, graph: dict[str, DataFrame
     return gated.withColumn("notes", F.array().cast("array<string>")) if notes is None else gated.join(notes, "qid", "left")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, embedder: Callable[[list[str]], list[Sequence[float]]], models: Sequence[Model], graph: dict[str, DataFrame] | None = None, threshold: float = THRESHOLD, entailment: str = "auto", verifier: Sequence[Model] | None = None) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, embedder: Callable[[list[str], str], list[Sequence[float]]], models: Sequence[Model], graph: dict[str, DataFrame] | None = None, threshold: float = THRESHOLD, entailment: str = "auto", verifier: Sequence[Model] | None = None) -> DataFrame:
     """An answer for each question (qid, question, history): text, citations, refused, flags and how it came about.
 
     Refusals, by the gate or in the model's own words, have no citations and no flags. Only answers that fail a cheap check
-    are sent to the verifier in mode auto; what it finds unsupported is said under the answer. What calls have returned is
+    are sent to the verifier in mode auto; the embedder is given texts and the task QUESTIONS; what it finds unsupported is said under the answer. What calls have returned is
     written to the shared folder before it is used, so that no call is made twice for a plan that reads it twice.
     """
     none = F.array().cast("array<string>")
-    asked = materialize(embed(rewritten(questions, models), embedder, "search_query"))
+    asked = materialize(embed(rewritten(questions, models), embedder, "search_query", task=QUESTIONS))
     ready = materialize(retrieve(asked, chunks, graph, threshold=threshold))
     prompt = C.user_message(F.col("question"), F.col("hits"), F.coalesce("notes", none))
     made = materialize(generate(ready.where("not refused").withColumn("prompt", prompt), models))

@@ -14,10 +14,10 @@ SUFFIXES = (".txt", ".md")
 QUESTION = T.StructType([T.StructField(n, T.StringType()) for n in ("q", "type", "expect_source", "expect_section")] + [T.StructField("expect_any_source", T.ArrayType(T.StringType()))])
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """source_name, path, text, n_chars: each text file of a folder (not below it), cleaned, by its whole content.
 
-    Suffixes count in any case. A file that isn't UTF-8 raises an error, as do a missing folder and one without such a file.
+    Suffixes count in any case. With ordered, which sorts all of them, rows come in the order of their paths. A file that isn't UTF-8 raises an error, as do a missing folder and one without such a file.
     """
     ship(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
@@ -28,7 +28,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         raise FileNotFoundError(f"no {' or '.join(SUFFIXES)} file in {folder}")
     # decode() raises on malformed input while ANSI mode is on
     docs = chosen.select(name.alias("source_name"), "path", clean_text(F.decode("content", "UTF-8")).alias("text"))
-    return docs.withColumn("n_chars", F.length("text"))
+    docs = docs.withColumn("n_chars", F.length("text"))
+    return docs.orderBy("path") if ordered else docs
 
 
 def read_questions(spark: SparkSession, path: str, field: str = "questions") -> DataFrame:

@@ -66,10 +66,19 @@ def with_fallback(calls: Sequence[tuple[str, Callable[[], Result]]], sleep: Call
     raise ValueError("no call was given")
 
 
-def embed(texts: DataFrame, embedder: Callable[[list[str]], list[Sequence[float]]], text: str = "content", size: int = BATCH, tries: Callable[..., object] = retried) -> DataFrame:
-    """texts with embedding, array<float> of norm 1, from requests of so many texts; a failed request goes text by text."""
+#: What a vector is for; models make different ones of documents and of questions to them.
+DOCUMENTS, QUESTIONS = "RETRIEVAL_DOCUMENT", "RETRIEVAL_QUERY"
+
+
+def embed(texts: DataFrame, embedder: Callable[..., list[Sequence[float]]], text: str = "content", size: int = BATCH, tries: Callable[..., object] = retried, task: str | None = None) -> DataFrame:
+    """texts with embedding, array<float> of norm 1, from requests of so many texts; a failed request goes text by text.
+
+    With a task, such as DOCUMENTS or QUESTIONS, it is given to the embedder besides each request's texts.
+    """
     ship(texts.sparkSession)
     at = texts.columns.index(text)
+    if task is not None:
+        plain, embedder = embedder, lambda some: plain(some, task)
 
     def call(some: list[str]) -> list[Sequence[float]]:
         try:
@@ -90,8 +99,8 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], list[Sequence[float]
     return texts.mapInArrow(run, texts.withColumn("embedding", F.array(F.lit(0.0).cast("float"))).schema)
 
 
-def hashed_embedder(dims: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """A stand-in without a model: counts of hashed words and neighbouring pairs, the same on every machine."""
+def hashed_embedder(dims: int = 64) -> Callable[..., list[list[float]]]:
+    """A stand-in without a model: counts of hashed words and neighbouring pairs, the same on every machine and for every task."""
     from zlib import crc32
 
     def one(text: str) -> list[float]:
@@ -101,7 +110,7 @@ def hashed_embedder(dims: int = 64) -> Callable[[list[str]], list[list[float]]]:
             v[crc32(token.encode()) % dims] += 1.0
         return v
 
-    return lambda texts: [one(t) for t in texts]
+    return lambda texts, task=None: [one(t) for t in texts]
 
 
 def generate(prompts: DataFrame, models: Sequence[tuple[str, Callable[[str], str]]], prompt: str = "prompt") -> DataFrame:

@@ -77,9 +77,11 @@ def write(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """Rows as JSON lines; text is written as it is, not escaped."""
+def write_results(rows: DataFrame, path: str, settings: dict[str, object] | None = None) -> None:
+    """Rows as JSON lines, and the settings that they were made with as one line under path.config; text isn't escaped."""
     rows.write.mode("overwrite").json(path)
+    if settings:
+        rows.sparkSession.range(1).coalesce(1).select(*(F.lit(v).alias(k) for k, v in settings.items())).write.mode("overwrite").json(f"{path}.config")
 
 
 def paired(chunks: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:

@@ -93,6 +93,7 @@ def test_documents_and_questions(spark, tmp_path):
     (tmp_path / "kb" / "below" / "d.txt").write_text("no")
     rows = {r["source_name"]: r["text"] for r in read_documents(spark, str(tmp_path / "kb")).collect()}
     assert rows == {"a b+%.txt": "xin\nchào", "B.MD": "# B"}
+    assert [r["source_name"] for r in read_documents(spark, str(tmp_path / "kb"), ordered=True).collect()] == ["B.MD", "a b+%.txt"]
     (tmp_path / "empty").mkdir()
     with pytest.raises(Exception, match="no .txt|PATH"):
         read_documents(spark, str(tmp_path / "empty"))
@@ -120,6 +121,8 @@ def test_tables(spark, tmp_path):
         tables.paired(spark.sql("select 2 as id, 'x' as content"), vectors)
     tables.write_results(spark.sql("select 'đúng' as reason"), str(tmp_path / "r"))
     assert any("đúng" in p.read_text() for p in (tmp_path / "r").glob("*.json"))
+    tables.write_results(spark.sql("select 1 as n"), str(tmp_path / "s"), {"top_k": 4, "model": "m"})
+    assert [p.read_text() for p in (tmp_path / "s.config").glob("*.json")] == ['{"top_k":4,"model":"m"}\n']
 
 
 def test_services(monkeypatch):
@@ -140,6 +143,13 @@ def test_services(monkeypatch):
     assert services.setting("SOME_SETTING", "usual") == "usual"
 
 
+def test_tasks_reach_the_embedder(spark):
+    texts = spark.createDataFrame([("a",), ("b",)], "content string")
+    told = lambda some, task: [[1.0, 0.0] if task == services.QUESTIONS else [0.0, 1.0] for _ in some]
+    first = lambda task: {r["embedding"][0] for r in services.embed(texts, told, task=task).collect()}
+    assert first(services.QUESTIONS) == {1.0} and first(services.DOCUMENTS) == {0.0}
+
+
 def test_ask_end_to_end(spark, tmp_path):
     docs = spark.createDataFrame(
         [("dao.txt", "# Đảo\n\n## Mục tiêu\n- Thần Mây: đứng ở phía bắc của đảo."), ("nui.txt", "# Núi\n\n## Mục tiêu\n- Thần Lửa: sống trong hang núi đá."), ("bien.txt", "# Biển\n\n## Thuật ngữ\n- Sóng: nước dâng lên cao.")],

@@ -78,3 +78,4 @@ def test_approximate_search_finds_nearly_all(spark):
     asked = rows.where("id % 50 = 0").withColumnRenamed("id", "qid")
     full = ivf.search(asked, ivf.assign(rows, centers, "id"), centers, 6, len(centers)).where("id <> qid")
     assert {(r["qid"], r["id"]) for r in full.collect()} >= exact
+    assert ivf.assign(rows.limit(0), centers, "id").count() == 0 == ivf.search(asked.limit(0), ivf.assign(rows, centers, "id"), centers).count()
