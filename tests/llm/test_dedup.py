@@ -117,6 +117,52 @@ def test_near_dedup_of_one_large_family(frame, monkeypatch, block, hubs):
     assert sorted(str(tuple(r)) for r in got) == brute_near(rows)
 
 
+@pytest.mark.parametrize("words,pairs", [(40, 60), (200, 60), (1500, 30)])
+def test_links_just_above_the_limit_are_found(frame, words, pairs):
+    """Pairs of 0.80 to 0.85 and of 0.75 to 0.80, of short to long texts: every one of the first is linked, none of the second."""
+    rng = random.Random(words)
+    shingles = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    rows, near = [], {}
+    for _ in range(200 * pairs):
+        w = [f"{rng.randrange(10**9):x}" for _ in range(words)]
+        v = list(w)
+        for _ in range(rng.randrange(1, max(4, words // 15))):
+            v[rng.randrange(words)] = f"{rng.randrange(10**9):x}"
+        likeness = len(shingles(w) & shingles(v)) / len(shingles(w) | shingles(v))
+        if 0.75 <= likeness <= 0.85 and sum((x >= 0.8) == (likeness >= 0.8) for x in near.values()) < pairs:
+            near[len(rows)] = likeness
+            rows += [(len(rows), " ".join(w), "en", "s"), (len(rows) + 1, " ".join(v), "en", "s")]
+        if len(near) == 2 * pairs:
+            break
+    assert min(sum(x >= 0.8 for x in near.values()), sum(x < 0.8 for x in near.values())) >= 10
+    got = {r["doc_id"]: r["component_id"] for r in near_groups(frame(rows, 5)).collect()}
+    assert {d: got[d + 1] == d for d in near} == {d: x >= 0.8 for d, x in near.items()}
+
+
+def test_a_chain_of_chance_bands_stays_exact(frame, monkeypatch):
+    """Texts that share boilerplate meet in many bands without a link; large clusters are settled band by band."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(near_dedup, "HUBS", 2)
+    rng = random.Random(12)
+    shared = prose(rng, 90).split()
+    rows = []
+    for d in range(60):
+        own = prose(rng, 50 + d % 3)
+        rows.append((d, f"{' '.join(shared)} {own}" if d % 4 else f"{' '.join(shared[: 70 + d // 4])} {rows[d - 1][1] if d else own}", "en", "s"))
+    assert sorted(str(tuple(r)) for r in near_groups(frame(rows, 5)).collect()) == brute_near(rows)
+
+
+def test_scratch_tables_are_deleted(spark, frame, odd_rows):
+    import os
+
+    from lodestone.llm.common import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    near_groups(frame(odd_rows)).count()
+    assert len(set(os.listdir(folder)) - before) <= 3
+
+
 def test_band_keys_are_of_extremes():
     import numpy as np
 

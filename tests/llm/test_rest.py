@@ -494,6 +494,42 @@ def test_pages_of_any_kind(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+# ---------------------------------------------------------------------------------------------- very long texts
+
+
+def test_very_long_texts(frame, tokenizer):
+    """Two hundred thousand words: every operator reads them whole."""
+    from lodestone.llm.exact_dedup import exact_dedup
+    from lodestone.llm.near_dedup import near_groups
+    from lodestone.llm.personal_data import find_personal_data
+    from lodestone.llm.substring_dedup import repeated_words
+
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    long, other = " ".join(words), " ".join([*words[:-200], "x", *words[-199:]])
+    end = " ".join(words[-100:])
+    docs = frame([(1, long, "en", "a"), (2, other, "en", "a"), (3, long + "\n", "en", "b"), (4, end + " mail a@b.org", "en", "b")]).cache()
+    by = lambda df, *c: {r["doc_id"]: tuple(r[x] for x in c) for r in df.collect()}
+    assert by(near_groups(docs), "component_id") == {1: (1,), 2: (1,), 3: (1,), 4: (4,)}
+    assert by(exact_dedup(docs), "keep_id", "group_size") == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+    assert by(repeated_words(docs), "n_removed") == {1: (0,), 2: (199_999,), 3: (200_000,), 4: (100,)}
+    assert by(find_personal_data(docs), "n_email") == {1: (0,), 2: (0,), 3: (0,), 4: (1,)}
+    assert by(mix_sources(docs), "size") == {1: (200_000,), 2: (200_000,), 3: (200_000,), 4: (102,)}
+    prints = by(fp.fingerprints(docs), "fingerprint")
+    assert prints[1] == prints[3] == (plain_fingerprint(long),) and prints[2] == (plain_fingerprint(other),)
+    likeness = by(fp.edit_likeness(docs), "near_next", "n_chars")
+    assert likeness[3][0] > 0.9 and likeness[1][1] == len(long)
+    prose_ = " ".join(rng.choice("the word of and in it was on a by which they".split()) for _ in range(200_000))
+    learned = {"de": b"und der die das ist von mit auf ein sie nicht wort " * 20, "en": b"the word of and in it was on a by which they " * 20}
+    assert by(identify(frame([(1, prose_, None, None)]), learned), "lang_pred", "rejected") == {1: ("en", False)}
+    n = len(tokenizer.encode(long, add_special_tokens=False).ids)
+    edits = F.array(F.struct(F.lit(5).alias("start"), F.lit(5).alias("end"), F.lit("").alias("new")))
+    assert by(edited_counts(docs.withColumn("edits", edits)), "n_tokens")[1] == (n,)
+    assert sum(r["length"] for r in pack(docs.where("doc_id = 1")).collect()) == n + 1
+    page = f"<body><div><p>{long}</p></div><nav>menu</nav></body>"
+    assert main_text(page) == long
+
+
 # ------------------------------------------------------------------------------------------------------ pipeline
 
 
