@@ -365,13 +365,18 @@ def neighbors(edges: DataFrame, entities: DataFrame, seeds: DataFrame, relations
     return both.join(seeds.select("qid", "name").distinct(), ["qid", "name"], "left_anti")
 
 
-def chunks_mentioning(mentioned: DataFrame, entities: DataFrame, names: DataFrame, limit: int | Column = 3) -> DataFrame:
+def chunks_mentioning(mentioned: DataFrame, entities: DataFrame, names: DataFrame, limit: int | None = 3, without: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, n, rank: the chunks that mention most entities of each question's names, ties by chunk_id.
 
-    n counts entities, so one name that several sources have counts as often.
+    n counts entities, so one name that several sources have counts as often. Chunks of without (qid, chunk_id) are left
+    out first. The limit, if any, applies in each partition before ranks are shuffled; with None all are given, without rank.
     """
     wanted = names.select("qid", "name").distinct().join(entities.select("name", F.col("key").alias("entity_key")), "name")
     counted = wanted.join(mentioned, "entity_key").groupBy("qid", "chunk_id").agg(F.count("*").alias("n"))
+    if without is not None:
+        counted = counted.join(without, ["qid", "chunk_id"], "left_anti")
+    if limit is None:
+        return counted
     order = Window.partitionBy("qid").orderBy(F.desc("n"), "chunk_id")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
@@ -397,12 +402,6 @@ def relation_notes(near: DataFrame) -> DataFrame:
 
 
 def expand(near: DataFrame, mentioned: DataFrame, entities: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
-    """qid, chunk_id, position: up to limit chunks of each question's neighbours that its hits (qid, id) haven't.
-
-    As many more are ranked as the question has hits, so that dropping these leaves enough.
-    """
-    n_hits = hits.groupBy("qid").agg(F.count("*").alias("_hits"))
-    ranked = chunks_mentioning(mentioned, entities, near, 2**31 - 1).join(n_hits, "qid", "left").where(F.col("rank") <= limit + F.coalesce("_hits", F.lit(0)))
-    fresh = ranked.join(hits.select("qid", F.col("id").alias("chunk_id")), ["qid", "chunk_id"], "left_anti")
-    position = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
-    return fresh.withColumn("position", position).where(F.col("position") <= limit).select("qid", "chunk_id", "position")
+    """qid, chunk_id, position: up to limit chunks of each question's neighbours that its hits (qid, id) haven't."""
+    known = hits.select("qid", F.col("id").alias("chunk_id")).distinct()
+    return chunks_mentioning(mentioned, entities, near, limit, known).select("qid", "chunk_id", F.col("rank").alias("position"))
