@@ -8,7 +8,8 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from lodestone.llm import near_dedup, substring_dedup
+from lodestone.llm import common, near_dedup, substring_dedup
+from lodestone.llm import exact_dedup as exact
 from lodestone.llm.exact_dedup import OP6_SQL, exact_dedup, op6_exact_dedup
 from lodestone.llm.near_dedup import OP1_SQL, near_groups, op1_near_dedup
 from lodestone.llm.substring_dedup import COVER, OP5_SQL, PERIOD, is_cover, op5_substring_dedup, repeated_words
@@ -54,6 +55,12 @@ def test_exact_dedup_of_odd_rows(frame, odd_rows):
     assert exact_dedup(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 5])
+def test_marks_that_keys_share_by_chance_change_nothing(frame, odd_rows, monkeypatch, buckets):
+    monkeypatch.setattr(exact, "BUCKETS", buckets)
+    assert sorted(str(tuple(r)) for r in exact_dedup(frame(odd_rows), digest_all=True).collect()) == brute_exact(odd_rows)
+
+
 def test_prefix_and_length_do_not_decide(frame):
     rows = [(1, "a" * 100 + "b", "en", "s"), (2, "a" * 100 + "c", "en", "s"), (3, "a" * 100 + "c", "en", "s")]
     assert {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(rows)).collect()} == {1: 1, 2: 2, 3: 2}
@@ -100,6 +107,11 @@ def test_near_dedup_of_odd_rows(frame, odd_rows):
     assert near_groups(frame([])).count() == 0
 
 
+def test_near_dedup_when_members_are_too_many_to_send(frame, odd_rows, monkeypatch):
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    assert sorted(str(tuple(r)) for r in near_groups(frame(odd_rows)).collect()) == brute_near(odd_rows)
+
+
 @pytest.mark.parametrize("block,hubs", [(1024, 64), (4, 2), (7, 1)])
 def test_near_dedup_of_one_large_family(frame, monkeypatch, block, hubs):
     """Copies of one text, with edits of any number: chains of links around 0.8, also across blocks."""
