@@ -114,3 +114,9 @@ def test_stats_and_tokens(spark):
     assert sorted(map(tuple, C.chunk_stats(chunks).collect())) == [("a", 2, 10, 11, 13, 7, 2), ("b", 1, 5, 5, 5, 2, 1)]
     n = spark.range(1, 20).select("id", T.approx_tokens(F.col("id")).alias("t")).collect()
     assert all(r["t"] == round(r["id"] / 3.0) for r in n)
+
+
+def test_ids_follow_source_and_index(spark):
+    rows = [("b", 1), ("a", 0), ("b", 0), ("c", 0), ("a", 1), ("a", 2)]
+    got = C.with_ids(spark.createDataFrame(rows, "source_name string, chunk_index int").repartition(3)).collect()
+    assert {tuple(r) for r in got} == {(*r, k) for k, r in enumerate(sorted(rows), 1)}
