@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
+
 # Markers and rules, in the order that counts.
 #: A question with one of these, anywhere in its lower-case text, may depend on what was said before.
 DEPENDENT_MARKERS = (
@@ -76,7 +78,7 @@ def refused(top: Column, threshold: float) -> Column:
 
 def accepted_rewrite(question: Column, rewritten: Column, longer: int = 200) -> Column:
     """The rewritten question, stripped of white space and quotes, unless it is empty or far longer; then the question."""
-    clean = F.regexp_replace(F.regexp_replace(rewritten, r"(?U)^\s+|\s+$", ""), '^"+|"+$', "")
+    clean = F.regexp_replace(strip(rewritten), '^"+|"+$', "")
     return F.when((F.length(clean) > 0) & (F.length(clean) < F.length(question) + longer), clean).otherwise(question)
 
 

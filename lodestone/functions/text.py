@@ -19,6 +19,10 @@ HEADING = r"(?Ud)^(#{1,6})\s+(.*)$"
 BULLET = r"(?Ud)^\s*(?:[-*•]|\d+\.)\s+"
 CHUNK_SENTENCE = rf"(?U)(?<=[.!?:])\s+(?=[{WIDE_UPPER}])"
 ANSWER_SENTENCE = rf"(?U)(?<=[.!?:])\s+(?=[{UPPER}0-9])"
+#: Unicode white space, the characters of \s under (?U).
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+#: Blanks at a line's end. A match begins where a run of blanks does, so a long run is read once.
+TRAILING = r"(?U)[\s&&[^\n]](?<![\s&&[^\n]]{2})[\s&&[^\n]]*+(?=\n)"
 #: Title of the text before any heading.
 OPENING = "Mở đầu"
 
@@ -29,8 +33,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """text without Unicode white space at its ends; Spark's trim knows the space only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """text without Unicode white space at its ends, read from both ends; Spark's trim knows the space only unless it is told."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column, most: int | None = None) -> Column:
@@ -56,9 +60,9 @@ def clean_text(text: Column, normalize: Callable[[Column], Column] = nfc) -> Col
     """
     text = F.replace(text, F.lit("\ufeff"), F.lit(""))
     text = normalize(F.regexp_replace(text, r"\r\n?", "\n"))
-    text = F.translate(text, "\u00a0\u200b", " ")
-    text = F.regexp_replace(text, r"(?U)[\s&&[^\n]]+(?=\n)", "")
-    return strip(F.regexp_replace(strip(text), r"\n{3,}", "\n\n"))
+    text = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
+    text = F.regexp_replace(text, TRAILING, "")
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def sentences(text: Column, pattern: str = CHUNK_SENTENCE) -> Column:

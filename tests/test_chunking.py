@@ -120,3 +120,17 @@ def test_ids_follow_source_and_index(spark):
     rows = [("b", 1), ("a", 0), ("b", 0), ("c", 0), ("a", 1), ("a", 2)]
     got = C.with_ids(spark.createDataFrame(rows, "source_name string, chunk_index int").repartition(3)).collect()
     assert {tuple(r) for r in got} == {(*r, k) for k, r in enumerate(sorted(rows), 1)}
+
+
+def test_strip_takes_all_white_space_and_no_more(spark):
+    """Every character of the basic plane, at both ends of a text, against the pattern that names the property."""
+    every = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(f"{c}{c}a {c}b{c}",) for c in every] + [("",), (None,), (" \u3000\n",)], "t string")
+    assert rows.where(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_clean_text_reads_long_white_space_once(spark):
+    run = " \t" * 500_000
+    texts = [f"a{run}b", f"a{run}\nb{run}", run, "\n" * 1_000_000 + "x" + "\n" * 1_000_000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.clean_text(F.col("t"))).collect()]
+    assert got == [texts[0], "a\nb", "", "x"]
