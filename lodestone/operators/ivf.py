@@ -18,9 +18,16 @@ SAMPLE, CELLS, ROUNDS, PROBES = 20_000, 64, 8, 48
 
 
 def fit(vectors: DataFrame, vector: str = "embedding", cells: int = CELLS, sample: int = SAMPLE) -> np.ndarray:
-    """Unit centroids by spherical k-means, on the sample vectors with the least hashes: a bounded number on the driver."""
+    """Unit centroids by spherical k-means, on the sample distinct vectors with the least hashes: a bounded number on the driver.
+
+    Equal vectors count once, so that a very common one doesn't fill the sample. Only hashes in a share that about eight
+    times the sample has are made distinct, and all where that share, full of copies, yields too few.
+    """
     rows = vectors.where(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0)).select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(vector).alias("_h"))
-    m = np.array([r["v"] for r in rows.orderBy("_h", "v").limit(sample).collect()], np.float64)
+    share = min(1.0, 8 * sample / max(1, vectors.count()))
+    picked = lambda some: [r["v"] for r in some.distinct().orderBy("_h", "v").limit(sample).collect()]
+    found = picked(rows if share == 1 else rows.where(F.col("_h") / 2.0**64 + 0.5 < share))
+    m = np.array(found if share == 1 or len(found) == sample else picked(rows), np.float64)
     m = m / np.linalg.norm(m, axis=1, keepdims=True) if len(m) else np.zeros((0, 1))
     centers = m[: min(cells, len(m))].copy()
     for _ in range(ROUNDS if len(m) else 0):

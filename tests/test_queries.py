@@ -79,3 +79,13 @@ def test_approximate_search_finds_nearly_all(spark):
     full = ivf.search(asked, ivf.assign(rows, centers, "id"), centers, 6, len(centers)).where("id <> qid")
     assert {(r["qid"], r["id"]) for r in full.collect()} >= exact
     assert ivf.assign(rows.limit(0), centers, "id").count() == 0 == ivf.search(asked.limit(0), ivf.assign(rows, centers, "id"), centers).count()
+
+
+def test_a_common_vector_does_not_fill_the_sample(spark):
+    from lodestone.operators import ivf
+
+    common = [[1.0, 0.0]] * 5000
+    rows = spark.createDataFrame([(v,) for v in common + [[0.01 * k, 1.0] for k in range(1, 41)]], "embedding array<double>")
+    for sample in (20, 100):  # with a share of the hashes, and with all
+        centers = ivf.fit(rows, cells=20, sample=sample)
+        assert len(centers) == 20 and sum(abs(c[1]) < 1e-9 for c in centers) <= 1
