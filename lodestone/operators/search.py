@@ -17,6 +17,20 @@ from lodestone.session import ship
 QUESTION_BLOCK, CANDIDATE_BLOCK = 256, 2048
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k highest scores, ordered by row, score and id; ids belong to columns.
+
+    Each row's k-th score is selected without sorting the row; only what reaches it is sorted, ties included.
+    """
+    n = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n] if n else np.zeros(len(scores))
+    row, column = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], column[place < n]
+
+
 def _blocks(vectors: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
     """Rows of up to size vectors each, made where they are read: ids and the concatenated unit vectors."""
 
@@ -48,9 +62,9 @@ def top_k(questions: DataFrame, candidates: DataFrame, k: int = 5, question_id:
             for c_ids, c_units, q_ids, q_units in zip(*batch.columns, strict=True):
                 ids, qids = c_ids.values.to_numpy(), q_ids.values.to_numpy()
                 a, b = c_units.values.to_numpy().reshape(len(ids), -1), q_units.values.to_numpy().reshape(len(qids), -1)
-                scores, n = b @ a.T, min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["qid", "id", "similarity"])
+                scores = b @ a.T
+                row, column = best_of(scores, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[column]), pa.array(scores[row, column])], names=["qid", "id", "similarity"])
 
     return ranked(crossed.mapInArrow(best, "qid long, id long, similarity double"), k)
 

@@ -47,19 +47,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again.
+def materialize(df: DataFrame, batch_rows: int | None = None, path: str | None = None, partition_by: str | None = None) -> DataFrame:
+    """df written as a Parquet table at path (by default in the shared folder) and read again.
 
     This cuts the lineage, so a lost executor costs no recomputation of earlier stages, and lets Spark drop
     their shuffle files: it does so once the driver has collected the objects that refer to them. While it is written,
     batch_rows bounds the rows of an Arrow batch, for wide rows such as texts that pass through Python.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = path or f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     usual = spark.conf.get(key)
     try:
         spark.conf.set(key, str(batch_rows or usual))
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
     finally:
         spark.conf.set(key, usual)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)

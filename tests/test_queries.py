@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.operators.graph import Matcher
 from lodestone.plans.queries import NAMES, ORACLE_SQL, QUERIES
+from lodestone.session import materialize
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -66,19 +69,84 @@ def test_longest_match_is_not_leftmost():
     assert Matcher(["abc"])("xabc abc_ _abc") == []
 
 
+def pairs(rows):
+    return {(r["qid"], r["id"]) for r in rows.collect()}
+
+
 def test_approximate_search_finds_nearly_all(spark):
     from lodestone.operators import ivf
+    from lodestone.plans.queries import indexed_vectors
+
+    for sf_dir in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        exact = pairs(QUERIES["vector_topk"](spark, sf_dir))
+        assert len(exact & pairs(QUERIES["vector_topk_approximate"](spark, sf_dir))) >= 0.9 * len(exact)
+    assert ivf.reads(*indexed_vectors(spark, sf_dir), 6) < 0.6  # these vectors have no clusters
+
+
+def clustered(spark, n=12_000, dims=32, seed=1):
+    """Vectors around 40 points, a third of them at one; some equal, zero or null, and in every partition."""
+    rng = np.random.default_rng(seed)
+    spots = rng.normal(size=(40, dims))
+    at = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 40, n))
+    v = (spots[at] + rng.normal(size=(n, dims)) * 0.25).astype(np.float32)
+    v[5::97] = v[5]
+    rows = [(i, None if i % 1001 == 7 else [0.0] * dims if i % 1001 == 8 else x.tolist()) for i, x in enumerate(v)]
+    return spark.createDataFrame(rows, "id long, embedding array<float>").repartition(4)
+
+
+def test_the_index_reads_a_part_of_clustered_vectors(spark):
+    from lodestone.operators import ivf, search
 
-    sf_dir = "/root/testdata/sf0.01"
-    exact = {(r["qid"], r["id"]) for r in QUERIES["vector_topk"](spark, sf_dir).collect()}
-    near = {(r["qid"], r["id"]) for r in QUERIES["vector_topk_approximate"](spark, sf_dir).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    centers = ivf.fit(rows)
+    rows = materialize(clustered(spark))
+    index = ivf.build(rows, ivf.fit(rows))
     asked = rows.where("id % 50 = 0").withColumnRenamed("id", "qid")
-    full = ivf.search(asked, ivf.assign(rows, centers, "id"), centers, 6, len(centers)).where("id <> qid")
-    assert {(r["qid"], r["id"]) for r in full.collect()} >= exact
-    assert ivf.assign(rows.limit(0), centers, "id").count() == 0 == ivf.search(asked.limit(0), ivf.assign(rows, centers, "id"), centers).count()
+    exact = search.top_k(asked, rows, 6)
+    key = lambda df: sorted((r["qid"], r["rank"], r["id"], round(r["similarity"], 9)) for r in df.collect())
+    assert key(ivf.search(asked, index, 6, sure=None)) == key(exact)
+    assert ivf.reads(asked, index, 6, sure=None) < 0.25
+    assert len(pairs(exact) & pairs(ivf.search(asked, index, 6))) >= 0.9 * exact.count()
+    assert max(index.blocks.select(F.size("ids")).collect())[0] < 2 * ivf.BLOCK and int(index.sizes.sum()) == sum(r[0] for r in index.blocks.select(F.size("ids")).collect())
+
+
+def test_the_index_of_few_or_no_vectors(spark):
+    from lodestone.operators import ivf, search
+
+    rows = clustered(spark, 30)
+    index = ivf.build(rows, ivf.fit(rows, cells=7))
+    asked = rows.withColumnRenamed("id", "qid")
+    for k in (1, 40):  # more than there are
+        assert pairs(ivf.search(asked, index, k, sure=None, first=2)) == pairs(search.top_k(asked, rows, k))
+    none = rows.limit(0)
+    assert ivf.search(asked, ivf.build(none, ivf.fit(none))).count() == 0 == ivf.search(asked.limit(0), index).count()
+
+
+def test_bounds_hold():
+    """No vector of a cell scores more than the certain bound."""
+    from lodestone.operators import ivf
+
+    rng = np.random.default_rng(3)
+    for dims in (2, 3, 16):
+        unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.normal(size=(n, dims)))
+        centers, v, q = unit(5), unit(400), unit(50)
+        cell = (v @ centers.T).argmax(axis=1)
+        angle = np.arccos(np.clip((v * centers[cell]).sum(axis=1), -1, 1))
+        sizes = np.bincount(cell, minlength=5)
+        low, high = (np.array([f(angle[cell == c], initial=i) for c in range(5)]) for f, i in ((np.min, np.pi), (np.max, 0)))
+        top = np.array([[(v[cell == c] @ x).max(initial=-np.inf) for c in range(5)] for x in q])
+        assert (ivf.bounds(ivf.Index(None, centers, sizes, low, high), q @ centers.T, None) >= top - 1e-9).all()
+
+
+def test_selection_keeps_ties_by_id():
+    from lodestone.operators.search import best_of
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        scores, ids = rng.integers(0, 4, (rng.integers(1, 5), rng.integers(1, 30))) / 3, rng.permutation(1000)
+        ids = ids[: scores.shape[1]]
+        k = int(rng.integers(1, 9))
+        row, column = best_of(scores, ids, k)
+        want = [(r, i) for r in range(len(scores)) for i in sorted(range(len(ids)), key=lambda c: (-scores[r, c], ids[c]))[:k]]
+        assert list(zip(row.tolist(), column.tolist())) == want
 
 
 def test_a_common_vector_does_not_fill_the_sample(spark):
