@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -122,14 +123,39 @@ def similar_classes(found: DataFrame, kind: str = "kind", source: str = "source_
     return joined.select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(source).alias("source_name"), "links")
 
 
-def similar_pairs(found: DataFrame) -> DataFrame:
-    """similar_edges() of found with each pair once, and _n, how often it is there.
+def similar_members(found: DataFrame, default: str | None = DEFAULT_KIND) -> DataFrame:
+    """similar_edges() as a factorised table: key, role, source_name, n, a row for each kind (role) that defines a key, n times.
 
-    The order is by source first and pairs are of different sources, so a key's repeated definitions only multiply.
+    Members of one role and different sources are similar; nothing else needs to be stored.
     """
-    rows = found.where(F.col("kind") != DEFAULT_KIND).groupBy("kind", "source_name", "key").agg(F.count("*").alias("n")).alias("a")
-    pairs = rows.join(rows.alias("b"), F.expr("a.kind = b.kind and a.source_name < b.source_name"))
-    return pairs.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"), F.lit(SIMILAR).alias("relation"), F.lit(1.0).cast("float").alias("weight"), F.expr("a.n * b.n").alias("_n"))
+    rows = found if default is None else found.where(F.col("kind") != default)
+    return rows.groupBy("key", F.col("kind").alias("role"), "source_name").agg(F.count("*").alias("n"))
+
+
+def similar_counts(members: DataFrame) -> DataFrame:
+    """One row: edges, how many similar_edges() finds, and stored_edges, how many are left when repeated ones are settled.
+
+    Pairs of different sources are all pairs less those within a source. A key of several roles could count twice for
+    a pair, so stored edges are counted over profiles, the sets of roles of a key: within a profile, and between two
+    that share a role. Only sums over (role, source) and (profile, source) are joined.
+    """
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    def within(sizes: DataFrame, by: str) -> DataFrame:
+        sums = sizes.groupBy(by).agg(F.sum(big("c")).alias("s"), F.sum(big("c") * big("c")).alias("q"))
+        return sums.select(((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"))
+
+    found = within(members.groupBy("role", "source_name").agg(F.sum("n").alias("c")), "role")
+    profiles = members.groupBy("key", "source_name").agg(F.array_sort(F.collect_set("role")).alias("p"))
+    sizes = materialize(profiles.groupBy("p", "source_name").agg(F.count("*").alias("c")))
+    whole = sizes.groupBy("p").agg(F.sum(big("c")).alias("s"))
+    roles = whole.select("p", F.explode("p").alias("role"))
+    both = roles.join(roles.withColumnRenamed("p", "q"), "role").where("p < q").select("p", "q").distinct()
+    each = both.join(whole, "p").join(whole.select(F.col("p").alias("q"), F.col("s").alias("t")), "q")
+    shared = both.join(sizes, "p").join(sizes.select(F.col("p").alias("q"), "source_name", F.col("c").alias("d")), ["q", "source_name"]).select((big("c") * big("d")).alias("pairs"))
+    stored = within(sizes, "p").union(each.select(F.col("s") * F.col("t"))).union(shared.select(-F.col("pairs")))
+    return found.agg(total("pairs").alias("edges")).crossJoin(stored.agg(total("pairs").alias("stored_edges")))
 
 
 def together_by_class(mentions: DataFrame) -> DataFrame:
@@ -150,11 +176,27 @@ def together_by_class(mentions: DataFrame) -> DataFrame:
     return pairs.select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), F.lit(TOGETHER).alias("relation"), "weight")
 
 
-def together_edges(mentions: DataFrame, entity: str = "entity_key", chunk: str = "chunk_id") -> DataFrame:
-    """Edges between entities (a < b) that chunks mention together, weighted by the number of those chunks."""
+#: Entities of a chunk beyond which its pairs are made in a grid of blocks of about so many.
+HEAVY = 1000
+
+
+def together_edges(mentions: DataFrame, entity: str = "entity_key", chunk: str = "chunk_id", heavy: int = HEAVY) -> DataFrame:
+    """Edges between entities (a < b) that chunks mention together, weighted by the number of those chunks.
+
+    A chunk's entities meet in a join on the chunk. Where there are more than heavy of them they are dealt to blocks by
+    hash, and meet in a join on (chunk, block, block): no key of that has more than about two blocks of rows, however
+    many entities a chunk has, and blocks of one chunk spread over tasks. Edges are counted in each task before they are shuffled.
+    """
     seen = mentions.select(F.col(entity).alias("_e"), F.col(chunk).alias("_c")).distinct()
-    pairs = seen.withColumnRenamed("_e", "src").join(seen.withColumnRenamed("_e", "dst"), "_c").where("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").cast("float").alias("weight")).select("src", "dst", F.lit(TOGETHER).alias("relation"), "weight")
+    sizes = seen.groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy).select(F.col("_c").alias("_of"), F.ceil(F.col("_n") / heavy).cast("int").alias("_blocks"))
+    dealt = seen.join(sizes, F.col("_c") == F.col("_of"), "left").withColumn("_b", F.pmod(F.xxhash64("_e"), F.coalesce("_blocks", F.lit(1))).cast("int")).drop("_of")
+    last = F.coalesce("_blocks", F.lit(1)) - 1
+    low = dealt.select("_c", "_e", F.col("_b").alias("_i"), F.explode(F.sequence("_b", last)).alias("_j"))
+    high = dealt.select("_c", F.col("_e").alias("_f"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
+    # within a block each pair is met twice, between two blocks once
+    pairs = low.join(high, ["_c", "_i", "_j"]).where("_e <> _f and (_i < _j or _e < _f)")
+    edges = pairs.select(F.least("_e", "_f").alias("src"), F.greatest("_e", "_f").alias("dst"))
+    return edges.groupBy("src", "dst").agg(F.count("*").cast("float").alias("weight")).select("src", "dst", F.lit(TOGETHER).alias("relation"), "weight")
 
 
 def upsert_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
@@ -323,23 +365,26 @@ def mentions(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def build_graph(docs: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-    """Tables entities, aliases, mentions, edges of documents (source_name, text) and chunks (id, content), and counts.
+    """Tables entities, aliases, mentions, edges, similar of documents (source_name, text) and chunks (id, content), and counts.
 
-    counts has one row: edges counts edges as they are found, stored_edges after repeated ones are settled. Definitions,
-    mentions and edges are written before they are reused.
+    edges lists what belongs to a document and what stands together; similar has the edges between entities of one kind
+    as similar_members(), since their pairs grow with the square of a kind. counts has one row: edges counts all edges
+    as they are found, stored_edges after repeated ones are settled. Definitions, mentions and edges are written before they are reused.
     """
     found = materialize(extract_mentions_of_definitions(docs))
     entities = unique_entities(found)
     lexicon = surfaces(entities)
     mentioned = materialize(mentions(chunks, lexicon))
-    once = F.lit(1).cast("long").alias("_n")
-    raw = belongs_edges(found).select("*", once).unionByName(similar_pairs(found)).unionByName(together_by_class(mentioned).select("*", once))
-    stored = materialize(raw.groupBy("src", "dst", "relation").agg(F.max("weight").alias("weight"), F.sum("_n").alias("_n")))
-    edges = stored.drop("_n")
+    similar = materialize(similar_members(found))
+    belongs = belongs_edges(found)
+    edges = materialize(upsert_edges(belongs.unionByName(together_by_class(mentioned))))
     aliases = entities.select("key", F.explode("aliases").alias("alias")).distinct()
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    counts = one(entities, "entities").crossJoin(entities.agg(F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("aliases"))).crossJoin(one(mentioned, "mentions")).crossJoin(stored.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("edges"), F.count("*").alias("stored_edges")))
-    return {"entities": entities, "aliases": aliases, "mentions": mentioned, "edges": edges, "counts": counts}
+    repeated = one(belongs, "_all").crossJoin(one(edges.where(F.col("relation") == BELONGS), "_once")).select((F.col("_all") - F.col("_once")).alias("_more"))
+    listed = similar_counts(similar).select(F.col("edges").alias("_found"), F.col("stored_edges").alias("_stored"))
+    counts = one(entities, "entities").crossJoin(entities.agg(F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("aliases"))).crossJoin(one(mentioned, "mentions")).crossJoin(one(edges, "_edges")).crossJoin(repeated).crossJoin(listed)
+    counts = counts.select("entities", "aliases", "mentions", F.expr("_edges + _more + _found").alias("edges"), F.expr("_edges + _stored").alias("stored_edges"))
+    return {"entities": entities, "aliases": aliases, "mentions": mentioned, "edges": edges, "similar": similar, "counts": counts}
 
 
 def histogram(rows: DataFrame, by: str) -> DataFrame:
@@ -365,6 +410,92 @@ def neighbors(edges: DataFrame, entities: DataFrame, seeds: DataFrame, relations
     return both.join(seeds.select("qid", "name").distinct(), ["qid", "name"], "left_anti")
 
 
+def _named(members: DataFrame, entities: DataFrame) -> DataFrame:
+    """role, name, source_name, kind of the members, each once."""
+    return members.select("key", "role").join(entities.select("key", "name", "source_name", "kind"), "key").drop("key").distinct()
+
+
+def similar_to(members: DataFrame, entities: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What similar edges lead to from each question's seeds (qid, name), without listing it: qid, from_name, role, without.
+
+    A seed's entities, of any source, are near the members of their role that other sources have. without is the source
+    whose members don't count, as all of the seed's entities in that role are of it; null where there are two sources,
+    so that each leads to the other's. The question's own seeds never count.
+    """
+    own = seeds.select("qid", F.col("name").alias("from_name")).distinct().join(_named(members, entities).withColumnRenamed("name", "from_name"), "from_name")
+    least, most = F.min("source_name"), F.max("source_name")
+    return own.groupBy("qid", "from_name", "role").agg(F.when(least == most, least).alias("without"))
+
+
+def _is_near(source: str = "source_name") -> Column:
+    return F.col("without").isNull() | (F.col(source) != F.col("without"))
+
+
+def similar_neighbors(members: DataFrame, entities: DataFrame, seeds: DataFrame) -> DataFrame:
+    """neighbors() over similar edges: the rows of what similar_to() says, which are as many as there are neighbours."""
+    near = similar_to(members, entities, seeds).join(_named(members, entities), "role").where(_is_near())
+    near = near.join(seeds.select("qid", "name").distinct(), ["qid", "name"], "left_anti")
+    return near.select("qid", "name", "source_name", "kind", F.lit(SIMILAR).alias("relation"), F.lit(1.0).cast("float").alias("weight"), "from_name").distinct()
+
+
+def similar_notes(members: DataFrame, entities: DataFrame, seeds: DataFrame, names: int = NOTE_NAMES) -> DataFrame:
+    """relation_notes(similar_neighbors()) from each role's first names alone.
+
+    The first names that a seed is near are among the first of its role when names of its own source and the question's
+    seeds are passed over. As many names are taken of each role and source as any question may have to pass over, besides
+    those it needs, and twice as many of the role; questions meet these only.
+    """
+    labelled = _named(members, entities).withColumn("label", _label())
+    own = seeds.select("qid", "name").distinct()
+    passed = own.join(labelled, "name").groupBy("qid", "role", "kind").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    of_source = Window.partitionBy("role", "kind", "source_name").orderBy("label", "name")
+    of_role = Window.partitionBy("role", "kind").orderBy("label")
+    first = labelled.withColumn("_nth", F.row_number().over(of_source)).where(F.col("_nth") <= names + passed)
+    first = first.withColumn("_nth", F.dense_rank().over(of_role)).where(F.col("_nth") <= 2 * (names + passed)).drop("_nth")
+    near = similar_to(members, entities, seeds).join(first, "role").where(_is_near()).join(own, ["qid", "name"], "left_anti")
+    return relation_notes(near)
+
+
+def expand_similar(members: DataFrame, entities: DataFrame, mentioned: DataFrame, seeds: DataFrame, hits: DataFrame, limit: int, depth: int = 64) -> DataFrame:
+    """expand(similar_neighbors()) without a row for each neighbour or each chunk of a question.
+
+    A chunk's count for a question is at most the number of its entities whose name has one of the question's roles,
+    which depends on the set of roles alone. So chunks are ranked by that bound once for each set of roles; a question
+    counts exactly what the depth best of these mention, and is settled if its limit-th chunk comes before whatever
+    lies behind them, or nothing does. Others are asked again, eight times as deep, until none is left.
+    """
+    named = materialize(_named(members, entities).select("role", "name", "source_name").distinct())
+    near = materialize(similar_to(members, entities, seeds))
+    keys = entities.select("name", F.col("key").alias("entity_key"))
+    asked = near.groupBy("qid").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    sets = asked.select("roles").distinct().select("roles", F.explode("roles").alias("role"))
+    names = sets.join(named.select("role", "name").distinct(), "role").select("roles", "name").distinct()
+    bound = materialize(names.join(keys, "name").join(mentioned, "entity_key").groupBy("roles", "chunk_id").agg(F.count("*").alias("most")))
+    own, known = seeds.select("qid", "name").distinct(), hits.select("qid", F.col("id").alias("chunk_id")).distinct()
+    order = Window.partitionBy("roles").orderBy(F.desc("most"), "chunk_id")
+    best = Window.partitionBy("qid").orderBy(F.desc("n"), "chunk_id")
+    pending, settled = materialize(asked), []
+    while True:
+        top = materialize(bound.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= depth))
+        last = top.where(F.col("_nth") == depth).select("roles", F.col("most").alias("_most"), F.col("chunk_id").alias("_last"))
+        chosen = pending.join(top.select("roles", "chunk_id"), "roles").select("qid", "chunk_id").join(known, ["qid", "chunk_id"], "left_anti")
+        said = top.select("chunk_id").distinct().join(mentioned, "chunk_id").join(keys, "entity_key")
+        counted = chosen.join(said, "chunk_id").join(own, ["qid", "name"], "left_anti").join(named, "name").join(near.select("qid", "role", "without").distinct(), ["qid", "role"]).where(_is_near())
+        counted = counted.select("qid", "chunk_id", "entity_key").distinct().groupBy("qid", "chunk_id").agg(F.count("*").alias("n"))
+        found = counted.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
+        behind = pending.join(last, "roles", "left").select("qid", "_most", "_last")
+        found = materialize(behind.join(found, "qid", "left"))
+        ends = F.max(F.when(F.col("position") == limit, F.struct("n", "chunk_id")))
+        done = found.groupBy("qid").agg(F.first("_most").alias("_most"), F.first("_last").alias("_last"), ends.alias("_end"))
+        enough = F.col("_end.n").isNotNull() & ((F.col("_end.n") > F.col("_most")) | ((F.col("_end.n") == F.col("_most")) & (F.col("_end.chunk_id") <= F.col("_last"))))
+        done = done.where(F.col("_most").isNull() | enough).select("qid")
+        settled.append(found.join(done, "qid", "left_semi").where("position is not null").select("qid", "chunk_id", "position"))
+        pending = materialize(pending.join(done, "qid", "left_anti"))
+        if not pending.count():
+            return reduce(DataFrame.union, settled)
+        depth *= 8
+
+
 def chunks_mentioning(mentioned: DataFrame, entities: DataFrame, names: DataFrame, limit: int | None = 3, without: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, n, rank: the chunks that mention most entities of each question's names, ties by chunk_id.
 
@@ -393,10 +524,13 @@ def communities(entities: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return counts.join(names, "source_name").select("source_name", "n", "kinds", "samples")
 
 
+def _label() -> Column:
+    return F.concat(F.col("name"), F.lit(" ("), without_suffix(F.col("source_name")), F.lit(")"))
+
+
 def relation_notes(near: DataFrame) -> DataFrame:
     """qid, notes: for each seed and kind a sentence with the first five of its neighbours, sorted by seed and kind."""
-    label = F.concat(F.col("name"), F.lit(" ("), without_suffix(F.col("source_name")), F.lit(")"))
-    each = near.groupBy("qid", "from_name", "kind").agg(F.slice(F.array_sort(F.collect_set(label)), 1, NOTE_NAMES).alias("_to"))
+    each = near.groupBy("qid", "from_name", "kind").agg(F.slice(F.array_sort(F.collect_set(_label())), 1, NOTE_NAMES).alias("_to"))
     note = F.concat(F.col("from_name"), F.lit(' cùng vai trò "'), F.col("kind"), F.lit('" với: '), F.array_join("_to", ", "))
     return each.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("from_name", "kind", note.alias("note")))), lambda x: x["note"]).alias("notes"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.grounding import distinct_sorted, entailment_claims
 from lodestone.functions.routing import accepted_rewrite, needs_expansion, needs_rewrite
 from lodestone.operators import context as C
-from lodestone.operators.graph import expand, found_entities, match_surfaces, neighbors, relation_notes, surfaces
+from lodestone.operators.graph import expand_similar, found_entities, match_surfaces, similar_notes, surfaces
 from lodestone.operators.history import last_messages, transcript
 from lodestone.operators.search import gate, hits_for_ids, top_k
 from lodestone.operators.verification import needs_entailment, verified, verify
@@ -45,10 +45,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, graph: dict[str, DataFrame
         open_ = gated.where(~F.col("refused") & needs_expansion(F.col("search_query")))
         matches = match_surfaces(open_, lexicon, "qid", "search_query")
         seeds = found_entities(matches, lexicon, "qid").select("qid", F.explode("names").alias("name"))
-        near = neighbors(graph["edges"], graph["entities"], seeds)
-        more = expand(near, graph["mentions"], graph["entities"], found, extra).withColumnRenamed("chunk_id", "id")
+        seeds = materialize(seeds)
+        more = expand_similar(graph["similar"], graph["entities"], graph["mentions"], seeds, found, extra).withColumnRenamed("chunk_id", "id")
         more = hits_for_ids(more, questions, chunks).join(chunks.select("id", "source_name", "section", "content"), "id")
-        hits, notes = C.appended(found, more), relation_notes(near)
+        hits, notes = C.appended(found, more), similar_notes(graph["similar"], graph["entities"], seeds)
     gated = gated.join(C.gathered(hits), "qid", "left")
     return gated.withColumn("notes", F.array().cast("array<string>")) if notes is None else gated.join(notes, "qid", "left")
 

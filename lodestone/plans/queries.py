@@ -463,16 +463,13 @@ def part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).where(F.col("key") % EVERY == 0).select(F.col("key").alias("qid"), "name")
 
 
-def near_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of each question's seed, over the edges at entities of that name alone."""
-    entities, seeds = parts(spark, sf_dir), part_seeds(spark, sf_dir)
-    edges = graph.similar_edges(entities, order=["key"], default=None, at=entities.join(seeds.select("name").distinct(), "name"))
-    return graph.neighbors(edges, entities, seeds)
+def part_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.similar_members(parts(spark, sf_dir), default=None)
 
 
 @query(f"WITH {NEAR_SQL} SELECT qid, name, source_name, kind, 'tương_tự' AS relation, 1.0::FLOAT AS weight, from_name FROM n")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_parts(spark, sf_dir)
+    return graph.similar_neighbors(part_members(spark, sf_dir), parts(spark, sf_dir), part_seeds(spark, sf_dir))
 
 
 @query(f"""
@@ -494,7 +491,7 @@ def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three chunks that mention a seed's neighbours, besides the question's hits: all chunks that mention the seed."""
     mentioned, entities = part_mentions(spark, sf_dir), parts(spark, sf_dir)
     found = graph.chunks_mentioning(mentioned, entities, part_seeds(spark, sf_dir), None).select("qid", F.col("chunk_id").alias("id"))
-    return graph.expand(near_parts(spark, sf_dir), mentioned, entities, found, 3)
+    return graph.expand_similar(part_members(spark, sf_dir), entities, mentioned, part_seeds(spark, sf_dir), found, 3)
 
 
 @query(f"""
@@ -502,7 +499,7 @@ WITH {NEAR_SQL}, g AS (SELECT qid, from_name, kind, array_to_string(list_sort(li
 SELECT qid, string_agg(from_name || ' cùng vai trò "' || kind || '" với: ' || t, chr(10) ORDER BY from_name, kind) AS notes FROM g GROUP BY qid
 """)
 def relation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.relation_notes(near_parts(spark, sf_dir)).select("qid", F.array_join("notes", "\n").alias("notes"))
+    return graph.similar_notes(part_members(spark, sf_dir), parts(spark, sf_dir), part_seeds(spark, sf_dir)).select("qid", F.array_join("notes", "\n").alias("notes"))
 
 
 @query(f"""

@@ -76,11 +76,11 @@ def test_build_and_queries(spark, docs, entities):
     counts = built["counts"].first()
     assert counts["entities"] == 10 and counts["aliases"] == 4 and counts["edges"] > counts["stored_edges"] > 10
     seeds = spark.createDataFrame([(1, "Thần Lửa"), (2, "Thần Mây"), (3, "không có")], "qid long, name string")
-    near = sorted((r["qid"], r["name"], r["source_name"], r["from_name"]) for r in graph.neighbors(built["edges"], built["entities"], seeds).collect())
+    near = sorted((r["qid"], r["name"], r["source_name"], r["from_name"]) for r in graph.similar_neighbors(built["similar"], built["entities"], seeds).collect())
     assert near == [(1, "Thần Mây", "dao.txt", "Thần Lửa"), (2, "Thần Lửa", "nui.txt", "Thần Mây")]
     ranked = graph.chunks_mentioning(built["mentions"], built["entities"], seeds, 2).collect()
     assert {r["qid"] for r in ranked} == {1, 2} and all(r["rank"] <= 2 for r in ranked)
-    notes = graph.relation_notes(graph.neighbors(built["edges"], built["entities"], seeds)).where("qid = 1").first()["notes"]
+    notes = graph.similar_notes(built["similar"], built["entities"], seeds).where("qid = 1").first()["notes"]
     assert notes == ['Thần Lửa cùng vai trò "mục tiêu trung lập" với: Thần Mây (dao)']
     kinds = {r["source_name"]: (r["n"], r["samples"][0]) for r in graph.communities(entities).collect()}
     assert kinds["nui.txt"][0] == 5 and kinds["dao.txt"][0] == 5
@@ -150,9 +150,65 @@ def test_parts_settle_as_one_lexicon(spark, entities, monkeypatch):
     assert sorted(map(tuple, graph.match_in_parts(texts, lexicon, "id", "t").collect())) == whole != []
 
 
-def test_similar_pairs_are_similar_edges(found):
-    pairs = [tuple(r)[:2] for r in graph.similar_pairs(found).collect() for _ in range(r["_n"])]
-    assert sorted(pairs) == sorted(tuple(r)[:2] for r in graph.similar_edges(found).collect())
+def test_similar_counts_are_those_of_listed_edges(spark, found):
+    import random
+
+    rng = random.Random(3)
+    invented = [(f"{k}", rng.choice("xyz"), f"s{k % 4}", n) for n, k in enumerate(rng.choices(range(30), k=80))]
+    other = spark.createDataFrame(invented, "key string, kind string, source_name string, pos int")
+    for rows in (found, other, other.limit(0)):
+        edges = graph.similar_edges(rows)
+        listed = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        assert tuple(graph.similar_counts(graph.similar_members(rows)).first()) == (edges.count(), listed.distinct().count())
+
+
+@pytest.fixture(scope="module", params=[1, 2])
+def invented(spark, request):
+    """Entities whose names several sources and kinds share, edges listed and factorised, mentions, seeds and hits."""
+    import random
+
+    rng = random.Random(request.param)
+    rows = [(f"{s}#{n}", f"n{n}", rng.choice(["k1", "k2", "k3"]), f"{s}.txt") for s in "abcde" for n in rng.sample(range(25), 14)]
+    entities = spark.createDataFrame(rows, "key string, name string, kind string, source_name string").cache()
+    mentions = spark.createDataFrame(list({(rng.choice(rows)[0], rng.randrange(60)) for _ in range(400)}), "entity_key string, chunk_id long").cache()
+    seeds = spark.createDataFrame([(q, f"n{rng.randrange(26)}") for q in range(30) for _ in range(rng.choice([1, 1, 2, 3]))], "qid long, name string").cache()
+    hits = spark.createDataFrame([(q, rng.randrange(60)) for q in range(30) for _ in range(rng.randrange(12))], "qid long, id long").cache()
+    edges = graph.similar_edges(entities, order=["key"], default=None).cache()
+    return graph.similar_members(entities, default=None), entities, mentions, seeds, hits, graph.neighbors(edges, entities, seeds).cache()
+
+
+def bag(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+def test_factorised_neighbors(invented):
+    members, entities, _, seeds, _, near = invented
+    assert bag(graph.similar_neighbors(members, entities, seeds)) == bag(near) != []
+    assert graph.similar_neighbors(members, entities, seeds.limit(0)).count() == 0
+
+
+def test_factorised_notes(invented):
+    members, entities, _, seeds, _, near = invented
+    assert bag(graph.similar_notes(members, entities, seeds)) == bag(graph.relation_notes(near)) != []
+    assert graph.similar_notes(members, entities, seeds.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [1, 5, 1000])
+def test_factorised_expansion(invented, depth):
+    """Also where the first lists settle hardly any question."""
+    members, entities, mentions, seeds, hits, near = invented
+    assert bag(graph.expand_similar(members, entities, mentions, seeds, hits, 3, depth)) == bag(graph.expand(near, mentions, entities, hits, 3)) != []
+    assert graph.expand_similar(members, entities, mentions, seeds.limit(0), hits, 3, depth).count() == 0
+
+
+def test_heavy_chunks_are_dealt_to_blocks(spark):
+    """A chunk of 400 entities in blocks of 50: the same edges, and no key of the join has more than about two blocks."""
+    rows = [(f"e{k:03}", 0) for k in range(400)] + [(f"e{k:03}", 1 + k % 7) for k in range(0, 400, 3)] + [("e000", 0)]
+    mentions = spark.createDataFrame(rows, "entity_key string, chunk_id long")
+    light, heavy = (graph.together_edges(mentions, heavy=n) for n in (1000, 50))
+    assert bag(heavy) == bag(light) and heavy.count() == 400 * 399 // 2
+    blocks = spark.createDataFrame(rows, "e string, c long").distinct().where("c = 0").groupBy(F.pmod(F.xxhash64("e"), F.lit(8))).count()
+    assert blocks.agg(F.max("count")).first()[0] < 2 * 50
 
 
 def test_together_by_class(spark):
