@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from functools import reduce
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache, reduce
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ PROSE_TAIL = rf"(?U),\s+(?=[^{WIDE_UPPER}])"
 MIN_SURFACE = 3
 #: A word, or any other character.
 TOKEN = re.compile(r"\w+|\W", re.DOTALL)
+WORD = re.compile(r"\w")
 SAMPLES, NOTE_NAMES = 6, 5
 
 ENTITY = ["key", "name", "kind", "definition", "source_name", "section", "aliases"]
@@ -220,134 +223,187 @@ def surfaces(entities: DataFrame) -> DataFrame:
     return rows.where(F.length("_s") >= MIN_SURFACE).select(F.lower("_s").alias("surface"), "key", "name", "source_name", "pos", "nth")
 
 
-def _folded(word: str) -> str:
-    """Words that differ in case alone become equal, also where a letter has more than one lower-case form."""
-    return word.lower().upper().lower()
+@lru_cache(1 << 16)
+def _fold(c: str) -> str:
+    """One character for all that may equal c when case is ignored, also where a letter has more than one lower-case form.
+
+    Where upper case is several characters, as of a ligature, a character of a private plane stands for them.
+    """
+    upper = c.lower()[0].upper()
+    return upper.lower()[0] if len(upper) == 1 else chr(0xF0000 + zlib.crc32(upper.encode()) % 0xFFFE)
+
+
+def folded(text: str) -> str:
+    """text with each character folded; it has the same length."""
+    return text.lower() if text.isascii() else "".join(map(_fold, text))
+
+
+def _equal(surface: str, said: str) -> bool:
+    return said.lower() == surface or bool(re.fullmatch(re.escape(surface), said, re.IGNORECASE))
+
+
+def settle(found: Iterable[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of candidates (rank, start, end, surface) of one text those that are accepted, by place.
+
+    The best rank comes first, wherever it stands, and no accepted match is overlapped. A surface is looked for from the end of its
+    match before, accepted or not, so its own matches don't overlap either.
+    """
+    taken: list[tuple[int, int, str]] = []
+    filled = bytearray(max((m[2] for m in found), default=0))
+    before, end = -1, 0
+    for rank, a, b, s in sorted(found):
+        if rank == before and a < end:
+            continue
+        before, end = rank, b
+        if filled.find(1, a, b) < 0:
+            filled[a:b] = b"\1" * (b - a)
+            taken.append((a, b, s))
+    return sorted(taken, key=lambda x: (x[0], x[2]))
 
 
 class Matcher:
     """Longest-first matching of surfaces in a text: by length, then in the order given; no accepted match is overlapped.
 
     The longest surface wins wherever it stands, even over one that starts further left. A surface stands between
-    characters that aren't word characters; case is ignored. At each place where a word can start only surfaces with the
-    same first word, or the same other character first, are tried.
+    characters that aren't word characters; case is ignored. An automaton over folded characters finds all surfaces in
+    one pass, so time is in proportion to the text and its matches, however many surfaces there are.
     """
 
     def __init__(self, ordered: Sequence[str]) -> None:
-        self.by_start: dict[str, list[tuple[int, str]]] = {}
-        self.patterns: dict[str, re.Pattern[str]] = {}
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        alike: dict[str, list[tuple[int, str]]] = {}
         for rank, s in enumerate(sorted(ordered, key=len, reverse=True)):
             if s:
-                self.by_start.setdefault(_folded(TOKEN.match(s)[0]), []).append((rank, s))
+                alike.setdefault(folded(s), []).append((rank, s))
+        for key, some in alike.items():
+            self.automaton.add_word(key, some)
+        if alike:
+            self.automaton.make_automaton()
 
     def candidates(self, text: str) -> list[tuple[int, int, int, str]]:
         """(rank, start, end, surface) of every match, whether others overlap it or not."""
         found = []
-        before = False  # whether the token before is a word
-        for token in TOKEN.finditer(text):
-            word, at = token[0], token.start()
-            for rank, s in () if before else self.by_start.get(_folded(word), ()):
-                if not (pattern := self.patterns.get(s)):
-                    pattern = self.patterns[s] = re.compile(rf"{re.escape(s)}(?!\w)", re.IGNORECASE)
-                if m := pattern.match(text, at):
-                    found.append((rank, at, m.end(), s))
-            before = word.isalnum() or word[0] == "_" or len(word) > 1
+        for last, some in self.automaton.iter(folded(text)) if len(self.automaton) else ():
+            start, end = last + 1 - len(some[0][1]), last + 1
+            if not (start and WORD.match(text, start - 1)) and not WORD.match(text, end):
+                found += [(rank, start, end, s) for rank, s in some if _equal(s, text[start:end])]
         return found
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
-        return self.settle(self.candidates(text))
-
-    @staticmethod
-    def settle(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-        """The accepted ones of a text's candidates, by place."""
-        taken: list[tuple[int, int, str]] = []
-        before, end = -1, 0
-        for rank, a, b, s in sorted(found):
-            if rank == before and a < end:
-                continue  # inside this surface's match before, accepted or not
-            before, end = rank, b
-            if all(b <= x or y <= a for x, y, _ in taken):
-                taken.append((a, b, s))
-        return sorted(taken, key=lambda x: (x[0], x[2]))
-
-
-#: Surfaces that are sent to every task at most; match_in_parts() matches a larger lexicon.
+        return settle(self.candidates(text))
+
+
+def _matches(column: pa.Array, found: list[list[tuple[int, int, str]]], key: str) -> pa.RecordBatch:
+    """Each text's matches in order, under its key."""
+    rows = [(i, nth, *m) for i, each in enumerate(found) for nth, m in enumerate(each)]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    at, *values = (pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))
+    return pa.RecordBatch.from_arrays([column.take(at), *values], names=[key, "nth", "start", "end", "surface"])
+
+
+#: Surfaces that are sent to every task at most; texts meet a larger lexicon in a join.
 MAX_LEXICON = 200_000
+#: Bits of the filter that text passes before such a join, and buckets of first words, by hash.
+FILTER_BITS, FIRST_WORDS = 1 << 27, 1 << 16
 
 
-def sent_lexicon(lexicon: DataFrame) -> Broadcast:
-    """The lexicon's distinct surfaces, ordered, at all tasks: made once for any number of calls of match_surfaces().
+def _hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
-    The dictionary is sent behind a check of its size: beyond MAX_LEXICON surfaces an error says so.
-    """
-    first = lexicon.groupBy("surface").agg(F.min(F.struct("source_name", "pos", "nth")).alias("_first")).orderBy("_first", "surface")
-    ordered = [r["surface"] for r in first.select("surface").limit(MAX_LEXICON + 1).collect()]
-    if len(ordered) > MAX_LEXICON:
-        raise ValueError(f"more than {MAX_LEXICON} surfaces: match in parts")
-    return lexicon.sparkSession.sparkContext.broadcast(ordered)
 
+class Surfaces:
+    """A lexicon's distinct surfaces, made ready once for any number of match_surfaces().
+
+    Up to MAX_LEXICON of them, counted first, are sent to all tasks as a list. Of a larger lexicon each surface has a
+    hash of its folded characters. Texts and surfaces meet by that hash; so that few pieces of text travel, all tasks get
+    a filter of FILTER_BITS bits, and which lengths surfaces have whose first word falls in a bucket. Both are bounded,
+    and only spare work: what they let pass wrongly finds no partner.
+    """
 
-def match_surfaces(texts: DataFrame, lexicon: DataFrame | Broadcast, key: str, text: str) -> DataFrame:
+    def __init__(self, lexicon: DataFrame) -> None:
+        self.spark = lexicon.sparkSession
+        ship(self.spark)
+        first = lexicon.groupBy("surface").agg(F.min(F.struct("source_name", "pos", "nth")).alias("_first"))
+        few = [r["surface"] for r in first.orderBy("_first", "surface").select("surface").limit(MAX_LEXICON + 1).collect()]
+        self.small = len(few) <= MAX_LEXICON
+        if self.small:
+            self.sent = self.spark.sparkContext.broadcast(few)
+            return
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [folded(s) for s in batch.column(0).to_pylist()]
+                starts = [_hashed(TOKEN.match(k)[0]) % FIRST_WORDS if k else 0 for k in keys]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in (([_hashed(k) for k in keys], pa.int64()), (starts, pa.int32()), (list(map(len, keys)), pa.int32())))], names=["surface", "_first", "_hash", "_start", "_length"])
+
+        self.rows = materialize(first.where("surface <> ''").mapInArrow(run, f"surface string, _first {first.schema['_first'].dataType.simpleString()}, _hash long, _start int, _length int"))
+        bit = F.pmod("_hash", F.lit(FILTER_BITS))
+        words = self.rows.groupBy(F.floor(bit / 8).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))).alias("bits")).toArrow()
+        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        bits[words["at"].to_numpy()] = words["bits"].to_numpy()
+        lengths: dict[int, list[int]] = {}
+        for start, length in self.rows.select("_start", "_length").distinct().collect():
+            lengths.setdefault(start, []).append(length)
+        self.sent = self.spark.sparkContext.broadcast((bits.tobytes(), lengths))
+
+
+def match_surfaces(texts: DataFrame, lexicon: DataFrame | Surfaces, key: str, text: str) -> DataFrame:
     """key, nth, start, end, surface of each match of the lexicon's distinct surfaces in each text, in order.
 
-    A lexicon that several calls share is best given as sent_lexicon() returns it.
+    A lexicon that several calls share is best given as Surfaces. Null texts have no matches. For a lexicon that is too
+    large to be sent, key must be unique: a text's candidates come together under it.
     """
-    ship(texts.sparkSession)
-    sent = lexicon if isinstance(lexicon, Broadcast) else sent_lexicon(lexicon)
+    ready = lexicon if isinstance(lexicon, Surfaces) else Surfaces(lexicon)
+    schema = f"{key} {texts.schema[key].dataType.simpleString()}, nth int, start int, end int, surface string"
+    sent = ready.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(sent.value)
         for batch in batches:
-            found = [(i, nth, *m) for i, t in enumerate(batch.column(1)) for nth, m in enumerate(match(t.as_py() or ""))]
-            at = pa.array([f[0] for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([f[k] for f in found], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.string())))], names=[key, "nth", "start", "end", "surface"])
-
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(run, f"{key} {kind}, nth int, start int, end int, surface string")
-
+            yield _matches(batch.column(0), [match(t.as_py() or "") for t in batch.column(1)], key)
 
-def match_in_parts(texts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
-    """match_surfaces() for a lexicon of any size; key must be unique.
+    return texts.select(key, text).mapInArrow(run, schema) if ready.small else _joined(texts, ready, key, text, schema)
 
-    Beyond MAX_LEXICON surfaces each part of them, dealt by hash, finds its candidates in every text, which are written
-    before the next part is sent; then each text's candidates of all parts are settled together.
-    """
-    first = lexicon.groupBy("surface").agg(F.min(F.struct("source_name", "pos", "nth")).alias("_first"))
-    size = first.count()
-    if size <= MAX_LEXICON:
-        return match_surfaces(texts, lexicon, key, text)
-    spark = texts.sparkSession
-    ship(spark)
-    kind = texts.schema[key].dataType.simpleString()
-    parts = 2 * -(-size // MAX_LEXICON)  # so that a part stays under the limit however hashes fall
-    found = None
-    for k in range(parts):
-        sent = spark.sparkContext.broadcast([r["surface"] for r in first.select("surface").where(F.pmod(F.xxhash64("surface"), F.lit(parts)) == k).collect()])
-
-        def find(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            match = Matcher(sent.value)
-            for batch in batches:
-                rows = [(i, *m[1:]) for i, t in enumerate(batch.column(1)) for m in match.candidates(t.as_py() or "")]
-                at = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string())))], names=[key, "start", "end", "surface"])
 
-        part = materialize(texts.select(key, text).mapInArrow(find, f"{key} {kind}, start int, end int, surface string"))
-        sent.destroy()
-        found = part if found is None else found.unionByName(part)
+def _joined(texts: DataFrame, ready: Surfaces, key: str, text: str, schema: str) -> DataFrame:
+    """match_surfaces() by a join. A match starts and ends where a token of the text does, so only such pieces are hashed."""
+    kind, sent = texts.schema[key].dataType.simpleString(), ready.sent
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, lengths = sent.value
         for batch in batches:
             rows = []
-            for i, each in enumerate(batch.column(1).to_pylist()):
+            for i, value in enumerate(batch.column(1)):
+                said = value.as_py() or ""
+                like = folded(said)
+                ends = {m.end() for m in TOKEN.finditer(said)}
+                for m in TOKEN.finditer(like):
+                    a = m.start()
+                    if a and WORD.match(said, a - 1):
+                        continue
+                    for n in lengths.get(_hashed(m[0]) % FIRST_WORDS, ()):
+                        b = a + n
+                        if b in ends and not WORD.match(said, b):
+                            h = _hashed(like[a:b])
+                            if bits[h % FILTER_BITS // 8] >> h % FILTER_BITS % 8 & 1:
+                                rows.append((i, a, b, h, said[a:b]))
+            at, *values = (pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *values], names=[key, "start", "end", "_hash", "said"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for each in batch.column(1).to_pylist():
                 rank = {s: k for k, s in enumerate(dict.fromkeys(m["surface"] for m in each))}
-                rows += [(i, nth, *m) for nth, m in enumerate(Matcher.settle([(rank[m["surface"]], m["start"], m["end"], m["surface"]) for m in each]))]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.string())))], names=[key, "nth", "start", "end", "surface"])
+                found.append(settle([(rank[m["surface"]], m["start"], m["end"], m["surface"]) for m in each if _equal(m["surface"], m["said"])]))
+            yield _matches(batch.column(0), found, key)
 
-    order = F.struct((-F.length("surface")).alias("_length"), "_first", "surface", "start", "end")
-    each = found.join(first, "surface").groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("_m"))
-    each = each.select(key, F.transform("_m", lambda m: F.struct(m["surface"].alias("surface"), m["start"].alias("start"), m["end"].alias("end"))).alias("_m"))
-    return each.mapInArrow(settle, f"{key} {kind}, nth int, start int, end int, surface string")
+    candidates = texts.select(key, text).mapInArrow(pieces, f"{key} {kind}, start int, end int, _hash long, said string")
+    order = F.struct((-F.length("surface")).alias("_length"), "_first", "surface", "start", "end", "said")
+    each = candidates.join(ready.rows.select("surface", "_first", "_hash"), "_hash").groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("_m"))
+    return each.select(key, F.transform("_m", lambda m: F.struct(*(m[c].alias(c) for c in ("surface", "start", "end", "said")))).alias("_m")).mapInArrow(settled, schema)
 
 
 def found_entities(matches: DataFrame, lexicon: DataFrame, key: str, by: str = "name") -> DataFrame:
@@ -360,7 +416,7 @@ def found_entities(matches: DataFrame, lexicon: DataFrame, key: str, by: str = "
 
 def mentions(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """entity_key, chunk_id of every entity, of any source, one of whose surfaces a chunk (id, content) has."""
-    matches = match_in_parts(chunks, lexicon, "id", "content")
+    matches = match_surfaces(chunks, lexicon, "id", "content")
     return matches.select(F.col("id").alias("chunk_id"), "surface").distinct().join(lexicon.select("surface", "key"), "surface").select(F.col("key").alias("entity_key"), "chunk_id").distinct()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.grounding import citation_coverage, distinct_sorted, invalid_citations, strip_citations, ungrounded_names, ungrounded_numbers
-from lodestone.operators.graph import found_entities, match_surfaces, sent_lexicon
+from lodestone.operators.graph import Surfaces, found_entities, match_surfaces
 from lodestone.session import ship
 
 # The words of flags, each before its list.
@@ -37,13 +37,13 @@ def needs_entailment(mode: str = "auto") -> Column:
     return (F.size("invalid_citations") > 0) | (F.size("ungrounded_numbers") > 0) | (F.size("ungrounded_entities") > 0)
 
 
-def verify(answers: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+def verify(answers: DataFrame, lexicon: DataFrame | None = None, ready: Surfaces | None = None) -> DataFrame:
     """answers (qid, question, answer, contents array<string>) with the cleaned text and what each check found.
 
     Added: text, invalid_citations (sorted, distinct), citation_coverage, ungrounded_numbers, ungrounded_entities,
     ungrounded_names, flags, escalate. Coverage, numbers and names are those of the cleaned text; the question counts as
-    known for numbers and names, not for entities. Without a lexicon (surface, key, name, ...) no entity is checked. Null answers
-    and contexts are empty.
+    known for numbers and names, not for entities. Without a lexicon (surface, key, name, ...) of any size no entity is checked; ready
+    is the same made ready, if the caller has it. Null answers and contexts are empty.
     """
     ship(answers.sparkSession)
     none = F.array().cast("array<string>")
@@ -61,8 +61,8 @@ def verify(answers: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     if lexicon is None:
         answers = answers.withColumn("ungrounded_entities", none)
     else:
-        sent = sent_lexicon(lexicon)
-        said, known = (found_entities(match_surfaces(answers.select("qid", F.col(c).alias("t")), sent, "qid", "t"), lexicon, "qid") for c in ("text", "_context"))
+        ready = ready or Surfaces(lexicon)
+        said, known = (found_entities(match_surfaces(answers.select("qid", F.col(c).alias("t")), ready, "qid", "t"), lexicon, "qid") for c in ("text", "_context"))
         pairs = said.join(known.withColumnRenamed("names", "_known"), "qid", "left")
         apart = pairs.select("qid", F.array_except("names", F.coalesce("_known", none)).alias("_apart"))
         answers = answers.join(apart, "qid", "left").withColumn("ungrounded_entities", F.coalesce("_apart", none)).drop("_apart")

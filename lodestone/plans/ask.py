@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.grounding import distinct_sorted, entailment_claims
 from lodestone.functions.routing import accepted_rewrite, needs_expansion, needs_rewrite
 from lodestone.operators import context as C
-from lodestone.operators.graph import expand_similar, found_entities, match_surfaces, similar_notes, surfaces
+from lodestone.operators.graph import Surfaces, expand_similar, found_entities, match_surfaces, similar_notes, surfaces
 from lodestone.operators.history import last_messages, transcript
 from lodestone.operators.search import gate, hits_for_ids, top_k
 from lodestone.operators.verification import needs_entailment, verified, verify
@@ -30,7 +30,7 @@ def rewritten(questions: DataFrame, models: Sequence[Model]) -> DataFrame:
     return done.unionByName(questions.where(F.coalesce(~asks, F.lit(True))).withColumn("search_query", F.col("question")))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, graph: dict[str, DataFrame] | None = None, k: int = TOP_K, threshold: float = THRESHOLD, extra: int = EXTRA_CHUNKS) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, graph: dict[str, DataFrame] | None = None, k: int = TOP_K, threshold: float = THRESHOLD, extra: int = EXTRA_CHUNKS, ready: Surfaces | None = None) -> DataFrame:
     """Per question (qid, question, search_query, embedding): top_similarity, refused, hits and notes.
 
     The gate looks at vector hits only and comes first: refused questions are neither expanded nor answered. Accepted ones
@@ -43,7 +43,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, graph: dict[str, DataFrame
     if graph is not None:
         lexicon = surfaces(graph["entities"])
         open_ = gated.where(~F.col("refused") & needs_expansion(F.col("search_query")))
-        matches = match_surfaces(open_, lexicon, "qid", "search_query")
+        matches = match_surfaces(open_, ready or lexicon, "qid", "search_query")
         seeds = found_entities(matches, lexicon, "qid").select("qid", F.explode("names").alias("name"))
         seeds = materialize(seeds)
         more = expand_similar(graph["similar"], graph["entities"], graph["mentions"], seeds, found, extra).withColumnRenamed("chunk_id", "id")
@@ -62,12 +62,13 @@ def ask(questions: DataFrame, chunks: DataFrame, embedder: Callable[[list[str],
     """
     none = F.array().cast("array<string>")
     asked = materialize(embed(rewritten(questions, models), embedder, "search_query", task=QUESTIONS))
-    ready = materialize(retrieve(asked, chunks, graph, threshold=threshold))
+    lexicon = None if graph is None else materialize(surfaces(graph["entities"]))
+    matcher = None if lexicon is None else Surfaces(lexicon)
+    ready = materialize(retrieve(asked, chunks, graph, threshold=threshold, ready=matcher))
     prompt = C.user_message(F.col("question"), F.col("hits"), F.coalesce("notes", none))
     made = materialize(generate(ready.where("not refused").withColumn("prompt", prompt), models))
     made = made.withColumn("answer", F.when(F.trim("response") == "", C.REFUSAL_MESSAGE).otherwise(F.trim("response")))
-    lexicon = None if graph is None else surfaces(graph["entities"])
-    checked = verify(made.withColumn("contents", F.transform("hits", lambda h: h["content"])), lexicon)
+    checked = verify(made.withColumn("contents", F.transform("hits", lambda h: h["content"])), lexicon, matcher)
     checked = materialize(checked.withColumn("self_refused", C.is_refusal(F.col("text"))))
     runs = ~F.col("self_refused") & needs_entailment(entailment)
     todo = checked.where(runs).withColumn("prompt", F.format_string(C.ENTAILMENT_PROMPT, C.context_block(F.col("hits")), F.col("text")))

@@ -100,12 +100,6 @@ def test_found_names_keep_their_order(spark, entities):
     assert keys == ["dao.txt#sân cát", "dao.txt#thần mây", "nui.txt#thần mây"]
 
 
-def test_a_large_lexicon_is_refused(spark, entities, monkeypatch):
-    monkeypatch.setattr(graph, "MAX_LEXICON", 3)
-    with pytest.raises(ValueError, match="surfaces"):
-        graph.match_surfaces(spark.createDataFrame([(1, "x")], "id long, t string"), graph.surfaces(entities), "id", "t")
-
-
 def test_cutting_of_aliases(spark):
     raw = ["Xạ thủ (ADC / Bot)", "Thánh Vật (Artifact), gồm năm", "Bo3, Bo5", "(only)", "A (b)", " Tên  "]
     got = [tuple(r[0]) for r in spark.createDataFrame([(x,) for x in raw], "x string").select(graph.split_alias(F.col("x"))).collect()]
@@ -142,12 +136,51 @@ def test_registered_graph_is_that_of_all_sources(spark, sf_dir, monkeypatch, lim
     assert QUERIES["build_graph"](spark, sf_dir).first().asDict() == plain_graph(sources, chunks)
 
 
-def test_parts_settle_as_one_lexicon(spark, entities, monkeypatch):
-    lexicon = graph.surfaces(entities)
-    texts = spark.createDataFrame([(1, "SAND rồi cloud god, Thần Mây; thần lửax"), (2, None), (3, "Bo3, Bo5 sân cát (Wind Isle) đảo gió")], "id long, t string")
+ODD = ["a", "B", "ß", "SS", "_", "1", " ", " ", "-", "(", "é", "É", "ab", "ſ", ".", "İ", "i", "ı", "ﬅ", "ﬆ", "\n", "日", "\U0001f600", "Σ", "ς"]
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_a_large_lexicon_meets_texts_in_a_join(spark, monkeypatch, bits):
+    """Equal to the lexicon that is sent, also where the filter lets nearly everything pass."""
+    import random
+
+    rng = random.Random(12)
+    names = list(dict.fromkeys("".join(rng.choices(ODD, k=rng.randrange(1, 6))).lower() for _ in range(60)))
+    lexicon = spark.createDataFrame([(n, str(k), n, f"s{k % 3}", k, 0) for k, n in enumerate(names)] + [(names[0], "x", "y", "s0", 0, 0)], "surface string, key string, name string, source_name string, pos int, nth int")
+    texts = spark.createDataFrame([(i, "".join(rng.choices([*ODD, *names], k=rng.randrange(0, 40)))) for i in range(200)] + [(200, None), (201, "a " * 3000)], "id long, t string").repartition(3)
     whole = sorted(map(tuple, graph.match_surfaces(texts, lexicon, "id", "t").collect()))
+    monkeypatch.setattr(graph, "MAX_LEXICON", 10)
+    monkeypatch.setattr(graph, "FILTER_BITS", bits)
+    ready = graph.Surfaces(lexicon)
+    assert not ready.small
+    for _ in range(2):
+        assert sorted(map(tuple, graph.match_surfaces(texts, ready, "id", "t").collect())) == whole != []
+
+
+def test_verification_with_a_large_lexicon(spark, sf_dir, monkeypatch):
+    whole = sorted(map(tuple, QUERIES["verify_entities"](spark, sf_dir).collect()))
     monkeypatch.setattr(graph, "MAX_LEXICON", 3)
-    assert sorted(map(tuple, graph.match_in_parts(texts, lexicon, "id", "t").collect())) == whole != []
+    assert sorted(map(tuple, QUERIES["verify_entities"](spark, sf_dir).collect())) == whole
+
+
+def test_folding_joins_what_case_joins():
+    """Characters that a pattern takes for equal when case is ignored fold to one."""
+    for c in map(chr, [*range(0x250), *range(0x370, 0x530), *range(0x1C80, 0x1C90), *range(0x1E00, 0x2000), 0x2126, 0x212A, 0x212B, *range(0xFB00, 0xFB07), *range(0xA640, 0xA7B0)]):
+        for d in {*c.lower(), *c.upper(), *c.swapcase(), *c.upper().lower(), "s", "k", "i", "ι", "ß"}:
+            assert graph.folded(c) == graph.folded(d) or not re.fullmatch(re.escape(c), d, re.IGNORECASE), (c, d)
+            assert len(graph.folded(c)) == 1
+
+
+def test_many_surfaces_of_one_first_word_take_time_in_proportion():
+    import time
+
+    surfaces = [f"north street {k}" for k in range(100_000)]
+    text = "North Street 77, north street 123456; " * 5000
+    began = time.perf_counter()
+    match = graph.Matcher(surfaces)
+    built = time.perf_counter()
+    found = match(text)
+    assert len(found) == 5000 and time.perf_counter() - built < 3 and built - began < 10
 
 
 def test_similar_counts_are_those_of_listed_edges(spark, found):
