@@ -197,7 +197,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     weighed = map_arrow(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), _weighed(gains, most), f"_id {ids}, n_words long, n_features long, weight long")
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    scored = weighed.withColumn("score", F.col("weight") + noise).withColumn("_short", F.col("n_words") < least_words)
+    scored = materialize(weighed).withColumn("score", F.col("weight") + noise).withColumn("_short", F.col("n_words") < least_words)
     places = ranked(scored, F.col("_short"), F.col("score").desc(), F.col("_id").isNull(), F.col("_id"))
     drawn = places.where(~F.col("_short")).count() * percent // 100
     rank = F.when(~F.col("_short") & (F.col("_rank") <= drawn), F.col("_rank"))
