@@ -19,10 +19,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNSEEN = frozenset("script style head title noscript template svg math iframe object canvas audio video map".split())
 APART = frozenset("nav header footer aside form menu dialog search button select textarea input label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
-#: Words in an element's class or id that say the same.
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login comment comments commentlist respond disqus reply replies discussion share sharing social related recommended widget toolbar pagination pager copyright legal disclaimer".split()
-)
+#: Words in a class or id that say the same, and those that say so only of a part whose own text is thin or mostly links.
+CERTAIN = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr comment comments commentlist respond disqus newsletter subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar pagination pager".split())
+LIKELY = frozenset("banner promo promotion aside header footer masthead notice notices alert popup modal signup login reply replies discussion share sharing social related recommended widget toolbar copyright legal disclaimer".split())
+#: Words that may stand beside them; any other makes a name of its own, such as share-price or related-work.
+PLACES = frozenset("list box wrap wrapper container section block inner outer area item items group row col column bar panel pane site page global main top bottom left right primary secondary unit slot zone region module mod post article entry user reader".split())
 #: Start tags that end an open element of the other kinds, up to the nearest list or table.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl menu table select body".split())
@@ -35,26 +36,30 @@ HUGE = re.compile(r"&#0*[1-9][0-9]{7,};?")
 ZEROS = re.compile(r"(&#)0{8,}(?=[0-9])")
 
 
-def _hinted(attrs: dict[str, str | None]) -> bool:
-    """Whether class, id, role or visibility tell that an element isn't article text."""
+def _hidden(attrs: dict[str, str | None]) -> bool:
+    """Whether role or visibility tell that an element isn't article text."""
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or (attrs.get("role") or "").lower() in ROLES:
         return True
-    if re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
-        return True
+    return bool(re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I))
+
+
+def _hint(attrs: dict[str, str | None]) -> int:
+    """Whether class or id tell so: 2 if surely, 1 if likely. All words of a name must go together."""
+    found = 0
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
-        parts = [w.lower() for w in WORDS.findall(name)]
-        if HINTS.intersection(parts) and not {"has", "with", "no", "without"}.intersection(parts):
-            return True
-    return False
+        parts = {w.lower() for w in WORDS.findall(name)}
+        if parts <= CERTAIN | LIKELY | PLACES and not ("header" in parts and parts & {"article", "post", "entry"}):
+            found = max(found, 2 * bool(parts & CERTAIN), bool(parts & LIKELY))
+    return found
 
 
-#: An open element: tag, unseen, apart, whether its block is apart, its container, and the outermost article around it.
-Open = tuple[str, bool, bool, bool, int, int]
-ROOT: Open = ("", False, False, False, 0, 0)
+#: An open element: tag, unseen, apart, whether its block is apart, its container, the outermost article around it, and the outermost part that is likely apart.
+Open = tuple[str, bool, bool, bool, int, int, int]
+ROOT: Open = ("", False, False, False, 0, 0, 0)
 
 
 class _Reader(HTMLParser):
-    """Gathers lines: (text, tags since the line before, characters in links, apart, container, article, heading) of each block.
+    """Gathers lines: (text, tags since the line before, characters in links, apart, container, article, likely, heading) of each block.
 
     Containers are numbered as they open; inside and names hold the container around each and its tag. places holds where
     the open elements of each tag stand, so that closing one takes no search. Pages are fed whole, so markup that doesn't
@@ -67,10 +72,10 @@ class _Reader(HTMLParser):
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.in_tag = False
-        self.lines: list[tuple[str, int, int, bool, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int, int, bool]] = []
         self.inside, self.names = [0], [""]
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.links = self.likely = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -93,12 +98,17 @@ class _Reader(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        above, unseen, apart, block, container, article = self.open[-1]
+        above, unseen, apart, block, container, article, likely = self.open[-1]
         unseen = unseen or tag in UNSEEN
         if tag in HEADINGS and article and above == "header" and not self.open[-2][2]:
             apart = False  # an article's own title
         elif tag not in ("html", "body", "main"):
-            apart = apart or tag in APART or _hinted(dict(attrs))
+            given = dict(attrs)
+            hint = _hint(given) if "class" in given or "id" in given else 0
+            apart = apart or tag in APART or hint == 2 or _hidden(given)
+            if hint == 1 and tag in BLOCKS and not likely:
+                self.likely += 1
+                likely = self.likely
         if tag in BLOCKS:
             block = apart
         if tag in CONTAINERS:
@@ -109,7 +119,7 @@ class _Reader(HTMLParser):
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCKS:
             self.blocks.append(len(self.open))
-        self.open.append((tag, unseen, apart, block, container, article))
+        self.open.append((tag, unseen, apart, block, container, article, likely))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -169,7 +179,7 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.in_tag:
             return
-        _, unseen, apart, block, _, _ = self.open[-1]
+        _, unseen, apart, block, *_ = self.open[-1]
         if not unseen and apart == block:
             self.parts.append(data)
             if self.links:
@@ -193,12 +203,14 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     Parser events make lines, one for each block element's own text, with the number of tags they took. A line's ratio is
     its text outside links to its tags; ratios are smoothed by a Gaussian over neighbouring lines, and two clusters of
     them give a threshold. The region is a container of nine tenths of the text above it: of those that hold so much, the
-    outermost article, else the outermost main element, else the smallest. Its lines are content without lines below
-    the threshold that are links for the most part or stand in an article most of whose text is below it. Where no element
+    outermost article, else the outermost main element, else the smallest. All lines of an article are content, lists of links
+    too; of another region without lines below the threshold that are links for the most part, and of any without an
+    article inside most of whose text is below it. Where no element
     but the page holds so much, the first and last line whose own ratio passes as well bound it, with headings right before.
     Lines elsewhere are content if they are above the threshold and their own ratio is too, or they are a heading outside other articles.
     Lines in elements that are apart by kind, role, class or id (menus, headers, footers, sidebars, notices, adverts,
-    forms, comments) take part in the ratios but never in the text.
+    forms, comments) take part in the ratios but never in the text. Where class or id only make that likely, an element is apart if
+    its own ratio is below the threshold or half of its text is links.
     """
     reader = _Reader()
     reader.feed(HUGE.sub("\ufffd", ZEROS.sub(r"\1", html)) if "&#" in html else html)
@@ -213,7 +225,14 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     middle = slice(len(reach) // 2, len(reach) // 2 + len(ratios))
     smooth = np.convolve(ratios, kernel)[middle] / np.convolve(np.ones(len(ratios)), kernel)[middle]
     limit = _threshold(smooth)
-    own = [(line, high, dense) for line, high, dense in zip(lines, (smooth >= limit).tolist(), (ratios >= limit).tolist(), strict=True) if not line[3]]
+    parts: dict[int, list[int]] = {}
+    for text, tags, linked, _, _, _, likely, _ in lines:
+        if likely:
+            sums = parts.setdefault(likely, [0, 0, 0])
+            for i, n in enumerate((len(text), min(linked, len(text)), 1 + tags)):
+                sums[i] += n
+    thin = {k for k, (n, linked, tags) in parts.items() if n - linked < limit * tags or 2 * linked >= n}
+    own = [(line, high, dense) for line, high, dense in zip(lines, (smooth >= limit).tolist(), (ratios >= limit).tolist(), strict=True) if not line[3] and line[6] not in thin]
     held = [0] * len(reader.inside)
     for line, high, _ in own:
         held[line[4]] += len(line[0]) * high
@@ -235,12 +254,13 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     if reader.names[region] in ("", "body"):  # nothing but the ratios tells where the text begins and ends
         clear = [k for k, (_, high, dense) in enumerate(own) if high and dense] or [0, len(own) - 1]
         first, last = clear[0], clear[-1]
-        while first and own[first - 1][0][6]:
+        while first and own[first - 1][0][7]:
             first -= 1
     kept = []
-    for k, ((text, _, linked, _, container, article, heading), high, dense) in enumerate(own):
+    listing = reader.names[region] != "article"
+    for k, ((text, _, linked, _, container, article, _, heading), high, dense) in enumerate(own):
         if within[container]:
-            faint = 2 * linked >= len(text) or (article > region and shares[article] < 0)
+            faint = (listing and 2 * linked >= len(text)) or (article > region and shares[article] < 0)
             if first <= k <= last and (high or not faint):
                 kept.append(text)
         elif high and (dense or (heading and article <= region)):

@@ -450,6 +450,32 @@ def test_ratios_choose_the_region(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><p>{LONG}</p><ul><li><a href=1>Report one</a><li><a href=2>Report two</a><li>Report <a href=3>three</a><li><a href=4>Four</a></ul></article>", f"{LONG.strip()}\n\nReport one\n\nReport two\n\nReport three\n\nFour"),
+        (f"<article><p>{LONG}</p><div class='related-work'><p>{LONG}</p></div></article>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><section id='legal'><p>{LONG}</p></section></article>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><p class='share-price'>Up by two.</p></article>", f"{LONG.strip()}\n\nUp by two."),
+        (f"<article><p>{LONG}</p><div class='legal'>All rights kept.</div><div class='related'><a href=1>More of this</a></div></article>", LONG.strip()),
+        (f"<article><div class='entry-header'><h1>T</h1></div><p>{LONG}</p><div class='share-bar'>Send</div></article>", f"T\n\n{LONG.strip()}"),
+        (f"<div><p>{LONG}</p><div class='post-comments'><p>{LONG}</p></div><div id='ad-slot-3'><p>{LONG}</p></div></div>", LONG.strip()),
+    ],
+)
+def test_an_articles_own_text_stays(page, text):
+    """Lists of links and parts whose class shares a word with menus and the like; what is thin there goes."""
+    assert main_text(page) == text
+
+
+def test_the_threshold_decides_about_likely_parts(monkeypatch):
+    page = f"<article><p>{LONG}</p><div class='legal'>All rights kept.</div><section class='legal'><p>{LONG}</p></section></article>"
+    assert main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    monkeypatch.setattr(html_text, "_threshold", lambda values: -1.0)
+    assert main_text(page) == f"{LONG.strip()}\n\nAll rights kept.\n\n{LONG.strip()}"
+    monkeypatch.setattr(html_text, "_threshold", lambda values: 1e9)
+    assert main_text(page) == LONG.strip()
+
+
 PLAIN_PAGES = [
     (f"<div><a href=1>Home</a> | <a href=2>News</a> | <a href=3>Help</a></div><div><h2>T</h2><p>{LONG}</p><p>{LONG}</p></div><div>Site 2020 <a href=1>Privacy</a> <a href=2>Terms</a></div>", ["T", LONG, LONG]),
     (f"<table><tr><td><a href=1>x</a><br><a href=2>y</a><br><a href=3>z</a></td><td><p>{LONG}</p><p>Be.</p><p>{LONG}</p></td></tr><tr><td><font size=1>made with care</font></td></tr></table>", [LONG, "Be.", LONG]),
