@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +20,12 @@ DICTIONARY, LEVEL, MARGIN = 65536, 9, 0.01
 BLOCK = 16384
 
 UNKNOWN = "und"
-OTHER = re.compile(r"[\W\d_]+")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def letters_only(text: str) -> str:
-    """text in lower case, each run of anything but letters as one space, between spaces."""
-    return f" {OTHER.sub(' ', text.lower()).strip()} "
+    """text in lower case, each run of anything but letters and the marks that they carry as one space, between spaces."""
+    return f" {' '.join(WORDS.findall(text.lower()))} "
 
 
 def held_out(doc_id: Column) -> Column:

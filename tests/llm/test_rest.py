@@ -392,6 +392,18 @@ def test_language_id_equals_a_plain_version(spark, frame, odd_rows, sf_dir):
     assert Counter(tuple(r) for r in identify(frame(rows, 5), learned).collect()) == want
 
 
+def test_marks_stay_with_their_letters(frame):
+    from lodestone.llm.language_id import letters_only
+
+    assert letters_only("हिन्दी भाषा, x\u0301Y2 \u0301 _1") == " हिन्दी भाषा x\u0301y "
+    assert letters_only("\u0301 12") == letters_only("") == "  "
+    hindi, marathi = "यह हिन्दी भाषा का एक छोटा पाठ है और इसमें कुछ शब्द हैं", "हा मराठी भाषेतील एक छोटा मजकूर आहे आणि त्यात काही शब्द आहेत"
+    rows = [(i, f"{hindi} {'अआइउ'[i % 4]}", "hi", None) for i in range(4)] + [(10 + i, f"{marathi} {'अआइउ'[i % 4]}", "mr", None) for i in range(4)]
+    learned = learn(frame(rows), sample_docs=4)
+    said = {r["doc_id"]: r["lang_pred"] for r in identify(frame([(1, hindi[5:40], None, None), (2, marathi[3:40], None, None), (3, "\u0902\u0902", None, None)]), learned).collect()}
+    assert said == {1: "hi", 2: "mr", 3: "und"}
+
+
 def test_copies_count_once_in_the_sample(frame):
     """A language of few texts that are copied often is learned, and one copied text can't take all places."""
     rows = [(i, f"wort {'ab'[i % 2]} und noch eines", "de", None) for i in range(600)] + [(1000 + i, f"word {'abcdefghij'[i]} and more of it", "en", None) for i in range(10)]
