@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import BULLET, CHUNK_SENTENCE, OPENING, approx_tokens, heading_level, heading_title, is_heading, let, not_blank, sentences, strip
+from lodestone.operators.ordering import numbered
 from lodestone.session import ship
 
 # Sizes in characters.
@@ -132,15 +133,8 @@ def chunk_documents(docs: DataFrame, target_chars: int = TARGET_CHARS, overlap_c
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
-    """chunks with id, their rank by source and index from 1.
-
-    Chunks are numbered within their source; only one narrow row a source, with its number of chunks, is ordered as a whole.
-    """
-    sizes = chunks.groupBy(F.col("source_name").alias("_source")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_source", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("source_name").orderBy("chunk_index"))
-    return chunks.withColumn("_nth", nth).join(offsets, F.col("source_name") == F.col("_source")).select(*chunks.columns, (F.col("_before") + F.col("_nth")).cast("long").alias("id"))
+    """chunks with id, their rank by source and index from 1, over ranges of both: no source, however large, is in one task."""
+    return numbered(chunks, "source_name", "chunk_index")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

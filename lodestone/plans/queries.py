@@ -7,6 +7,7 @@ seed; order lines are mentions (order: chunk); conversations are histories; even
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import grounding, routing, text, vectors
 from lodestone.operators import chunking, context, evaluation, graph, history, ivf, search, summary, verification
-from lodestone.session import ship
+from lodestone.session import checkpoint_dir, ship
 from lodestone.sources import tables
 from lodestone.sources.tables import table
 
@@ -383,6 +384,28 @@ def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert(docs.where("doc_id % 3 <> 0"), new, ["doc_id"])
 
 
+@query("""
+WITH o AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, source || '!' AS source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 = 0)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)
+""")
+def upsert_into_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upsert_chunks through a keyed table that is written, changed folder by folder and read again."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "n_chars"])
+    new = docs.where("doc_id % 2 = 0").select("doc_id", F.concat("source", F.lit("!")).alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
+    path = f"{checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    tables.create_keyed(docs.where("doc_id % 3 <> 0"), path, ["doc_id"], 16)
+    tables.change_keyed(new, path, ["doc_id"], lambda old, new: tables.upsert(old, new, ["doc_id"]))
+    return tables.read_keyed(spark, path).select("doc_id", "source", "n_chars")
+
+
+@query(f"""
+{CHUNKS_SQL} SELECT source_name, chunk_index, row_number() OVER (ORDER BY source_name, chunk_index) AS id FROM chunks
+""")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's place among all, by source and index."""
+    return chunking.with_ids(chunks(spark, sf_dir).select("source_name", "chunk_index"))
+
+
 @query("WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber >= 2) SELECT * FROM o UNION SELECT * FROM n")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])
@@ -541,6 +564,12 @@ def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", "name", "kind", "definition", "source_name", "section", F.size("aliases").alias("n_aliases"))
 
 
+@query("SELECT p_brand || '.txt#' || lower(p_name) AS src, p_brand || '.txt#' || lower(p_brand) AS dst, 'thuộc_về' AS relation, 1.0::FLOAT AS weight FROM part")
+def belongs_edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge from a definition to its document, as found."""
+    return graph.belongs_edges(graph.extract_mentions_of_definitions(part_documents(spark, sf_dir)))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT lower(p_name) || p_brand) AS sources, count(DISTINCT p_brand) AS targets FROM part")
 def belongs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.belongs_edges(graph.extract_mentions_of_definitions(part_documents(spark, sf_dir)))

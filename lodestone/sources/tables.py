@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import materialize
+
 CHUNKS = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
@@ -72,6 +74,44 @@ def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
     return old.unionByName(new.dropDuplicates([*keys]).join(old, [*keys], "left_anti").select(*old.columns))
 
 
+#: Folders that a keyed table is dealt to, and the start of the column that says so.
+BUCKETS, DEALT = 64, "bucket_of_"
+
+
+def _dealt(df: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn(f"{DEALT}{buckets}", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+
+
+def create_keyed(df: DataFrame, path: str, by: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Writes df as a table dealt to folders by a hash of the columns by, so that a change touches only some of them."""
+    dealt = _dealt(df, by, buckets)
+    dealt.repartition(dealt.columns[-1]).write.mode("overwrite").partitionBy(dealt.columns[-1]).parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.select(*(c for c in df.columns if not c.startswith(DEALT)))
+
+
+def change_keyed(new: DataFrame, path: str, by: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    """Puts merge(old, new) in the place of the folders of a keyed table that new's rows fall in, and says which these are.
+
+    merge is upsert(), insert_new() or replace_sources() with its keys, which contain the columns by. Only touched folders are read, and
+    only they are written: the merged rows are made in the shared folder first, then staged beside the table and moved
+    in when all of them are there. Files of other folders stay as they are. A failure before that leaves the table as it was. One writer
+    at a time. No rows change nothing.
+    """
+    spark = new.sparkSession
+    old = spark.read.parquet(path)
+    column = next(c for c in old.columns if c.startswith(DEALT))
+    new = materialize(_dealt(new, by, int(column.removeprefix(DEALT))))
+    touched = sorted(r[0] for r in new.select(column).distinct().collect())  # a number a folder
+    if touched:
+        merged = materialize(merge(old.where(F.col(column).isin(touched)), new.select(old.columns)))
+        merged.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    return touched
+
+
 def write(df: DataFrame, folder: str, name: str) -> None:
     """Drops and writes a Parquet table."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")

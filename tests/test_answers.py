@@ -125,6 +125,33 @@ def test_tables(spark, tmp_path):
     assert [p.read_text() for p in (tmp_path / "s.config").glob("*.json")] == ['{"top_k":4,"model":"m"}\n']
 
 
+def test_keyed_tables_change_only_what_is_touched(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k % 20}", k, "old") for k in range(200)], "source_name string, chunk_index int, content string")
+    path, by, keys = str(tmp_path / "chunks"), ["source_name"], ["source_name", "chunk_index"]
+    tables.create_keyed(rows, path, by, 8)
+    files = lambda: {str(p.relative_to(path)) for p in (tmp_path / "chunks").rglob("*.parquet")}
+    shown = lambda: sorted(map(tuple, tables.read_keyed(spark, path).select(rows.columns).collect()))
+    before = files()
+    new = spark.createDataFrame([("s3", 3, "new"), ("s3", 999, "new")], rows.schema)
+    touched = tables.change_keyed(new, path, by, lambda a, b: tables.upsert(a, b, keys))
+    want = {(s, c): t for s, c, t in map(tuple, rows.collect())} | {("s3", 3): "new", ("s3", 999): "new"}
+    assert shown() == sorted((*k, t) for k, t in want.items()) and len(touched) == 1
+    changed = before ^ files()
+    assert changed and {f.split("/")[0] for f in changed} == {f"bucket_of_8={touched[0]}"}
+
+    stands, after = shown(), files()
+    failing = lambda a, b: tables.upsert(a, b, keys).withColumn("content", F.when(F.col("chunk_index") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        tables.change_keyed(new, path, by, failing)
+    assert shown() == stands and files() == after
+    assert tables.change_keyed(new.limit(0), path, by, failing) == [] and files() == after
+
+    tables.change_keyed(new.where("chunk_index = 999"), path, by, tables.replace_sources)
+    assert [r for r in shown() if r[0] == "s3"] == [("s3", 999, "new")] and len(shown()) == 191
+    tables.change_keyed(new, path, by, lambda a, b: tables.insert_new(a, b, keys))
+    assert [r for r in shown() if r[0] == "s3"] == [("s3", 3, "new"), ("s3", 999, "new")]
+
+
 def test_services(monkeypatch):
     calls, waits = [], []
 

@@ -122,6 +122,20 @@ def test_ids_follow_source_and_index(spark):
     assert {tuple(r) for r in got} == {(*r, k) for k, r in enumerate(sorted(rows), 1)}
 
 
+def test_ids_of_a_large_source_come_from_ranges(spark):
+    """A source of two thirds of all chunks; no window without a partition, and no task with more than its range."""
+    from lodestone.operators.ordering import numbered
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, concat('s', id % 7), 'big') as source_name", "cast(id as int) as chunk_index", "id % 5 as tie").repartition(5)
+    got = C.with_ids(rows)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert [tuple(r)[:2] for r in sorted(got.collect(), key=lambda r: r["id"])] == sorted(tuple(r)[:2] for r in rows.collect())
+    assert {r["id"] for r in got.collect()} == set(range(1, 3001))
+    down = numbered(rows, F.col("tie").desc(), "chunk_index", name="place").collect()
+    assert {r["chunk_index"]: r["place"] for r in down} == {r["chunk_index"]: k for k, r in enumerate(sorted(down, key=lambda r: (-r["tie"], r["chunk_index"])), 1)}
+    assert C.with_ids(rows.limit(0)).count() == 0
+
+
 def test_strip_takes_all_white_space_and_no_more(spark):
     """Every character of the basic plane, at both ends of a text, against the pattern that names the property."""
     every = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
