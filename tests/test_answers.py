@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,66 @@ def test_history(spark):
     assert list(short) == [[1, 2], [3, 4, 5, 6]]
 
 
+def streamed(spark, folder, batches, schema, **how):
+    """What remember() puts out for each of the batches, one run after the other over the same state."""
+    from lodestone.streaming.history import remember
+
+    found = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        out = []
+        stream = remember(spark.readStream.schema(schema).parquet(str(folder / "in")), **how)
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", str(folder / "state")).foreachBatch(lambda df, _, out=out: out.extend(df.collect())).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        found.append({r["session"]: [m["text"] for m in r["history"]] for r in out})
+    return found
+
+
+TURNS = "session string, turn long, question string, answer string, refused boolean, reset boolean"
+
+
+def test_late_and_repeated_turns_lead_to_the_same_history(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    turns = [(s, n, f"q{n}", f"a{n}", n % 4 == 1, n == {"x": 3, "y": 0, "z": 99}[s]) for s in "xyz" for n in range(9)]
+    shuffled = turns + rng.sample(turns, 10)
+    rng.shuffle(shuffled)
+    batches = [shuffled[k::3] for k in range(3)]
+    last = {}
+    for out in streamed(spark, tmp_path, batches, TURNS, most_turns=3):
+        last |= out
+    want = history.remembered(spark.createDataFrame(turns, TURNS), 3).collect()
+    assert last == {r["session"]: [m["text"] for m in r["history"]] for r in want}
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    """A running query: a session that was idle starts anew when it comes back."""
+    from lodestone.streaming.history import remember
+
+    for idle_ms, want in ((1, ["q2", "a2"]), (3_600_000, ["q1", "a1", "q2", "a2"])):
+        folder, out = tmp_path / str(idle_ms), []
+        put = lambda s, n, folder=folder: spark.createDataFrame([(s, n, f"q{n}", f"a{n}", False, False)], TURNS).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        put("x", 1)
+        stream = remember(spark.readStream.schema(TURNS).parquet(str(folder / "in")), idle_ms=idle_ms)
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", str(folder / "state")).foreachBatch(lambda df, _, out=out: out.extend(df.collect())).start()
+        try:
+            for turn in (("y", 1), ("x", 2)):
+                for _ in range(200):
+                    if any(r["session"] == ("x" if turn[0] == "y" else "y") for r in out):
+                        break
+                    time.sleep(0.2)
+                time.sleep(1)
+                put(*turn)
+            for _ in range(200):
+                if any(r["session"] == "x" and r["turn"] == 2 for r in out):
+                    break
+                time.sleep(0.2)
+        finally:
+            query.stop()
+        assert [[m["text"] for m in r["history"]] for r in out if r["session"] == "x" and r["turn"] == 2] == [want]
+
+
 def test_history_as_a_stream(spark, tmp_path):
     from lodestone.streaming.history import remember
 
