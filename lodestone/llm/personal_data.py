@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_arrow, table
-from lodestone.llm.sequence_tagger import KINDS, UNUSED, decode, symbols, trained
+from lodestone.llm.sequence_tagger import CARD_DIGITS, KINDS, UNUSED, decode, luhn, symbols, trained
 
 #: Code points of a window and from one to the next; no span that the model adds is longer than a step.
 WINDOW, STEP = 96, 48
@@ -24,20 +24,16 @@ PLACE = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Every kind, in any form that the model knows, has a digit or one of these.
-TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|AT)[\])}]| (?:dot|DOT) ")
-AT, DOT = r"(?:\s?(?:@|[\[({](?:at|AT)[\])}])\s?)", r"(?:\s?(?:\.|[\[({](?:dot|DOT)[\])}])\s?)"
-NAME, LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
-WRITTEN = re.compile(rf"{NAME}{AT}{LABEL}(?:{DOT}{LABEL})+|{NAME} (?:at|AT) {LABEL}(?: (?:dot|DOT) {LABEL}(?:\.{LABEL})*)+")
+#: One of the marks of every mail address that the model knows; every other kind has digits.
+MAIL = re.compile(r"@|[\[({](?:at|AT)[\])}]|(?= (?:dot|DOT) )")
+TRIGGER = re.compile(rf"[0-9]|{MAIL.pattern}")
+#: A mail address is one word, a mark, a label, a mark and a label; either both marks are in words without brackets or none.
+AT, DOT = r"[\[({](?:at|AT)[\])}]", r"[\[({](?:dot|DOT)[\])}]"
+WRITTEN = re.compile(rf"\S+(?:\s?(?:@|{AT}).+?(?:\.|{DOT}| (?:dot|DOT) )\s?| (?:at|AT) .+? (?:dot|DOT) )[A-Za-z0-9]", re.DOTALL)
 
 Span = tuple[int, int, str]
 
 
-def luhn(digits: str) -> bool:
-    odd, even = digits[-1::-2], digits[-2::-2]
-    return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
-
-
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -59,27 +55,36 @@ def base_spans(text: str) -> list[Span]:
     found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split("."))]
     for m in CARD.finditer(text):
         digits = _digits(m.group())
-        if 14 <= len(digits) <= 19 and luhn(digits):
+        if len(digits) in CARD_DIGITS and luhn(digits):
             found.append((m.start(), m.end(), "card"))
     found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(_digits(m.group())) <= 15]
     return found
 
 
 def _plausible(text: str, kind: str) -> bool:
-    """What a span that the model finds must have to be added."""
-    digits = _digits(text)
+    """What makes a kind, in any form: marks of an address, four parts up to 255, a checksum, a count of digits."""
     if kind == "email":
-        return bool(WRITTEN.fullmatch(text))
+        return bool(WRITTEN.match(text))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}([.][0-9]{1,3}){3}", text)) and all(int(x) <= 255 for x in text.split("."))
-    if kind == "card":
-        return bool(re.fullmatch(r"[0-9]( ?[ ./-]? ?[0-9])+", text)) and 14 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[+(]?[0-9][0-9 ()./-]+[0-9]", text)) and 10 <= len(digits) <= 15 and len(re.findall(r"[ ()./-]+", text)) >= 2
+        parts = text.split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) < 4 and int(p) <= 255 for p in parts)
+    digits = _digits(text)
+    return 10 <= len(digits) <= 15 if kind == "phone" else len(digits) in CARD_DIGITS and luhn(digits)
 
 
 def _windows(text: str) -> list[int]:
-    """Starts of the windows, on a grid of STEP, that hold a trigger."""
-    return sorted({k * STEP for m in TRIGGER.finditer(text) for k in (m.start() // STEP, m.start() // STEP - 1) if k >= 0})
+    """Starts of the windows, on a grid of STEP, that can hold a span: they have a mark of a mail address, or as many
+    digits as a telephone number, or four and the dots of an address. No other span would be of its kind."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    starts = np.arange(0, len(text), STEP)
+
+    def within(of: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(of)])
+        return sums[np.minimum(starts + WINDOW, len(text))] - sums[starts]
+
+    digits, dots, marks = within((codes >= 48) & (codes <= 57)), within(codes == 46), np.zeros(len(text), bool)
+    marks[[m.start() for m in MAIL.finditer(text)]] = True
+    return starts[(digits >= 10) | (digits >= 4) & (dots >= 3) | (within(marks) > 0)].tolist()
 
 
 def _reconciled(text: str, found: list[tuple[float, int, int, str]], base: list[Span]) -> list[Span]:
@@ -96,20 +101,23 @@ def _reconciled(text: str, found: list[tuple[float, int, int, str]], base: list[
 def tagged(texts: list[str], base: list[list[Span]], model: dict[str, np.ndarray]) -> list[list[Span]]:
     """The spans that the model adds to each text's base spans.
 
-    Overlapping windows that hold a trigger are decoded, BATCH at a time. A span cut off by a window's edge inside
-    a word is left to the next window; the rest are reconciled over the whole text.
+    Overlapping windows that can hold a span are decoded, BATCH different ones at a time. A span cut off by a window's
+    edge inside a word is left to the next window; the rest are reconciled over the whole text.
     """
     found: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
     where = [(k, at) for k, text in enumerate(texts) for at in _windows(text)]
-    for first in range(0, len(where), BATCH):
-        some = where[first : first + BATCH]
-        x = np.full((len(some), WINDOW), UNUSED)
+    read = {k: symbols(texts[k]) for k in {k for k, _ in where}}
+    for first in range(0, len(where), BATCH * 16):
+        some = where[first : first + BATCH * 16]
+        x = np.full((len(some), WINDOW), UNUSED, np.int8)
         for row, (k, at) in enumerate(some):
-            own = symbols(texts[k][at : at + WINDOW])
+            own = read[k][at : at + WINDOW]
             x[row, : len(own)] = own
-        tags, likely = decode(model, x)
+        different, which = np.unique(x, axis=0, return_inverse=True)
+        decoded = [decode(model, different[a : a + BATCH]) for a in range(0, len(different), BATCH)]
+        tags, likely = (np.concatenate(part)[which.ravel()] for part in zip(*decoded, strict=True))
         for (k, at), row, chances in zip(some, tags, likely, strict=True):
-            text, starts = texts[k], np.flatnonzero(row % 2 == 1)
+            text, starts = texts[k], np.flatnonzero(row & 1)
             for a in starts.tolist():
                 b = a + 1
                 while b < WINDOW and row[b] == row[a] + 1:
@@ -132,7 +140,8 @@ def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray] | None = No
     Counts are those of base spans, the patterns' matches; base_spans lists these and spans all, as listed() does.
     The model, by default the stored one that train() made of invented labelled spans, is sent to all tasks (some 40
     KB). It adds spans in forms that the patterns miss: written-out mail addresses, national telephone numbers, cards
-    with other separators. It reads windows with a digit or a mark of a mail address, as no span is without.
+    with other separators. It reads the windows that can hold a span, and sees which digits pass a card's
+    checksum; what it finds is checked against the definition of its kind alone.
 
     Rows are handled where they are read. Null texts are empty; repeated rows give equal rows; no rows give no rows;
     other columns are ignored.

@@ -150,6 +150,53 @@ def test_windows_are_reconciled(model):
         assert [text[a:b] for a, b, _ in sorted(tagged([text], [[]], model)[0])] == ["743-555-3824", "743-555-3825"]
 
 
+def test_checksums_of_neighbouring_numbers():
+    """Against a plain version over all runs of up to five numbers."""
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choices(["1", "23", "4111", "4111 1111 1111 1111", "-", " ", " - ", ".", "x", "/", "  ", "5500000000000004"], k=rng.randrange(14)))
+        numbers = list(re.finditer("[0-9]+", text))
+        want = []
+        for k, last in enumerate(numbers):
+            for j in range(k, max(-1, k - st.CARD_GROUPS), -1):
+                gaps = [text[a.end() : b.start()] for a, b in zip(numbers[j:k], numbers[j + 1 : k + 1], strict=True)]
+                digits = "".join(m.group() for m in numbers[j : k + 1])
+                if all(re.fullmatch(" ?[ ./-]? ?", g) for g in gaps) and len(digits) in st.CARD_DIGITS and luhn(digits):
+                    want.append((numbers[j].start(), last.end()))
+        assert st.summed(text) == want
+
+
+def test_windows_left_out_hold_no_span(model, monkeypatch):
+    """The spans are those that decoding every window gives."""
+    rng = random.Random(4)
+    texts = [t for t, _ in labelled()] + ["".join(rng.choices(["word ", "at ", " dot ", "x@y.de ", "+1 (743) 555-3824 ", "4111.1111.1111.1111 ", "1.2.3.4 ", "12 ", "jane [at] home.org "], k=60)) for _ in range(40)]
+    base = [base_spans(t) for t in texts]
+    some = tagged(texts, base, model)
+    monkeypatch.setattr(personal_data, "_windows", lambda text: list(range(0, len(text), personal_data.STEP)))
+    assert tagged(texts, base, model) == some and sum(map(len, some)) > 100
+
+
+def test_numbers_without_a_checksum_are_left_alone(model, monkeypatch):
+    """The model itself, without the check of what it finds, tells wrong checksums, long numbers and tables from cards."""
+    monkeypatch.setattr(personal_data, "_plausible", lambda text, kind: True)
+    rng = random.Random(21)
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    wrong = [t for t in (d(16) for _ in range(300)) if not luhn(t)]
+    texts = [f"Some words before {t} and a few behind it." for t in wrong]
+    found = [s for spans in tagged(texts, [[] for _ in texts], model) for s in spans]
+    assert len(found) <= 0.03 * len(texts)
+    right = [t for t in (d(16) for _ in range(3000)) if luhn(t)]
+    texts = [f"Some words before {t} {d(11)} and a few behind it." for t in right]
+    found = tagged(texts, [[] for _ in texts], model)
+    assert sum((18, 34, "card") in spans for spans in found) >= 0.8 * len(texts)
+
+
+def test_long_runs_of_digits(model):
+    """Equal windows are decoded once, and a number longer than any card is read once."""
+    texts = ["7" * 300_000, "1 " * 150_000, "12-" * 100_000]
+    assert tagged(texts, [base_spans(t) for t in texts], model) == [[], [], []]
+
+
 def test_query(spark, sf_dir):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op8_personal_data(spark, sf_dir).collect()
