@@ -5,15 +5,17 @@ from __future__ import annotations
 import os
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
+from lodestone.session import materialize, ship
 
 Result = TypeVar("Result")
 
@@ -66,6 +68,33 @@ def with_fallback(calls: Sequence[tuple[str, Callable[[], Result]]], sleep: Call
     raise ValueError("no call was given")
 
 
+class Quota:
+    """Calls made so far apart that at most so many tasks together make no more than rate calls a second.
+
+    Each task has its share of the rate and starts at its own moment, so that the calls of all are spread evenly. Attempts
+    count as calls. Speculative copies of tasks would call besides, so leave speculation off for such a job.
+    """
+
+    def __init__(self, rate: float, tasks: int, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        if not rate > 0 or tasks < 1:
+            raise ValueError("rate and tasks must be above zero")
+        self.rate, self.tasks, self.sleep, self.clock = rate, tasks, sleep, clock
+        self.at: float | None = None
+
+    def __call__(self, call: Callable[[], Result]) -> Result:
+        def spaced() -> Result:
+            now = self.clock()
+            if self.at is None:
+                context = TaskContext.get()
+                self.at = now + (context.partitionId() % self.tasks if context else 0) / self.rate
+            if self.at > now:
+                self.sleep(self.at - now)
+            self.at = max(self.at, now) + self.tasks / self.rate
+            return call()
+
+        return retried(spaced, self.sleep)
+
+
 #: What a vector is for; models make different ones of documents and of questions to them.
 DOCUMENTS, QUESTIONS = "RETRIEVAL_DOCUMENT", "RETRIEVAL_QUERY"
 
@@ -99,6 +128,72 @@ def embed(texts: DataFrame, embedder: Callable[..., list[Sequence[float]]], text
     return texts.mapInArrow(run, texts.withColumn("embedding", F.array(F.lit(0.0).cast("float"))).schema)
 
 
+class NotAll(RuntimeError):
+    """Calls have failed; what the others returned is kept."""
+
+
+KEPT = "_hash string, embedding array<float>, failed string, run string"
+
+
+def embed_kept(texts: DataFrame, embedder: Callable[..., list[Sequence[float]]], path: str, text: str = "content", steps: int = 8, rate: float | None = None, tasks: int | None = None, size: int = BATCH, task: str | None = None) -> DataFrame:
+    """texts with embedding as embed() gives it, from a table at path that keeps the vector of every text ever called for.
+
+    Only different texts without a vector are called for, dealt to steps by a hash. A step is a job of its own, of so
+    many tasks (by default the cluster's parallelism), which appends to the table; its tasks share the rate (calls a
+    second, for the whole job). A call that fails costs no other: its texts are noted with the error, all else of the step is
+    kept, and NotAll ends the run after that step. The next run with this path calls only for what is missing. A lost
+    executor repeats at most the calls of its own tasks. A request that fails otherwise than by the limit goes text by text.
+
+    Vectors of one path are of one embedder and task. Null texts have none; repeated ones share one; no rows give no rows.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    tries = retried if rate is None else Quota(rate, tasks)
+
+    def made(some: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            vectors = tries(lambda: embedder(some) if task is None else embedder(some, task))
+            if len(vectors) != len(some):
+                raise ValueError(f"{len(vectors)} vectors for {len(some)} texts")
+            out: list[tuple[list[float] | None, str | None]] = []
+            for v in vectors:
+                v = np.asarray(v, np.float64)
+                n = np.linalg.norm(v)
+                out.append(((v / n).astype(np.float32).tolist(), None) if n > 0 else (None, "cannot normalise a zero vector"))
+            return out
+        except Exception as error:
+            if len(some) > 1 and not isinstance(error, RateLimited):
+                return [x for one in some for x in made([one])]
+            return [(None, str(error) or type(error).__name__)] * len(some)
+
+    def kept() -> DataFrame:
+        return spark.read.schema(KEPT).parquet(path)
+
+    spark.createDataFrame([], KEPT).write.mode("ignore").parquet(path)
+    hashed = texts.withColumn("_hash", F.sha2(text, 256))
+    missing = hashed.where("_hash is not null").groupBy("_hash").agg(F.first(text).alias("_text"))
+    missing = missing.join(kept().where("failed is null"), "_hash", "left_anti")
+    todo = materialize(missing.withColumn("_step", F.pmod(F.xxhash64("_hash"), F.lit(steps)).cast("int")), partition_by="_step")
+    for step in range(steps):
+        name = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], name: str = name) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, size):
+                    part = batch.slice(k, size)
+                    vectors, errors = zip(*made(part.column(1).to_pylist()), strict=True)
+                    columns = [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string()), pa.array([name] * part.num_rows, pa.string())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["_hash", "embedding", "failed", "run"])
+
+        todo.where(F.col("_step") == step).select("_hash", "_text").repartition(tasks).mapInArrow(run, KEPT).write.mode("append").parquet(path)
+        count, example = kept().where((F.col("run") == name) & F.col("failed").isNotNull()).agg(F.count("*"), F.first("failed")).first()
+        if count:
+            raise NotAll(f"{count} texts of step {step} of {steps} failed, one with: {example}")
+    found = kept().where("failed is null").select("_hash", "embedding")
+    return hashed.join(found, "_hash", "left").select(*texts.columns, "embedding")
+
+
 def hashed_embedder(dims: int = 64) -> Callable[..., list[list[float]]]:
     """A stand-in without a model: counts of hashed words and neighbouring pairs, the same on every machine and for every task."""
     from zlib import crc32

@@ -239,6 +239,96 @@ def test_tasks_reach_the_embedder(spark):
     assert first(services.QUESTIONS) == {1.0} and first(services.DOCUMENTS) == {0.0}
 
 
+def test_quota_spaces_the_calls_of_a_task():
+    now, made = [100.0], []
+    quota = services.Quota(2.0, 4, sleep=lambda s: now.__setitem__(0, now[0] + s), clock=lambda: now[0])
+    for cost in (0.0, 0.5, 5.0, 0.0, 0.0):
+        quota(lambda cost=cost: (made.append(now[0]), now.__setitem__(0, now[0] + cost)))
+    assert made == [100.0, 102.0, 104.0, 109.0, 111.0]  # four tasks at two calls a second: one in two seconds each
+    outcomes = iter([RuntimeError("429, retry in 1s"), None])
+
+    def busy():
+        made.append(now[0])
+        if error := next(outcomes):
+            raise error
+
+    quota(busy)
+    assert made[5:] == [113.0, 115.0]  # a second attempt keeps the distance too
+
+
+def test_a_failed_run_keeps_what_its_calls_returned(spark, tmp_path):
+    """Over several tasks and steps: no text is called for twice, neither within a run nor by the next."""
+    log, broken = tmp_path / "calls", tmp_path / "broken"
+    log.mkdir()
+    broken.touch()
+    path = str(tmp_path / "kept")
+
+    def embedder(some, task=None):
+        import os
+        import uuid
+
+        if os.path.exists(broken) and any(t in ("text 7", "text 31") for t in some):
+            raise ValueError("cannot read this one")
+        (log / uuid.uuid4().hex).write_text("\n".join(some))
+        return [[float(len(t)), float(ord(t[-1])), 1.0] for t in some]
+
+    rows = [(k, f"text {k}") for k in range(60)] + [(100 + k, "text 5") for k in range(40)] + [(200, None)]
+    texts = spark.createDataFrame(rows, "id long, content string").repartition(5)
+    called = lambda: [t for f in log.iterdir() for t in f.read_text().split("\n")]
+    again = 0
+    while broken.exists():
+        with pytest.raises(services.NotAll, match="cannot read this one"):
+            services.embed_kept(texts, embedder, path, steps=3, tasks=4, size=5)
+        if again == 1:
+            broken.unlink()
+        again += 1
+    before = len(called())
+    assert before and len(set(called())) == before < 60
+    got = {r["id"]: r["embedding"] for r in services.embed_kept(texts, embedder, path, steps=3, tasks=4, size=5).collect()}
+    assert sorted(called()) == sorted({t for _, t in rows if t})
+    plain = {r["id"]: r["embedding"] for r in services.embed(texts.where("content is not null"), embedder).collect()}
+    assert got == plain | {200: None}
+    more = texts.unionByName(spark.createDataFrame([(300, "another")], texts.schema))
+    assert services.embed_kept(more, embedder, path, steps=2, tasks=2).count() == len(rows) + 1
+    assert sorted(called())[0] == "another"
+    assert services.embed_kept(texts.limit(0), embedder, path).count() == 0
+
+
+def test_tasks_share_the_rate(spark, tmp_path):
+    """Calls of four tasks, by their own clocks: never more in a second than the rate allows for all of them."""
+    import time
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def embedder(some):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(repr(time.time()))
+        return [[1.0, float(len(t))] for t in some]
+
+    texts = spark.createDataFrame([(f"t{k}",) for k in range(48)], "content string")
+    assert services.embed_kept(texts, embedder, str(tmp_path / "kept"), steps=1, rate=20.0, tasks=4, size=1).count() == 48
+    at = sorted(float(f.read_text()) for f in log.iterdir())
+    assert len(at) == 48 and max(sum(a <= b < a + 1 for b in at) for a in at) <= 20 + 4
+
+
+def test_limited_requests_are_not_split(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def embedder(some):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text(str(len(some)))
+        raise RuntimeError("429, retry in 0s")
+
+    texts = spark.createDataFrame([(f"t{k}",) for k in range(6)], "content string")
+    with pytest.raises(services.NotAll, match="limited in all"):
+        services.embed_kept(texts, embedder, str(tmp_path / "kept"), steps=1, tasks=1, size=6)
+    assert [f.read_text() for f in log.iterdir()] == ["6"] * 3
+
+
 def test_ask_end_to_end(spark, tmp_path):
     docs = spark.createDataFrame(
         [("dao.txt", "# Đảo\n\n## Mục tiêu\n- Thần Mây: đứng ở phía bắc của đảo."), ("nui.txt", "# Núi\n\n## Mục tiêu\n- Thần Lửa: sống trong hang núi đá."), ("bien.txt", "# Biển\n\n## Thuật ngữ\n- Sóng: nước dâng lên cao.")],
