@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import grounding, routing, text, vectors
 from lodestone.operators import chunking, context, evaluation, graph, history, ivf, search, summary, verification
 from lodestone.session import checkpoint_dir, ship
-from lodestone.sources import tables
+from lodestone.sources import services, tables
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,6 +413,20 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.insert_new(lines.where("l_linenumber <= 2").select(pair).distinct(), lines.where("l_linenumber >= 2").select(pair), pair)
 
 
+@query("""
+WITH c AS (SELECT p_partkey AS key, 1.0 + len(p_name) - len(replace(p_name, 'e', '')) AS e, 1.0 + len(p_name) - len(replace(p_name, 'a', '')) AS a, len(p_name)::DOUBLE AS n FROM part)
+SELECT key, round((e / sqrt(e * e + a * a + n * n))::FLOAT::DOUBLE, 5) AS first, round((n / sqrt(e * e + a * a + n * n))::FLOAT::DOUBLE, 5) AS last FROM c
+""")
+def kept_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with vectors that are kept at a path: half of the parts first, then all, which calls only for new names."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("content"))
+    path = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    letters = lambda some: [[1.0 + t.count("e"), 1.0 + t.count("a"), float(len(t))] for t in some]
+    services.embed_kept(names.where("key % 2 = 0"), letters, path, steps=2)
+    v = F.col("embedding").cast("array<double>")
+    return services.embed_kept(names, letters, path, steps=2).select("key", F.round(F.get(v, F.lit(0)), 5).alias("first"), F.round(F.get(v, F.lit(2)), 5).alias("last"))
+
+
 @query("SELECT count(*) AS n, count(*) > 0 AS built FROM documents")
 def table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), (F.count("*") > 0).alias("built"))
@@ -503,6 +517,19 @@ def chunks_mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chunks_mentioning(part_mentions(spark, sf_dir), parts(spark, sf_dir), part_seeds(spark, sf_dir))
 
 
+@query(f"""
+WITH {HITS_SQL}, {PARTS_SQL}, {SEEDS_SQL}, {MENTIONS_SQL}, c AS (SELECT qid, chunk_id, count(*) AS n FROM (SELECT DISTINCT qid, name FROM seeds) s JOIN e ON p_name = name JOIN mentions ON entity_key = p_partkey GROUP BY ALL),
+g AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY n DESC, chunk_id) AS position FROM c QUALIFY position <= 3), l AS (SELECT qid, max(rank) AS last FROM hits GROUP BY qid)
+SELECT qid, id, similarity, 'vector' AS via, rank FROM hits UNION ALL SELECT g.qid, chunk_id, NULL, 'graph', coalesce(last, 0) + position FROM g LEFT JOIN l ON g.qid = l.qid
+""")
+def appended_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question's vector hits, then the chunks that mention its part: of questions without the one or the other, what there is."""
+    found = hits(spark, sf_dir).select("qid", "id", "similarity", F.lit("vector").alias("via"), F.col("rank").cast("long").alias("rank"))
+    more = graph.chunks_mentioning(part_mentions(spark, sf_dir), parts(spark, sf_dir), part_seeds(spark, sf_dir))
+    more = more.select("qid", F.col("chunk_id").alias("id"), F.lit(None).cast("double").alias("similarity"), F.lit("graph").alias("via"), F.col("rank").alias("position"))
+    return context.appended(found, more)
+
+
 @query(f"""
 WITH {NEAR_SQL}, {MENTIONS_SQL}, hits AS (SELECT DISTINCT qid, chunk_id AS id FROM seeds JOIN e ON p_name = name JOIN mentions ON entity_key = p_partkey),
 c AS (SELECT qid, chunk_id, count(*) AS n FROM (SELECT DISTINCT qid, name FROM n) s JOIN e ON p_name = name JOIN mentions ON entity_key = p_partkey GROUP BY ALL),
