@@ -414,17 +414,17 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT p_partkey AS key, 1.0 + len(p_name) - len(replace(p_name, 'e', '')) AS e, 1.0 + len(p_name) - len(replace(p_name, 'a', '')) AS a, len(p_name)::DOUBLE AS n FROM part)
-SELECT key, round((e / sqrt(e * e + a * a + n * n))::FLOAT::DOUBLE, 5) AS first, round((n / sqrt(e * e + a * a + n * n))::FLOAT::DOUBLE, 5) AS last FROM c
+WITH c AS (SELECT doc_id, 1.0 + len(text) - len(replace(text, 'e', '')) AS e, 1.0 + len(text) - len(replace(text, 'a', '')) AS a, len(text)::DOUBLE AS n FROM documents)
+SELECT doc_id, round((e / sqrt(e * e + a * a + n * n))::FLOAT::DOUBLE, 5) AS first, round((n / sqrt(e * e + a * a + n * n))::FLOAT::DOUBLE, 5) AS last FROM c
 """)
 def kept_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts with vectors that are kept at a path: half of the parts first, then all, which calls only for new names."""
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("content"))
+    """Documents with vectors that are kept at a path: half of the documents first, then all, which calls only for new texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
     letters = lambda some: [[1.0 + t.count("e"), 1.0 + t.count("a"), float(len(t))] for t in some]
-    services.embed_kept(names.where("key % 2 = 0"), letters, path, steps=2)
+    services.embed_kept(docs.where("doc_id % 2 = 0"), letters, path, text="text", steps=2)
     v = F.col("embedding").cast("array<double>")
-    return services.embed_kept(names, letters, path, steps=2).select("key", F.round(F.get(v, F.lit(0)), 5).alias("first"), F.round(F.get(v, F.lit(2)), 5).alias("last"))
+    return services.embed_kept(docs, letters, path, text="text", steps=2).select("doc_id", F.round(F.get(v, F.lit(0)), 5).alias("first"), F.round(F.get(v, F.lit(2)), 5).alias("last"))
 
 
 @query("SELECT count(*) AS n, count(*) > 0 AS built FROM documents")
