@@ -54,14 +54,22 @@ def retrieve(questions: DataFrame, chunks: DataFrame, graph: dict[str, DataFrame
 
 
 def ask(questions: DataFrame, chunks: DataFrame, embedder: Callable[[list[str], str], list[Sequence[float]]], models: Sequence[Model], graph: dict[str, DataFrame] | None = None, threshold: float = THRESHOLD, entailment: str = "auto", verifier: Sequence[Model] | None = None) -> DataFrame:
-    """An answer for each question (qid, question, history): text, citations, refused, flags and how it came about.
+    """answered() for questions (qid, question, history): rewritten where they need it, and embedded.
+
+    The embedder is given texts and the task QUESTIONS.
+    """
+    asked = materialize(embed(rewritten(questions, models), embedder, "search_query", task=QUESTIONS))
+    return answered(asked, chunks, models, graph, threshold, entailment, verifier)
+
+
+def answered(asked: DataFrame, chunks: DataFrame, models: Sequence[Model], graph: dict[str, DataFrame] | None = None, threshold: float = THRESHOLD, entailment: str = "auto", verifier: Sequence[Model] | None = None) -> DataFrame:
+    """An answer for each question (qid, question, search_query, embedding): text, citations, refused, flags and how it came about.
 
     Refusals, by the gate or in the model's own words, have no citations and no flags. Only answers that fail a cheap check
-    are sent to the verifier in mode auto; the embedder is given texts and the task QUESTIONS; what it finds unsupported is said under the answer. What calls have returned is
+    are sent to the verifier in mode auto; what it finds unsupported is said under the answer. What calls have returned is
     written to the shared folder before it is used, so that no call is made twice for a plan that reads it twice.
     """
     none = F.array().cast("array<string>")
-    asked = materialize(embed(rewritten(questions, models), embedder, "search_query", task=QUESTIONS))
     lexicon = None if graph is None else materialize(surfaces(graph["entities"]))
     matcher = None if lexicon is None else Surfaces(lexicon)
     ready = materialize(retrieve(asked, chunks, graph, threshold=threshold, ready=matcher))

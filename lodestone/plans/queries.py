@@ -7,6 +7,7 @@ seed; order lines are mentions (order: chunk); conversations are histories; even
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import grounding, routing, text, vectors
 from lodestone.operators import chunking, context, evaluation, graph, history, ivf, search, summary, verification
-from lodestone.session import checkpoint_dir, ship
+from lodestone.plans import ask
+from lodestone.session import checkpoint_dir, materialize, ship
 from lodestone.sources import services, tables
 from lodestone.sources.tables import table
 
@@ -659,14 +661,27 @@ def verify_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", "text", F.array_join(F.filter("flags", lambda f: f.startswith("thực thể")), "|").alias("flag"))
 
 
-@query(f"""
-WITH RECURSIVE d AS (SELECT p_brand, p_type, p_partkey, p_name, lower(p_name) AS low, '- ' || p_name || ' (P' || (p_partkey + 1000) || '): size ' || p_size AS line FROM part),
+#: Chunks of part_documents() and what they mention; a section is a document there.
+GRAPH_SQL = f"""
+d AS (SELECT p_brand, p_type, p_partkey, p_name, lower(p_name) AS low, '- ' || p_name || ' (P' || (p_partkey + 1000) || '): size ' || p_size AS line FROM part),
 h AS (SELECT p_brand || '|' || p_type AS doc_id, p_brand, list(line ORDER BY p_partkey) AS units, list(low ORDER BY p_partkey) AS lows, p_brand || ' (Brand name) — mục tiêu ' || p_type AS header FROM d GROUP BY p_brand, p_type),
 {PACK_SQL.format(target=1800, overlap=300)},
-w AS (SELECT r.doc_id, nth, lows[s + 1:b] AS lows FROM ranges r JOIN h USING (doc_id)),
-entities AS (SELECT DISTINCT p_brand || '#' || low AS key, low FROM d), brands AS (SELECT DISTINCT p_brand || '#' AS key, p_brand FROM d),
+w AS (SELECT r.doc_id, p_brand, nth, lows[s + 1:b] AS lows FROM ranges r JOIN h USING (doc_id)),
+entities AS (SELECT DISTINCT p_brand || '.txt#' || low AS key, low FROM d), brands AS (SELECT DISTINCT p_brand || '.txt#' || lower(p_brand) AS key, p_brand FROM d),
 mentions AS (SELECT DISTINCT doc_id, nth, key FROM (SELECT doc_id, nth, unnest(lows) AS low FROM w) x JOIN entities USING (low) UNION SELECT doc_id, nth, key FROM w, brands),
-together AS (SELECT DISTINCT a.key, b.key FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.nth = b.nth AND a.key < b.key),
+together AS (SELECT a.key AS src, b.key AS dst, count(*) AS n FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.nth = b.nth AND a.key < b.key GROUP BY ALL)
+"""
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The graph of all brands' documents and their chunks."""
+    docs = part_documents(spark, sf_dir)
+    chunks_ = chunking.chunk_documents(docs).withColumn("id", F.concat_ws("#", "source_name", "chunk_index"))
+    return graph.build_graph(docs, chunks_)
+
+
+@query(f"""
+WITH RECURSIVE {GRAPH_SQL},
 per AS (SELECT p_brand, count(*) AS n, count(DISTINCT low) AS k FROM d GROUP BY p_brand)
 SELECT (SELECT count(*) FROM entities) + (SELECT count(*) FROM brands) AS entities, (SELECT count(*) FROM d) + (SELECT count(*) FROM brands) AS aliases, (SELECT count(*) FROM mentions) AS mentions,
   ((SELECT count(*) FROM d) + (SELECT (sum(n) * sum(n) - sum(n * n)) // 2 FROM per) + (SELECT count(*) * (count(*) - 1) // 2 FROM brands) + (SELECT count(*) FROM together))::BIGINT AS edges,
@@ -674,9 +689,34 @@ SELECT (SELECT count(*) FROM entities) + (SELECT count(*) FROM brands) AS entiti
 """)
 def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a graph built from all brands' documents and their chunks."""
-    docs = part_documents(spark, sf_dir)
-    chunks_ = chunking.chunk_documents(docs).withColumn("id", F.concat_ws("#", "source_name", "chunk_index"))
-    return graph.build_graph(docs, chunks_)["counts"]
+    return part_graph(spark, sf_dir)["counts"]
+
+
+@query(f"""
+WITH RECURSIVE {GRAPH_SQL}, numbered AS (SELECT doc_id, nth, p_brand || '.txt#' || (row_number() OVER (PARTITION BY p_brand ORDER BY doc_id, nth) - 1) AS chunk_id FROM w)
+SELECT key AS entity_key, chunk_id FROM mentions JOIN numbered USING (doc_id, nth)
+""")
+def graph_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the built graph's mentions."""
+    return part_graph(spark, sf_dir)["mentions"].select("entity_key", "chunk_id")
+
+
+@query(f"""
+WITH RECURSIVE {GRAPH_SQL} SELECT src, dst, 'đồng_xuất_hiện' AS relation, n::FLOAT AS weight FROM together
+UNION ALL SELECT DISTINCT p_brand || '.txt#' || low, p_brand || '.txt#' || lower(p_brand), 'thuộc_về', 1.0::FLOAT FROM d
+""")
+def graph_edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge that the built graph lists: what belongs to a document, and what stands together, with its count of chunks."""
+    return part_graph(spark, sf_dir)["edges"].select("src", "dst", "relation", "weight")
+
+
+@query("""
+WITH d AS (SELECT DISTINCT p_brand, lower(p_name) AS low, 'mục tiêu trung lập' AS kind FROM part), b AS (SELECT DISTINCT p_brand FROM part)
+SELECT p_brand || '.txt#' || low AS key, kind AS role, p_brand || '.txt' AS source_name FROM d UNION ALL SELECT p_brand || '.txt#' || lower(p_brand), 'chủ đề', p_brand || '.txt' FROM b
+""")
+def graph_similar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the built graph's factorised edges: members of a role of different sources are linked."""
+    return part_graph(spark, sf_dir)["similar"].select("key", "role", "source_name").distinct()
 
 
 @query(f"""
@@ -903,3 +943,54 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations QUALIFY following IS NOT NULL")
 def neighbouring_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.neighbouring_pairs(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role"]), "conv_id", "turn", "role")
+
+
+# ---------------------------------------------------------------- the whole way from questions to answers
+
+#: Vectors read backwards are questions to all; chunks are the documents with the vectors' ids.
+ANSWER_TAU, REFUSES, CLAIM = 0.37, "Tôi không tìm thấy thông tin này ở đoạn nào", "7777777 dòng"
+
+
+def stand_in(prompt: str) -> str:
+    """A generator without a model: a rewritten question, or one of five answers by the question's number."""
+    n = int(re.search(r"\d+", prompt.rsplit(context.QUESTION_TITLE, 1)[1])[0])
+    if prompt.startswith(context.REWRITE_PROMPT[:8]):
+        return f' "đoạn {n} nằm ở đâu trong kho tài liệu?" '
+    first = re.search(r"\)\nđoạn (\d+)", prompt)[1]
+    return (f"{REFUSES} [9].", "  ", f"đoạn {first} nói điều đó [1].", f"có {CLAIM} [1] [9].", f"chừng {CLAIM} [1].")[n // EVERY % 5]
+
+
+def stand_in_verifier(prompt: str) -> str:
+    return f"- {CLAIM}" if prompt.endswith(f"có {CLAIM} [1].") else "Đạt"
+
+
+@query(f"""
+WITH q AS (SELECT vec_id AS qid, list_reverse(embedding::DOUBLE[]) AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
+s AS (SELECT qid, vec_id AS id, coalesce(source, 'không rõ') || ' · nhãn ' || label AS label, list_cosine_similarity(qv, embedding::DOUBLE[]) AS similarity FROM q, embeddings LEFT JOIN documents ON doc_id = vec_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 4),
+w AS (SELECT qid, max(similarity) AS top, arg_min(id, rank) AS first, min(rank) FILTER (WHERE rank > 1 AND similarity < {ANSWER_TAU}) AS stop FROM h GROUP BY qid),
+l AS (SELECT qid, label, min(rank) AS rank FROM h JOIN w USING (qid) WHERE stop IS NULL OR rank < stop GROUP BY qid, label),
+c AS (SELECT qid, string_agg(label, '|' ORDER BY rank) AS labels FROM l GROUP BY qid),
+a AS (SELECT *, CASE WHEN top < {ANSWER_TAU} THEN 5 ELSE qid // {EVERY} % 5 END AS k FROM w JOIN c USING (qid))
+SELECT qid, CASE WHEN qid % 100 = 0 THEN 'nó ' || qid || ' ở đâu?' ELSE 'đoạn ' || qid || ' nằm ở đâu trong kho tài liệu?' END AS search_query,
+  CASE k WHEN 0 THEN '{REFUSES}.' WHEN 2 THEN 'đoạn ' || first || ' nói điều đó [1].' WHEN 3 THEN 'có {CLAIM} [1].' || chr(10) || chr(10) || '⚠ Chưa đối chiếu được với tài liệu:' || chr(10) || '  • {CLAIM}'
+    WHEN 4 THEN 'chừng {CLAIM} [1].' ELSE 'Tôi không tìm thấy thông tin này trong tài liệu hiện có.' END AS text,
+  CASE WHEN k IN (2, 3, 4) THEN labels ELSE '' END AS citations, k NOT IN (2, 3, 4) AS refused, round(top, 6) AS top_similarity,
+  CASE k WHEN 3 THEN 'trích dẫn không tồn tại: [9]|' ELSE '' END || CASE WHEN k IN (3, 4) THEN 'số không có trong ngữ cảnh: [''7777777'']' ELSE '' END AS flags,
+  CASE k WHEN 3 THEN '{CLAIM}' ELSE '' END AS unsupported, k IN (3, 4) AS entailment_ran, CASE WHEN k IN (0, 3) THEN '9' ELSE '' END AS invalid_citations, CASE k WHEN 5 THEN '' ELSE 'stand-in' END AS model_used, k NOT IN (3, 4) AS verified FROM a
+""")
+def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of all kinds: refused by the gate, in the generator's own words or for want of them, clean, doubtful and refuted."""
+    vectors_ = table(spark, sf_dir, "embeddings")
+    said = F.array(F.struct(F.lit("user").alias("role"), F.lit("đoạn nào?").alias("text")))
+    questions = vectors_.where(F.col("vec_id") % EVERY == 0).select(
+        F.col("vec_id").alias("qid"), F.format_string("nó %d ở đâu?", "vec_id").alias("question"), F.when(F.col("vec_id") % 100 == 0, F.slice(said, 1, 0)).otherwise(said).alias("history"), F.reverse("embedding").alias("embedding")
+    )
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    content = F.concat(F.lit("đoạn "), "vec_id", F.lit(": "), F.coalesce("text", F.lit("")))
+    chunks_ = vectors_.join(docs, F.col("doc_id") == F.col("vec_id"), "left")
+    chunks_ = chunks_.select(F.col("vec_id").alias("id"), F.coalesce("source", F.lit("không rõ")).alias("source_name"), F.concat(F.lit("nhãn "), "label").alias("section"), content.alias("content"), "embedding")
+    models = [("stand-in", stand_in)]
+    rows = ask.answered(materialize(ask.rewritten(questions, models)), chunks_, models, threshold=ANSWER_TAU, verifier=[("verifier", stand_in_verifier)])
+    listed = {c: F.array_join(c, "|") for c in ("citations", "flags", "unsupported", "invalid_citations")}
+    return rows.withColumns(listed | {"top_similarity": F.round("top_similarity", 6)}).drop("graph_expanded")
