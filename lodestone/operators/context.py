@@ -14,7 +14,17 @@ REFUSAL_PREFIX = "Tôi không tìm thấy thông tin này"
 UNSUPPORTED_TITLE = "\n\n⚠ Chưa đối chiếu được với tài liệu:\n"
 
 #: Own wording of what a generator and a verifier are asked to do; any other text may be given to the plans.
-SYSTEM_PROMPT = "Chỉ trả lời bằng thông tin trong NGỮ CẢNH và ghi chỉ số đoạn, ví dụ [1]. Nếu ngữ cảnh không có, hãy viết: " + REFUSAL_PREFIX + " trong tài liệu hiện có."
+RULES = (
+    "Mọi thông tin phải lấy từ NGỮ CẢNH, kể cả khi bạn biết câu trả lời từ nơi khác.",
+    f"Nếu NGỮ CẢNH không đủ để trả lời, viết: {REFUSAL_PREFIX} trong tài liệu hiện có. Có thể gợi ý cách hỏi khác.",
+    "Đoạn văn cùng chủ đề chưa chắc đã trả lời câu hỏi; điều không được viết ra thì không tự suy ra.",
+    "Khi được hỏi so sánh, nêu dữ liệu của từng bên rồi mới nói giống hay khác; chỉ từ chối nếu thiếu hẳn một bên.",
+    "Viết ngắn, vào thẳng nội dung, không nhắc lại câu hỏi.",
+    "Con số phải đúng như trong NGỮ CẢNH; không có thì không nêu.",
+    "Nếu nhiều nguồn cùng khớp, trả lời riêng cho từng nguồn.",
+    "Sau mỗi câu có thông tin, ghi chỉ số đoạn như [1], [2]; không gộp thành khoảng, không thêm chỉ số lạ.",
+)
+SYSTEM_PROMPT = "Bạn trả lời câu hỏi về một kho tài liệu.\n" + "\n".join(f"{n}. {rule}" for n, rule in enumerate(RULES, 1))
 REFUSAL_MESSAGE = REFUSAL_PREFIX + " trong tài liệu hiện có."
 ENTAILMENT_PROMPT = "So từng ý của CÂU TRẢ LỜI với NGỮ CẢNH. Viết ĐẠT nếu mọi ý đều có căn cứ, nếu không thì mỗi ý thiếu căn cứ một dòng, bắt đầu bằng '- '.\n\nNGỮ CẢNH:\n%s\n\nCÂU TRẢ LỜI:\n%s"
 REWRITE_PROMPT = "Viết lại câu hỏi cuối cho đủ nghĩa khi đứng riêng; chỉ viết câu hỏi.\n\nHỘI THOẠI:\n%s\n\nCÂU HỎI: %s"

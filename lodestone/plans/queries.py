@@ -408,6 +408,42 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_ids(chunks(spark, sf_dir).select("source_name", "chunk_index"))
 
 
+@query("""
+WITH o AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, source, upper(lang) AS lang FROM documents WHERE doc_id % 6 = 0 AND source < (SELECT max(source) FROM documents))
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE source IS NULL OR source NOT IN (SELECT source FROM n WHERE source IS NOT NULL)
+""")
+def replace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is dropped and rebuilt, then has all rows of those sources replaced that come anew, and is read with its checks."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "lang"])
+    folder = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    tables.write(docs, folder, "docs")
+    tables.write(docs.where("doc_id % 3 <> 0"), folder, "docs")
+    new = docs.where("doc_id % 6 = 0").join(docs.agg(F.max("source").alias("_last")), F.col("source") < F.col("_last")).select("doc_id", "source", F.upper("lang").alias("lang"))
+    tables.write(tables.replace_sources(table(spark, folder, "docs", non_empty=True), new, "source"), folder, "changed")
+    return table(spark, folder, "changed", non_empty=tables.is_built(spark, folder, "changed"))
+
+
+@query(f"WITH {JUDGED_SQL} SELECT type, ok, count(*) AS n, {TAU}::DOUBLE AS threshold, {TOP}::BIGINT AS top_k FROM j GROUP BY type, ok")
+def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged answers written as JSON lines beside their settings, read again and counted by what the file says."""
+    rows = judged(spark, sf_dir).select("type", "ok")
+    path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    tables.write_results(rows, path, {"threshold": TAU, "top_k": TOP})
+    return tables.read_results(spark, path, rows.schema).groupBy("type", "ok", "settings.threshold", "settings.top_k").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT vec_id AS id, coalesce(source, '') AS source, len(text) AS n_chars, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings JOIN documents ON doc_id = vec_id
+""")
+def paired_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents beside the vectors of their ids, after a check that each has its other."""
+    v, d = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    d = d.join(v, F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("id"), "source", F.coalesce("text", F.lit("")).alias("content"))
+    v = v.join(d, F.col("vec_id") == F.col("id"), "left_semi").select(F.col("vec_id").alias("id"), "embedding")
+    rows = tables.paired(d, v)
+    return rows.select("id", F.coalesce("source", F.lit("")).alias("source"), F.length("content").cast("long").alias("n_chars"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
 @query("WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber >= 2) SELECT * FROM o UNION SELECT * FROM n")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"])

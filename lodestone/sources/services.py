@@ -194,6 +194,31 @@ def embed_kept(texts: DataFrame, embedder: Callable[..., list[Sequence[float]]],
     return hashed.join(found, "_hash", "left").select(*texts.columns, "embedding")
 
 
+def usable(models: Sequence[tuple[str, Callable[[str], str]]], prompt: str) -> tuple[str | None, list[tuple[str, str]]]:
+    """The first of the named models that answers a trial prompt, and those before it with what was wrong; one call each."""
+    failed: list[tuple[str, str]] = []
+    for name, call in models:
+        try:
+            if (call(prompt) or "").strip():
+                return name, failed
+            failed.append((name, "empty answer"))
+        except Exception as error:
+            failed.append((name, (str(error).splitlines() or [type(error).__name__])[0]))
+    return None, failed
+
+
+def embedding_trial(embedder: Callable[..., list[Sequence[float]]], text: str, near: str, far: str, most_dims: int | None = None) -> dict[str, object]:
+    """What an embedder is good for: dims, whether they fit, the cosines of text with a near and a far one, and whether they order rightly."""
+    a, b, c = (np.asarray(v, np.float64) for v in (embedder([t])[0] for t in (text, near, far)))
+    if not len(a) == len(b) == len(c):
+        raise ValueError("vectors of different dimensions")
+    norms = [float(np.linalg.norm(v)) for v in (a, b, c)]
+    if 0.0 in norms:
+        raise ValueError("cannot normalise a zero vector")
+    to_near, to_far = float(a @ b) / (norms[0] * norms[1]), float(a @ c) / (norms[0] * norms[2])
+    return {"dims": len(a), "fits": most_dims is None or len(a) <= most_dims, "near": to_near, "far": to_far, "ordered": to_near > to_far}
+
+
 def hashed_embedder(dims: int = 64) -> Callable[..., list[list[float]]]:
     """A stand-in without a model: counts of hashed words and neighbouring pairs, the same on every machine and for every task."""
     from zlib import crc32

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +125,16 @@ def write_results(rows: DataFrame, path: str, settings: dict[str, object] | None
         rows.sparkSession.range(1).coalesce(1).select(*(F.lit(v).alias(k) for k, v in settings.items())).write.mode("overwrite").json(f"{path}.config")
 
 
+def read_results(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of write_results(), each with the settings that they were made with as one struct, settings; null without any."""
+    rows = spark.read.schema(schema).json(path)
+    try:
+        made = spark.read.json(f"{path}.config")
+    except AnalysisException:
+        return rows.withColumn("settings", F.lit(None))
+    return rows.crossJoin(F.broadcast(made.select(F.struct(*made.columns).alias("settings"))))  # one row
+
+
 def paired(chunks: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
     """chunks with their vectors by key; an error if either has a key that the other hasn't."""
     both = chunks.join(vectors, key, "full_outer").where(F.col("content").isNull() | F.col("embedding").isNull())

@@ -185,6 +185,9 @@ def test_tables(spark, tmp_path):
     assert any("đúng" in p.read_text() for p in (tmp_path / "r").glob("*.json"))
     tables.write_results(spark.sql("select 1 as n"), str(tmp_path / "s"), {"top_k": 4, "model": "m"})
     assert [p.read_text() for p in (tmp_path / "s.config").glob("*.json")] == ['{"top_k":4,"model":"m"}\n']
+    both = [(r["n"], r["settings"].asDict()) for r in tables.read_results(spark, str(tmp_path / "s"), "n int").collect()]
+    assert both == [(1, {"top_k": 4, "model": "m"})]
+    assert [tuple(r) for r in tables.read_results(spark, str(tmp_path / "r"), "reason string").collect()] == [("đúng", None)]
 
 
 def test_keyed_tables_change_only_what_is_touched(spark, tmp_path):
@@ -239,6 +242,23 @@ def test_tasks_reach_the_embedder(spark):
     assert first(services.QUESTIONS) == {1.0} and first(services.DOCUMENTS) == {0.0}
 
 
+def test_trials_of_models_and_embedders():
+    def blocked(prompt):
+        raise RuntimeError("404 no longer available\nmore")
+
+    calls = []
+    models = [("a", blocked), ("b", lambda p: " \n"), ("c", lambda p: calls.append(p) or "two sentences"), ("d", blocked)]
+    assert services.usable(models, "say it") == ("c", [("a", "404 no longer available"), ("b", "empty answer")]) and calls == ["say it"]
+    assert services.usable(models[:1], "x") == (None, [("a", "404 no longer available")]) and services.usable([], "x") == (None, [])
+    found = services.embedding_trial(services.hashed_embedder(4096), "con rồng lửa", "rồng lửa ở hang", "nấu phở bò", most_dims=2000)
+    assert found["dims"] == 4096 and not found["fits"] and found["ordered"] and found["near"] > 0.3 > 0.1 > found["far"]
+    assert not services.embedding_trial(lambda some: [[1.0, 0.0]], "a", "b", "c")["ordered"]
+    with pytest.raises(ValueError, match="zero"):
+        services.embedding_trial(lambda some: [[0.0, 0.0]], "a", "b", "c")
+    with pytest.raises(ValueError, match="dimensions"):
+        services.embedding_trial(lambda some: [[1.0] * len(some[0])], "a", "bb", "c")
+
+
 def test_quota_spaces_the_calls_of_a_task():
     now, made = [100.0], []
     quota = services.Quota(2.0, 4, sleep=lambda s: now.__setitem__(0, now[0] + s), clock=lambda: now[0])
