@@ -7,7 +7,7 @@ from random import Random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, materialize, table
+from lodestone.llm.common import WORD, materialize, sent_if_small, table
 
 #: Bins are the top bits of a shingle's hash; BITS low-order bits of each bin's least hash are kept.
 BIN_BITS, BITS = 7, 8
@@ -104,8 +104,8 @@ def with_buckets(docs: DataFrame, key: str, tie: str) -> DataFrame:
 def with_guests(docs: DataFrame, key: str, tie: str) -> DataFrame:
     """docs in buckets, with _guest: in the order of rows, each bucket ends with a copy of the row that follows it.
 
-    The first row of all follows the last. Which bucket hosts which row is found on one narrow row a bucket, and that
-    table is sent to all tasks: its size is bounded as the number of buckets is.
+    The first row of all follows the last. Which bucket hosts which row is found on one narrow row a bucket; that
+    table is sent to all tasks where its counted rows are few, and else joined by a shuffle.
     """
     docs = with_buckets(docs, key, tie)
     top = F.max(F.struct(F.col(key).alias("key"), F.bitwise_not(F.col(tie)).alias("tie"))).alias("_top")
@@ -114,7 +114,7 @@ def with_guests(docs: DataFrame, key: str, tie: str) -> DataFrame:
     host = F.coalesce(F.lag("_own").over(order), F.max("_own").over(Window.partitionBy()))
     hosts = materialize(tops.select("_own", F.col("_top.key").alias("_key"), F.bitwise_not(F.col("_top.tie")).alias("_tie"), host.alias("_host")).coalesce(1))
     mine = (F.col("_bucket") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")) & (F.col(tie) == F.col("_tie"))
-    guests = docs.join(F.broadcast(hosts), mine).withColumn("_bucket", F.col("_host")).drop("_own", "_key", "_tie", "_host")
+    guests = docs.join(sent_if_small(hosts), mine).withColumn("_bucket", F.col("_host")).drop("_own", "_key", "_tie", "_host")
     return docs.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import common
 from lodestone.llm import fingerprints as fp
 from lodestone.llm import html_text
 from lodestone.llm.encoding import encoder
@@ -279,9 +280,10 @@ def test_fingerprints_equal_a_plain_version(spark, frame, odd_rows, sf_dir):
         assert r["fingerprint"] == plain_fingerprint(text[r["doc_id"]] or "")
 
 
-@pytest.mark.parametrize("bucket,ways", [(4, 4), (2, 3), (50, 64)])
-def test_buckets_follow_the_order_of_any_ids(frame, monkeypatch, bucket, ways):
-    """Clustered ids, a frequent id and many null ids: buckets stay small, and every row has the right next one."""
+@pytest.mark.parametrize("bucket,ways,sent", [(4, 4, None), (2, 3, 0), (50, 64, 0)])
+def test_buckets_follow_the_order_of_any_ids(frame, monkeypatch, bucket, ways, sent):
+    """Clustered ids, a frequent id and many null ids: buckets stay small, and every row has the right next one, however rows meet their hosts."""
+    monkeypatch.setattr(common, "SENT_ROWS", common.SENT_ROWS if sent is None else sent)
     monkeypatch.setattr(fp, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(fp, "WAYS", ways)
     rng = random.Random(bucket)
