@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import fixed
+
 # Formats that answers and their checks rely on.
 SEPARATOR = "\n\n---\n\n"
 VIA_GRAPH = " · bổ sung qua đồ thị tri thức"
@@ -39,7 +41,7 @@ def context_block(hits: Column) -> Column:
 
     def one(h: Column, i: Column) -> Column:
         via = F.when(h["via"] == "graph", F.lit(VIA_GRAPH)).otherwise(F.lit(""))
-        return F.format_string("[%d] (nguồn: %s · mục: %s · độ liên quan: %.3f%s)\n%s", i + 1, h["source_name"], h["section"], h["similarity"], via, h["content"])
+        return F.format_string("[%d] (nguồn: %s · mục: %s · độ liên quan: %s%s)\n%s", i + 1, h["source_name"], h["section"], fixed(h["similarity"]), via, h["content"])
 
     return F.array_join(F.transform(hits, one), SEPARATOR)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import fixed
+
 # The sweep of thresholds adds its step again and again, so sums carry their rounding.
 FIRST_THRESHOLD, THRESHOLD_STEP, THRESHOLDS = 0.40, 0.02, 21
 REFUSED_WELL, ANSWERED_BADLY = "từ chối đúng", "PHẢI từ chối nhưng đã trả lời"
@@ -123,7 +125,7 @@ def judge(answers: DataFrame) -> DataFrame:
     reason = (
         F.when(outside & F.col("refused"), F.lit(REFUSED_WELL))
         .when(outside, F.lit(ANSWERED_BADLY))
-        .when(F.col("refused"), F.format_string("bỏ sót (điểm cao nhất %.3f < τ)", "top_similarity"))
+        .when(F.col("refused"), F.format_string("bỏ sót (điểm cao nhất %s < τ)", fixed(F.col("top_similarity"))))
         .when(ambiguous & any_ok, F.concat(F.lit("trích "), F.when(joined == "", "—").otherwise(joined)))
         .when(ambiguous, F.concat(F.lit("trích "), quoted(cited), F.lit(", kỳ vọng một trong "), quoted(any_of)))
         .when(one_ok, F.concat(F.lit("trích "), joined))

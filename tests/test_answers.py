@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import grounding as G
+from lodestone.functions import text
 from lodestone.operators import context, history
 from lodestone.operators.verification import verify
 from lodestone.plans.ask import ask
@@ -393,3 +394,15 @@ def test_middle_values_of_any_group(spark):
     assert got == {g: (len(v), min(v), max(v), sorted(v)[(len(v) - 1) // 2], sorted(v)[len(v) // 2]) for g, v in groups.items()}
     few = spark.createDataFrame([(1.0, 0.0), (4.0, 0.0)], "a double, b double")
     assert [tuple(r) for r in latency_summary(few, ["a", "b"]).collect()] == [("a", 2, 2.5, 1.0, 4.0)]
+
+
+def test_three_decimals_are_those_of_c(spark):
+    values = [0.8125, 0.5005, 0.0005, -0.0005, 0.0015, -0.0625, 0.9995, 1.0, 0.123456, -1e-9]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(text.fixed(F.col("x"))).collect()
+    assert [r[0] for r in got] == [f"{v:.3f}" for v in values]
+
+
+def test_context_rounds_ties_by_the_binary_value(spark):
+    hit = "named_struct('source_name', 's', 'section', 'm', 'similarity', {}D, 'via', 'vector', 'content', 'c')"
+    block = spark.range(1).select(context.context_block(F.expr(f"array({hit.format(0.8125)}, {hit.format(0.5005)})"))).first()[0]
+    assert "liên quan: 0.812)" in block and f"liên quan: {0.5005:.3f})" in block
