@@ -283,3 +283,21 @@ def test_matcher_tries_every_place():
                 if all(m.end() <= a or b <= m.start() for a, b, _ in want):
                     want.append((m.start(), m.end(), name))
         assert graph.Matcher(names)(text) == sorted(want, key=lambda x: (x[0], x[2])), (names, text)
+
+
+def test_listed_neighbors_are_not_shuffled(invented):
+    """Only seeds and members are: nothing is exchanged above the join that makes the rows."""
+    members, entities, _, seeds, _, _ = invented
+    plan = graph.similar_neighbors(members, entities, seeds)._jdf.queryExecution().sparkPlan().toString()
+    plan = plan.splitlines()
+    made = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert not any(word in line for line in plan[:made] for word in ("Exchange", "Aggregate", "Sort "))
+    assert "_block" in plan[made]
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_neighbors_in_blocks(invented, monkeypatch, blocks):
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    monkeypatch.setattr(graph, "BLOCKS", blocks)
+    members, entities, _, seeds, _, near = invented
+    assert bag(graph.similar_neighbors(members, entities, seeds)) == bag(near) != []
