@@ -285,6 +285,13 @@ def test_matcher_tries_every_place():
         assert graph.Matcher(names)(text) == sorted(want, key=lambda x: (x[0], x[2])), (names, text)
 
 
+def test_a_document_is_read_once_not_for_each_of_its_lines(spark):
+    """What is read from the whole text stands below the step that makes its lines."""
+    docs = spark.createDataFrame([("a", "# A\n- bc: d")], "source_name string, text string")
+    plan = graph.extract_mentions_of_definitions(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(text#") > plan.index("Generate posexplode(")
+
+
 def test_listed_neighbors_are_not_shuffled(invented):
     """Only seeds and members are: nothing is exchanged above the join that makes the rows."""
     members, entities, _, seeds, _, _ = invented
