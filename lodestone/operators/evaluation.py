@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import fixed
+from lodestone.session import materialize
 
 # The sweep of thresholds adds its step again and again, so sums carry their rounding.
 FIRST_THRESHOLD, THRESHOLD_STEP, THRESHOLDS = 0.40, 0.02, 21
@@ -30,17 +31,22 @@ def misses(hits: DataFrame, k: int = 5, acceptable: str = "acceptable") -> DataF
 
 #: Quantiles on both sides of the median are taken so exactly, and so far from it, that only about a thousandth of a group lies between.
 NEAR_MEDIAN, ACCURACY = 0.0005, 20_000
+#: Groups whose bounds are sent to all tasks at most.
+SENT_GROUPS = 100_000
 
 
 def middle_values(rows: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, least, largest, and the two middle values lower and upper, by rank, of each group's values.
 
     No group is gathered: approximate quantiles bound the median from both sides in one aggregation, values below the
-    bounds are counted, and only distinct values between them, with their numbers, are ordered. The bounds are off by less than their distance.
+    bounds are counted, and only distinct values between them, with their numbers, are ordered. The bounds are off by less than
+    their distance. They are written, and sent to the rows unless there are more than SENT_GROUPS: few groups would bring all rows to few tasks.
     """
     v = F.col(value).cast("double")
     rows = rows.where(v.isNotNull()).select(F.col(group).alias("_g"), v.alias("_v"))
     bounds = rows.groupBy(F.col("_g").alias("_of")).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_largest"), F.percentile_approx("_v", [0.5 - NEAR_MEDIAN, 0.5 + NEAR_MEDIAN], ACCURACY).alias("_q"))
+    bounds = materialize(bounds)
+    bounds = F.broadcast(bounds) if bounds.count() <= SENT_GROUPS else bounds
     near = rows.join(bounds, F.col("_g").eqNullSafe(F.col("_of"))).select("_g", "_v", "_n", "_least", "_largest", F.get("_q", F.lit(0)).alias("_low"), F.get("_q", F.lit(1)).alias("_high"))
     below = near.groupBy(F.col("_g").alias("_b")).agg(F.count_if(F.col("_v") < F.col("_low")).alias("_below"))
     inside = near.where("_v between _low and _high").groupBy("_g", "_v", "_n", "_least", "_largest").agg(F.count("*").alias("_c"))

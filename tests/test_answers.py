@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import grounding as G
 from lodestone.functions import text
-from lodestone.operators import context, history
+from lodestone.operators import context, evaluation, history
 from lodestone.operators.verification import verify
 from lodestone.plans.ask import ask
 from lodestone.plans.ingest import graph_of
@@ -406,3 +406,15 @@ def test_context_rounds_ties_by_the_binary_value(spark):
     hit = "named_struct('source_name', 's', 'section', 'm', 'similarity', {}D, 'via', 'vector', 'content', 'c')"
     block = spark.range(1).select(context.context_block(F.expr(f"array({hit.format(0.8125)}, {hit.format(0.5005)})"))).first()[0]
     assert "liên quan: 0.812)" in block and f"liên quan: {0.5005:.3f})" in block
+
+
+def test_few_groups_do_not_gather_their_rows(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = evaluation.middle_values(rows, "g", "v")
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()
+        assert sorted((r["g"], r["lower"], r["upper"]) for r in found.collect()) == [(0, 498.0, 500.0), (1, 499.0, 501.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
