@@ -148,3 +148,14 @@ def test_clean_text_reads_long_white_space_once(spark):
     texts = [f"a{run}b", f"a{run}\nb{run}", run, "\n" * 1_000_000 + "x" + "\n" * 1_000_000]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.clean_text(F.col("t"))).collect()]
     assert got == [texts[0], "a\nb", "", "x"]
+
+
+def test_ids_are_given_to_chunks_made_in_small_batches(spark):
+    def small(batches):
+        for batch in batches:
+            assert batch.num_rows <= C.CHUNKED_ROWS
+            yield batch
+
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("source_name"), F.lit(0).alias("chunk_index")).coalesce(1)
+    found = C.with_ids(rows.mapInArrow(small, rows.schema)).collect()
+    assert [r["source_name"] for r in sorted(found, key=lambda r: r["id"])] == sorted(map(str, range(1000)))
