@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.routing import refused
 from lodestone.functions.vectors import cosine, has_dimension, norm
-from lodestone.session import ship
+from lodestone.session import materialize, ship
 
 #: Vectors of a block, of questions and of candidates.
 QUESTION_BLOCK, CANDIDATE_BLOCK = 256, 2048
+#: Pairs of blocks in an Arrow batch.
+PAIR_ROWS = 8
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,13 +33,26 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return row[place < n], column[place < n]
 
 
+def resized(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of size, however they come; the last may be smaller."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            held.append(batch.slice(at, size))
+            if sum(b.num_rows for b in held) >= size:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield rows.slice(0, size)
+                held = [rows.slice(size)]
+    if held and (rows := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield rows.to_batches()[0]
+
+
 def _blocks(vectors: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
     """Rows of up to size vectors each, made where they are read: ids and the concatenated unit vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                some = batch.slice(at, size)
+        for some in resized(batches, size):
+            if some.num_rows:
                 m = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1).astype(np.float64)
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_numpy()]), pa.array([m.ravel()])], names=[f"{prefix}_ids", f"{prefix}_units"])
@@ -51,8 +66,8 @@ def top_k(questions: DataFrame, candidates: DataFrame, k: int = 5, question_id:
 
     Blocks of questions meet blocks of candidates, each pair in one matrix product of which only the k best of each
     question leave the task, so a row of the cross join stands for half a million comparisons. Spark sends the side that is
-    small enough to all tasks, else pairs partitions. The k best of all blocks are limited in each partition before
-    they are shuffled. Null and zero vectors are near nothing and left out; with fewer than k candidates all are ranked.
+    small enough to all tasks, else pairs partitions. Such a row holds a megabyte and more, so few make an Arrow batch, and
+    the k best of each are written. The k best of all blocks are limited in each partition before they are shuffled. Null and zero vectors are near nothing and left out; with fewer than k candidates all are ranked.
     """
     ship(questions.sparkSession)
     crossed = _blocks(candidates, candidate_id, vector, CANDIDATE_BLOCK, "c").crossJoin(_blocks(questions, question_id, vector, QUESTION_BLOCK, "q"))
@@ -66,7 +81,7 @@ def top_k(questions: DataFrame, candidates: DataFrame, k: int = 5, question_id:
                 row, column = best_of(scores, ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[column]), pa.array(scores[row, column])], names=["qid", "id", "similarity"])
 
-    return ranked(crossed.mapInArrow(best, "qid long, id long, similarity double"), k)
+    return ranked(materialize(crossed.mapInArrow(best, "qid long, id long, similarity double"), PAIR_ROWS), k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

@@ -157,3 +157,18 @@ def test_a_common_vector_does_not_fill_the_sample(spark):
     for sample in (20, 100):  # with a share of the hashes, and with all
         centers = ivf.fit(rows, cells=20, sample=sample)
         assert len(centers) == 20 and sum(abs(c[1]) < 1e-9 for c in centers) <= 1
+
+
+def test_few_pairs_of_blocks_make_a_batch(spark, monkeypatch):
+    """Rows of the cross join are large; blocks stay full although vectors come in as small batches."""
+    import pyarrow as pa
+
+    from lodestone.operators import search
+
+    asked = []
+    monkeypatch.setattr(search, "materialize", lambda df, rows=None: asked.append(rows) or materialize(df, rows))
+    v = spark.range(300).select("id", F.array(F.col("id") + 1.0, F.lit(20.0)).cast("array<float>").alias("embedding"))
+    found = search.top_k(v.where("id < 3").withColumnRenamed("id", "qid"), v, 2)
+    assert asked == [search.PAIR_ROWS] and {(r["qid"], r["id"]) for r in found.where("rank = 1").collect()} == {(0, 0), (1, 1), (2, 2)}
+    small = pa.RecordBatch.from_pydict({"x": [1, 2, 3]})
+    assert [b["x"].to_pylist() for b in search.resized(iter([small, small, small]), 4)] == [[1, 2, 3, 1], [2, 3, 1, 2], [3]]
