@@ -308,3 +308,16 @@ def test_neighbors_in_blocks(invented, monkeypatch, blocks):
     monkeypatch.setattr(graph, "BLOCKS", blocks)
     members, entities, _, seeds, _, near = invented
     assert bag(graph.similar_neighbors(members, entities, seeds)) == bag(near) != []
+
+
+def test_edges_are_counted_by_tasks_of_one_size(spark, monkeypatch):
+    """More mentions make more tasks, not larger ones, beyond the usual number of partitions."""
+    from lodestone import session
+
+    rows = spark.range(4000).select(F.col("id").alias("entity_key"), (F.col("id") / 4).cast("long").alias("chunk_id"))
+    want = bag(graph.together_edges(rows))
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 200)
+    found = graph.together_edges(rows)
+    assert bag(found) == want and found.rdd.getNumPartitions() == 6000 // 200
+    heavy = graph.together_edges(rows, heavy=3)
+    assert bag(heavy) == want
