@@ -321,3 +321,12 @@ def test_edges_are_counted_by_tasks_of_one_size(spark, monkeypatch):
     assert bag(found) == want and found.rdd.getNumPartitions() == 6000 // 200
     heavy = graph.together_edges(rows, heavy=3)
     assert bag(heavy) == want
+
+
+def test_tables_that_are_not_asked_for_are_not_built(docs, monkeypatch):
+    chunks = chunking.with_ids(chunking.chunk_documents(docs))
+    every = graph.build_graph(docs, chunks)
+    monkeypatch.setattr(graph, "together_by_class", None)
+    assert bag(graph.build_graph(docs, chunks, ["mentions"])["mentions"]) == bag(every["mentions"])
+    monkeypatch.setattr(graph, "mentions", None)
+    assert bag(graph.build_graph(docs, chunks, ["similar"])["similar"]) == bag(every["similar"])
