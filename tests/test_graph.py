@@ -234,6 +234,27 @@ def test_factorised_expansion(invented, depth):
     assert graph.expand_similar(members, entities, mentions, seeds.limit(0), hits, 3, depth).count() == 0
 
 
+def test_expansion_writes_a_chunk_once_for_all_sets_of_roles(spark, monkeypatch):
+    """Fifteen sets of roles over 3,000 chunks: what is written grows with the chunks, not with the sets times the chunks."""
+    entities = spark.createDataFrame([(f"e{k}", f"n{k}", f"k{k % 6}", f"s{k // 6 % 4}.txt") for k in range(96)], "key string, name string, kind string, source_name string").cache()
+    mentions = spark.createDataFrame([(f"e{(c * 7 + k * 13) % 96}", c) for c in range(3000) for k in range(1 + c % 4)], "entity_key string, chunk_id long").cache()
+    pairs = [(a, b) for a in range(6) for b in range(a)]
+    seeds = spark.createDataFrame([(q, f"n{k}") for q, pair in enumerate(pairs) for k in pair], "qid long, name string").cache()
+    hits = spark.createDataFrame([(q, c) for q in range(15) for c in range(q, 3000, 50)], "qid long, id long").cache()
+    written, write = [], graph.materialize
+
+    def counted(df, *rest, **more):
+        table = write(df, *rest, **more)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    found = bag(graph.expand_similar(graph.similar_members(entities, default=None), entities, mentions, seeds, hits, 3))
+    near = graph.neighbors(graph.similar_edges(entities, order=["key"], default=None), entities, seeds)
+    assert found == bag(graph.expand(near, mentions, entities, hits, 3)) and len(found) == 45
+    assert max(written) <= 3000
+
+
 def test_heavy_chunks_are_dealt_to_blocks(spark):
     """A chunk of 400 entities in blocks of 50: the same edges, and no key of the join has more than about two blocks."""
     rows = [(f"e{k:03}", 0) for k in range(400)] + [(f"e{k:03}", 1 + k % 7) for k in range(0, 400, 3)] + [("e000", 0)]
