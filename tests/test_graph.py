@@ -323,6 +323,16 @@ def test_listed_neighbors_are_not_shuffled(invented):
     assert "_block" in plan[made]
 
 
+def test_neighbors_meet_as_lists(invented, spark):
+    """Seeds meet lists of names, and what is near is said of a list: names are taken out above the join. Names may be null."""
+    members, entities, _, seeds, _, _ = invented
+    plan = graph.similar_neighbors(members, entities, seeds)._jdf.queryExecution().sparkPlan().toString()
+    assert -1 < plan.find("Generate explode(_names") < plan.index("Join")
+    rows = spark.createDataFrame([(k, k if k != "z" else None, "k", s) for k, s in zip("abzcd", ["s", "t", "t", "t", None])], "key string, name string, kind string, source_name string")
+    found = graph.similar_neighbors(graph.similar_members(rows, default=None), rows, spark.createDataFrame([(1, "a")], "qid long, name string"))
+    assert sorted(str(r["name"]) for r in found.collect()) == ["None", "b", "c"]
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 def test_neighbors_in_blocks(invented, monkeypatch, blocks):
     monkeypatch.setattr(graph, "BLOCK", 4)
