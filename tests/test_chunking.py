@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -88,6 +89,15 @@ def test_long_sections_take_time_in_proportion(spark):
     assert spark.createDataFrame([("d", text)], "source_name string, text string").transform(C.chunk_documents).count() > 700
 
 
+def test_long_lists_take_time_in_proportion(spark):
+    """The ends of units are found once for a list, not once for each unit."""
+    lines = "\n".join(f"- bullet {k}" + ("\n  goes on" if k % 3 == 0 else "") for k in range(40_000))
+    docs = spark.createDataFrame([(lines,)], "body string")
+    began = time.monotonic()
+    row = docs.select(C.units(F.col("body")).alias("u")).select(F.size("u").alias("n"), F.get("u", F.lit(39_999)).alias("last")).first()
+    assert tuple(row) == (40_000, "- bullet 39999 goes on") and time.monotonic() - began < 60
+
+
 def test_no_line_is_lost_and_neighbours_overlap(spark):
     body = "\n\n".join(f"Câu số {k} có vài từ. Câu tiếp theo của đoạn {k}." for k in range(40))
     chunks = C.chunk_documents(spark.createDataFrame([("x.txt", f"# T\n\n## S\n{body}")], "source_name string, text string"), 400, 120)
