@@ -361,3 +361,19 @@ def test_tables_that_are_not_asked_for_are_not_built(docs, monkeypatch):
     assert bag(graph.build_graph(docs, chunks, ["mentions"])["mentions"]) == bag(every["mentions"])
     monkeypatch.setattr(graph, "mentions", None)
     assert bag(graph.build_graph(docs, chunks, ["similar"])["similar"]) == bag(every["similar"])
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_mentions_are_not_shuffled_to_be_told_apart(spark, monkeypatch, limit):
+    """Surfaces share keys and keys have several surfaces; each mention is one row, made above all exchanges where classes can be sent."""
+    said = [("one", "a"), ("one", "b"), ("two", "b"), ("two", "c"), ("three", "a"), ("four", "d"), ("four", "b"), ("one", "c")]
+    lexicon = spark.createDataFrame([(w, k, k, "s", n, 0) for n, (w, k) in enumerate(said)], "surface string, key string, name string, source_name string, pos int, nth int")
+    texts = {1: "one two three one", 2: "four", 3: "two four", 4: "none", 5: "three"}
+    chunks = spark.createDataFrame(list(texts.items()), "id long, content string")
+    monkeypatch.setattr(graph, "MAX_LEXICON", limit)
+    found = graph.mentions(chunks, lexicon)
+    assert bag(found) == sorted(str(r) for r in spark.createDataFrame(list({(i, k) for i, t in texts.items() for w, k in said if w in t.split()}), "chunk_id long, entity_key string").collect())
+    if limit:
+        plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+        made = next(i for i, line in enumerate(plan) if "Join" in line)
+        assert not any(word in line for line in plan[:made] for word in ("Exchange", "Aggregate"))
